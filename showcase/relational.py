@@ -77,8 +77,8 @@ _add(
 
 _add(
     "redact_anti_join",
-    "SELECT c_custkey, ssn FROM people p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey)",
-    f"SELECT c_custkey, {duck.ssn('ssn')} AS ssn FROM people p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey)",
+    "SELECT c_custkey, ssn FROM people p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_totalprice > 200000)",
+    f"SELECT c_custkey, {duck.ssn('ssn')} AS ssn FROM people p WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = p.c_custkey AND o.o_orderpriority = '1-URGENT' AND o.o_totalprice > 200000)",
     ("orders",),
 )
 
@@ -156,7 +156,6 @@ _add(
     f"SELECT c_custkey, {duck.email('part')} AS email FROM (SELECT c_custkey, unnest(string_split(email, '@')) AS part FROM people)",
 )
 
-# Two result columns of one name are told apart by position.
 _add(
     "redact_range_join",
     """SELECT p.c_custkey, p.ssn, e.event_id FROM people p JOIN events e

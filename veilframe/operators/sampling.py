@@ -86,11 +86,12 @@ def vote_columns(
     samples: DataFrame,
     keys: Sequence[str] = ("column_name",),
     recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
+    share: float = V.VOTE_SHARE,
 ) -> DataFrame:
     """The entity type each column's sampled values vote for, if any.
 
     Every finding is one vote. The type with most votes wins (the earlier recogniser
-    on a tie) if its votes reach a fifth of the samples, blank ones included. The
+    on a tie) if its votes reach ``share`` of the samples, blank ones included. The
     confidence is the mean score of its findings.
     """
     order = {r.entity: i for i, r in reversed(list(enumerate(recognizers)))}
@@ -125,7 +126,7 @@ def vote_columns(
         .where(
             (F.col("n") == 1)
             & F.col("entity_type").isNotNull()
-            & (F.col("votes") >= F.col("samples") * V.VOTE_SHARE)
+            & (F.col("votes") >= F.col("samples") * share)
         )
         .select(*keys, "entity_type", "confidence", "votes", "samples")
     )
