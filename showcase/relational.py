@@ -97,14 +97,19 @@ _add(
             GROUP BY ROLLUP (c_mktsegment, ip_address))""",
 )
 
-_WINDOW = """SELECT c_custkey, email,
-  row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS place,
-  lag(phone) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS previous_phone FROM people"""
+# The windows run over monthly totals, so their size does not grow with the orders.
+_WINDOW = """SELECT c_nationkey, month, email, sum(n) OVER by_month AS orders_so_far,
+  lag(phone) OVER by_month AS previous_phone
+FROM (SELECT c_nationkey, {month} AS month, max(email) AS email, min(phone) AS phone, count(*) AS n
+      FROM people JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2)
+WINDOW by_month AS (PARTITION BY c_nationkey ORDER BY month)"""
 _add(
     "redact_window",
-    _WINDOW,
-    f"""SELECT c_custkey, {duck.email('email')} AS email, place,
-      {duck.keep('previous_phone', duck.phone('previous_phone'))} AS previous_phone FROM ({_WINDOW})""",
+    _WINDOW.format(month="date_format(o_orderdate, 'yyyy-MM')"),
+    f"""SELECT c_nationkey, month, {duck.email('email')} AS email, orders_so_far::bigint AS orders_so_far,
+      {duck.keep('previous_phone', duck.phone('previous_phone'))} AS previous_phone
+      FROM ({_WINDOW.format(month="strftime(o_orderdate, '%Y-%m')")})""",
+    ("orders",),
 )
 
 _add(

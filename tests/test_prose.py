@@ -99,3 +99,11 @@ def test_no_email_survives_on_data(spark, data):
     assert masked.where(prose.has_findings(F.col("m"))).count() == 0
     assert masked.where(prose.has_findings(F.col("text"))).count() > 0
     assert masked.where(~prose.has_findings(F.col("text")) & (F.col("m") != F.col("text"))).count() == 0
+
+
+def test_positions_over_many_findings(spark):
+    text = "".join(f"x{'é' * (i % 5)} u{i}@h.org," for i in range(2500))
+    df = spark.createDataFrame([(text,)], "t string")
+    rows = find_pii(df, "t", positions=True).collect()
+    assert [r["value"] for r in rows] == [f"u{i}@h.org" for i in range(2500)]
+    assert all(text[r["start"] : r["end"]] == r["value"] for r in rows)

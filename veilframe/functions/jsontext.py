@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .masks import mask_by_entity
 from .names import ANY_KEY_PATTERN, entity_of_key
-from .prose import DEFAULT_RECOGNIZERS, PREFILTER, Recognizer, has_findings, redact_text
+from .prose import DEFAULT_RECOGNIZERS, Recognizer, contains_pii, has_findings, redact_text
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _SCALAR = r"-?[0-9][0-9.eE+\-]*+|true|false"
@@ -45,8 +45,7 @@ def _unescape(literal: Column) -> Column:
 
 def _escape(text: Column) -> Column:
     """Text as a JSON string literal."""
-    listed = F.to_json(F.array(text))
-    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.regexp_extract(F.to_json(F.array(text)), r"(?s)\A\[(.*)\]\z", 1)
 
 
 def mask_json_text(
@@ -68,55 +67,62 @@ def mask_json_text(
     text = text.cast("string")
     token = _TOKEN_WITH_SCALARS if mask_scalars else _TOKEN
 
-    def parts(tok: Column) -> Column:
-        key_part = F.regexp_extract(tok, rf"(?s)\A({_STRING}\s*+:\s*+)", 1)
-        keyed = key_part != ""
-        key = F.when(keyed, _unescape(F.regexp_extract(key_part, rf"(?s)\A({_STRING})", 1)))
-        literal = F.substr(tok, F.length(key_part) + 1)
+    # Each step is a struct of its own, so that nothing is worked out twice.
+    def cut(tok: Column) -> Column:
         return F.struct(
-            key_part.alias("before"),
+            F.regexp_extract(tok, rf"(?s)\A({_STRING}\s*+:\s*+)", 1).alias("before"),
+            tok.alias("token"),
+        )
+
+    def opened(part: Column) -> Column:
+        before = part["before"]
+        return F.struct(
+            before.alias("before"),
+            F.regexp_extract(before, rf"(?s)\A({_STRING})", 1).alias("key"),
+            F.substr(part["token"], F.length(before) + 1).alias("literal"),
+        )
+
+    def read(part: Column) -> Column:
+        literal, key = part["literal"], part["key"]
+        return F.struct(
+            part["before"].alias("before"),
             literal.alias("literal"),
-            entity_of_key(key).alias("entity"),
+            F.when(literal.startswith('"'), _unescape(literal)).otherwise(literal).alias("value"),
+            F.when((key != "") & (literal != ""), entity_of_key(_unescape(key))).alias("entity"),
         )
 
-    def new_text(part: Column) -> Column:
-        literal, entity = part["literal"], part["entity"]
-        value = F.when(literal.startswith('"'), _unescape(literal)).otherwise(literal)
+    def judged(part: Column) -> Column:
+        literal, value, entity = part["literal"], part["value"], part["entity"]
         by_key = mask_by_entity(value, entity, style, seed)
         if secrets_only:
-            return F.when(entity == V.SECRET, by_key).otherwise(value)
-        scanned = F.when(
-            literal.startswith('"') & value.rlike(PREFILTER),
-            redact_text(value, style, seed, revealed, recognizers),
-        ).otherwise(value)
-        return (
-            F.when(entity.isNull(), scanned)
-            .when(entity.isin(revealed), value)
-            .otherwise(by_key)
+            new = F.when(entity == V.SECRET, by_key)
+        else:
+            in_prose = literal.startswith('"') & contains_pii(value)
+            new = (
+                F.when(entity.isin(revealed), value)
+                .when(entity.isNotNull(), by_key)
+                .when(in_prose, redact_text(value, style, seed, revealed, recognizers))
+            )
+        return F.struct(
+            part["before"].alias("before"),
+            literal.alias("literal"),
+            value.alias("value"),
+            new.alias("new"),
         )
 
     def rebuilt(part: Column) -> Column:
-        literal = part["literal"]
-        value = F.when(literal.startswith('"'), _unescape(literal)).otherwise(literal)
-        # A literal that did not change keeps its own spelling.
-        return F.concat(
-            part["before"],
-            F.when((literal == "") | value.eqNullSafe(part["new"]), literal).otherwise(
-                _escape(part["new"])
-            ),
-        )
-
-    split_parts = F.transform(F.regexp_extract_all(text, F.lit(token), F.lit(0)), parts)
-    with_new = F.transform(
-        split_parts,
-        lambda p: F.struct(
-            p["before"].alias("before"), p["literal"].alias("literal"), new_text(p).alias("new")
-        ),
-    )
+        # A value that does not change keeps the spelling it has.
+        same = part["new"].isNull() | (part["new"] == part["value"])
+        literal = F.when(same, part["literal"]).otherwise(_escape(part["new"]))
+        return F.concat(part["before"], literal)
+
+    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
+    for step in (cut, opened, read, judged):
+        tokens = F.transform(tokens, step)
     masked = F.array_join(
         F.zip_with(
             F.split(text, token, -1),
-            F.transform(with_new, rebuilt),
+            F.transform(tokens, rebuilt),
             lambda gap, tok: F.concat(gap, F.coalesce(tok, F.lit(""))),
         ),
         "",
@@ -125,7 +131,7 @@ def mask_json_text(
     suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\u"))
     if secrets_only:
         return F.when(suspect & is_json(text), masked).otherwise(text)
-    suspect = suspect | text.rlike(PREFILTER)
+    suspect = suspect | contains_pii(text)
     as_prose = redact_text(text, style, seed, revealed, recognizers)
     return (
         F.when(suspect & is_json(text), masked)

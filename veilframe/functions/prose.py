@@ -9,7 +9,7 @@ replaces.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from itertools import groupby
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .masks import is_blank, label_by_entity, pseudonym_by_entity
+from .masks import label_by_entity, pseudonym_by_entity
 
 
 @dataclass(frozen=True)
@@ -67,17 +67,6 @@ DEFAULT_RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
 )
 
-# Value test applied to a string inside JSON before its prose is scanned.
-PREFILTER = "(?U)" + "|".join(
-    (_EMAIL, V.PHONE_SHAPE, V.PHONE_PARENS_SHAPE, V.SSN_SHAPE, V.CARD_SHAPE)
-)
-
-
-def contains_pii(text: Column) -> Column:
-    """True where the text holds something shaped like personal data."""
-    return text.rlike(PREFILTER)
-
-
 def _alternation(recognizers: Sequence[Recognizer]) -> str:
     parts = []
     for lead, group in groupby(recognizers, key=lambda r: r.lead):
@@ -95,6 +84,16 @@ def has_findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOG
     return text.rlike("(?U)" + "|".join(sorted(needed))) & found
 
 
+# The value test applied to a string inside JSON before its prose is scanned.
+_TELLING = ("EMAIL_ADDRESS", "PHONE_NUMBER", "US_SSN", "CREDIT_CARD")
+PREFILTER = tuple(r for r in DEFAULT_RECOGNIZERS if r.entity in _TELLING)
+
+
+def contains_pii(text: Column) -> Column:
+    """True where the text holds something shaped like personal data."""
+    return has_findings(text, PREFILTER)
+
+
 def _entity_of_hit(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
     chain = F.when(F.lit(False), F.lit(""))
     for r in recognizers[:-1]:
@@ -137,36 +136,82 @@ def findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZE
     return F.when(has_findings(text, recognizers), listed).otherwise(empty)
 
 
+# Positions are summed up in runs of this many findings, then across the runs, so
+# that a text with very many findings stays linear.
+_RUN = 1000
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def positioned_findings(
     text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS
 ) -> Column:
     """``findings`` with the zero-based start and end of each, in characters."""
-    pieces = F.transform(F.split(text, _alternation(recognizers), -1), lambda p: F.length(p))
-    spans = F.zip_with(
-        pieces,
-        _hits(text, recognizers),
-        lambda gap, h: F.struct(gap.alias("gap"), h["value"].alias("value"), h["entity_type"].alias("e")),
-    )
     scores = F.create_map(*[F.lit(x) for r in recognizers for x in (r.entity, float(r.score))])
     empty = F.array().cast(
         "array<struct<entity_type:string,value:string,score:double,start:int,end:int>>"
     )
 
+    def item(finding: Column, start: Column) -> Column:
+        return F.struct(
+            finding["entity_type"].alias("entity_type"),
+            finding["value"].alias("value"),
+            finding["score"].alias("score"),
+            start.alias("start"),
+            (start + F.length(finding["value"])).alias("end"),
+        )
+
     def step(state: Column, span: Column) -> Column:
-        start = state["at"] + span["gap"]
-        end = start + F.length(span["value"])
-        item = F.struct(
+        found = F.struct(
             span["e"].alias("entity_type"),
             span["value"].alias("value"),
             F.element_at(scores, span["e"]).alias("score"),
-            start.alias("start"),
-            end.alias("end"),
         )
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(item)).alias("found"))
+        start = state["past"] + span["gap"]
+        return F.struct(
+            (start + F.length(span["value"])).alias("past"),
+            F.concat(state["found"], F.array(item(found, start))).alias("found"),
+        )
+
+    def run_of(spans: Column, first: Column) -> Column:
+        nothing = F.struct(F.lit(0).alias("past"), empty.alias("found"))
+        return F.aggregate(F.slice(spans, first, _RUN), nothing, step)
 
-    closed = F.filter(spans, lambda s: s["value"].isNotNull())
-    walked = F.aggregate(
-        closed, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"]
+    def joined(runs: Column) -> Column:
+        starts = F.aggregate(
+            runs,
+            F.array(F.lit(0)),
+            lambda sums, run: F.concat(sums, F.array(F.element_at(sums, -1) + run["past"])),
+        )
+        return F.flatten(
+            F.zip_with(
+                runs,
+                starts,
+                lambda run, at: F.transform(
+                    F.coalesce(run["found"], empty), lambda f: item(f, f["start"] + at)
+                ),
+            )
+        )
+
+    spans = F.zip_with(
+        F.transform(F.split(text, _alternation(recognizers), -1), lambda p: F.length(p)),
+        _hits(text, recognizers),
+        lambda gap, h: F.struct(
+            gap.alias("gap"), h["value"].alias("value"), h["entity_type"].alias("e")
+        ),
+    )
+    walked = _let(
+        F.filter(spans, lambda s: s["value"].isNotNull()),
+        lambda closed: _let(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(closed), F.lit(1)), F.lit(_RUN)),
+                lambda first: run_of(closed, first),
+            ),
+            joined,
+        ),
     )
     if any(r.check for r in recognizers):
         walked = F.filter(walked, lambda h: _passes_check(h["value"], h["entity_type"], recognizers))
@@ -210,12 +255,10 @@ def redact_text(
 
 __all__ = [
     "DEFAULT_RECOGNIZERS",
-    "PREFILTER",
     "Recognizer",
     "contains_pii",
     "findings",
     "has_findings",
-    "is_blank",
     "positioned_findings",
     "redact_text",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,10 @@ def table_hints(sql: Column, default_schema: str = "public") -> Column:
             ),
         )
     )
+
+
+def tables_named(sql: str, default_schema: str = "public") -> list[str]:
+    """``table_hints`` for one statement on the driver."""
+    names = re.findall(V.TABLE_AFTER_FROM_OR_JOIN, sql, re.IGNORECASE)
+    keys = (n.lower() if "." in n else f"{default_schema}.{n.lower()}" for n in names)
+    return list(dict.fromkeys(keys))

@@ -70,19 +70,23 @@ def decisions_from_policy(spark: SparkSession, policy: Policy) -> DataFrame:
     return spark.createDataFrame(rows, DECISIONS_DDL)
 
 
-def classify_columns(columns: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+def classify_columns(
+    columns: DataFrame, decisions: DataFrame | None = None, auto_detect: bool = True
+) -> DataFrame:
     """Add the classification of every column of a columns DataFrame.
 
-    A decision wins over the type, the type over the name. ``excluded`` marks a
-    column declared not personal. A projection, plus one join if there are decisions.
+    A decision wins over the type, the type over the name; without ``auto_detect`` only
+    decisions count. ``excluded`` marks a column declared not personal. A projection,
+    plus one join if there are decisions.
     """
     by_type = F.when(
         F.lower("data_type").rlike(_JSON_TYPES),
         F.struct(*[F.lit(getattr(JSON_CLASSIFICATION, name)).alias(name) for name in INFO]),
     )
-    judged = columns.withColumn(
-        "info", F.coalesce(by_type, classify_column_name(F.col("column_name")))
-    )
+    info = F.coalesce(by_type, classify_column_name(F.col("column_name")))
+    if not auto_detect:
+        info = F.when(F.lit(False), info)
+    judged = columns.withColumn("info", info)
     if decisions is None:
         return judged.select(
             *columns.columns, *[F.col(f"info.{n}").alias(n) for n in INFO], F.lit(False).alias("excluded")

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.sqltext import tables_named
 from ..operators.classify import classify_columns, decisions_from_policy, remember, scan_tables
 from ..operators.redact import redact
 from ..operators.reports import pii_report, rule_text, schema_text
@@ -38,8 +39,9 @@ class MaskedSession:
     """SQL over registered tables, with every result masked by policy.
 
     ``mask_at="output"`` lets predicates, joins and aggregates see raw values and masks
-    the result by lineage, then by name; a computed column with a neutral alias
-    escapes. ``mask_at="source"`` masks the tables themselves, so no view shows a raw
+    the result by lineage. A column without lineage is looked up by its name in the
+    tables the statement names, then judged by the name itself; a computed column with
+    a neutral alias escapes. ``mask_at="source"`` masks the tables themselves, so no view shows a raw
     value, at the price of predicates seeing masks. Do not also save the raw tables in
     the session's catalog in that mode.
     """
@@ -64,6 +66,17 @@ class MaskedSession:
         view.createOrReplaceTempView(key.rpartition(".")[2])
         return self
 
+    def add_catalog(self) -> MaskedSession:
+        """Make the catalog tables of the allowed schemas known to reports and scans."""
+        if self.mask_at == "source":
+            raise ValueError("catalog tables can be read raw; register masked views instead")
+        for schema in self.policy.allowed_schemas:
+            for found in self.spark.catalog.listTables(schema):
+                if not found.isTemporary:
+                    name = f"{schema}.{found.name}"
+                    self.tables[self.policy.table_key(name)] = self.spark.table(name)
+        return self
+
     @contextmanager
     def _no_path_tables(self) -> Iterator[None]:
         # Naming a file in place of a table would go past views, tags and masks.
@@ -92,9 +105,8 @@ class MaskedSession:
         result = self.raw_sql(sql, params)
         if self.mask_at == "source":
             return result
-        return redact(
-            result, self.policy, reveal_columns=reveal_columns, reveal_types=reveal_types
-        )
+        named = tables_named(sql, self.policy.default_schema)
+        return redact(result, self.policy, named, reveal_columns, reveal_types)
 
     def query(
         self,
@@ -145,9 +157,8 @@ class MaskedSession:
         """One row per column of the registered tables: what it is, how it is masked."""
         columns = columns_of(self.spark, self.tables)
         decisions = decisions_from_policy(self.spark, self.policy)
-        return pii_report(
-            self.spark, classify_columns(columns, decisions), self.policy, table
-        )
+        classified = classify_columns(columns, decisions, self.policy.auto_detect)
+        return pii_report(self.spark, classified, self.policy, table)
 
     def describe(self, table: str | None = None, show_pii: bool = True) -> str:
         """Names of all tables, or the columns of one."""

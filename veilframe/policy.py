@@ -38,7 +38,9 @@ class Policy:
     """Settings and classifications for a session.
 
     ``seed`` has no default on purpose: pseudonyms made with a well-known seed can
-    be reversed by guessing.
+    be reversed by guessing. Without ``auto_detect`` reports list decisions only;
+    results are still masked by name, which errs on the safe side. ``allowed_schemas``
+    bounds what is reported on, not what a query may read.
     """
 
     default_style: str = "partial"
