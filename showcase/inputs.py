@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe import tune
+
 SEED = "showcase"
 
 PEOPLE = """
@@ -90,7 +92,7 @@ def load(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A sample table."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

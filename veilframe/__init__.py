@@ -12,6 +12,7 @@ from .operators.sampling import sample_columns, vote_columns
 from .plans.results import render, result_lines
 from .plans.session import MaskedSession, QueryError
 from .plans.gate import ReadOnlyError
+from .plans.tuning import tune
 from .policy import Policy, Rule
 from .sources.writers import write_with_count
 from .streaming.redaction import redact_stream, write_stream
@@ -42,6 +43,7 @@ __all__ = [
     "sample_columns",
     "scan_tables",
     "table_hints",
+    "tune",
     "vote_columns",
     "write_stream",
     "write_with_count",

@@ -25,17 +25,6 @@ def is_blank(text: Column) -> Column:
     return ~text.rlike(_NON_BLANK)
 
 
-def _digits(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\D", "")
-
-
-def _tail_digits(text: Column, before: str, too_short: str) -> Column:
-    digits = _digits(text)
-    return F.when(
-        F.length(digits) >= 4, F.concat(F.lit(before), F.right(digits, F.lit(4)))
-    ).otherwise(F.lit(too_short))
-
-
 def partial_generic(text: Column) -> Column:
     """First character, then one star per remaining character."""
     return F.when(F.length(text) <= 1, F.lit("***")).otherwise(
@@ -43,52 +32,55 @@ def partial_generic(text: Column) -> Column:
     )
 
 
+# An address: first character of the local part, then of the domain before its last
+# dot (2, or 5 where there is no dot), and the last dot with what follows it (3 or 4).
+_ADDRESS = r"(?s)\A([^@]?)[^@]*+@(?:(.).*(\.[^.]*)|(\.[^.]*)|(.?)[^.]*)\z"
+
+
 def partial_email(text: Column) -> Column:
     """``john@example.com`` -> ``j***@e***.com``."""
-    at = F.instr(text, F.lit("@"))
-    domain = F.substr(text, at + 1)
-    last = F.substring_index(domain, ".", -1)
-    has_dot = F.contains(domain, F.lit("."))
-    # The name before the last dot is empty when that dot opens the domain.
-    nameless = has_dot & (F.length(domain) == F.length(last) + 1)
-    masked = F.concat(
-        F.when(at > 1, F.substring(text, 1, 1)).otherwise(F.lit("")),
-        F.lit("***@"),
-        F.when(nameless, F.lit("")).otherwise(F.substring(domain, 1, 1)),
-        F.lit("***"),
-        F.when(has_dot, F.concat(F.lit("."), last)).otherwise(F.lit("")),
-    )
-    return F.when(at > 0, masked).otherwise(partial_generic(text))
+    masked = F.regexp_replace(text, _ADDRESS, r"$1***@$2$5***$3$4")
+    return F.when(F.contains(text, F.lit("@")), masked).otherwise(partial_generic(text))
+
+
+# Masks that keep the last four digits: what goes before them, and what stands for a
+# value with fewer. Each step below uses the one before it once, so that no regular
+# expression runs twice.
+_TAILS = {
+    "PHONE_NUMBER": ("***-***-", "***"),
+    "US_SSN": ("***-**-", "***-**-****"),
+    "CREDIT_CARD": ("****-****-****-", "****-****-****-****"),
+}
 
 
-def partial_phone(text: Column) -> Column:
-    """``(555) 123-4567`` -> ``***-***-4567``."""
-    return _tail_digits(text, "***-***-", "***")
+def _tail(text: Column, before: Column, too_short: Column) -> Column:
+    digits = F.regexp_replace(text, r"(?U)\D+", "")
+    kept = F.regexp_replace(
+        digits, F.lit(r"(?U)\A\d*(\d{4})\z"), F.concat(before, F.lit("$1"))
+    )
+    return F.regexp_replace(kept, F.lit(r"(?U)\A\d{0,3}\z"), too_short)
 
 
-def partial_ssn(text: Column) -> Column:
-    """``123-45-6789`` -> ``***-**-6789``."""
-    return _tail_digits(text, "***-**-", "***-**-****")
+def _tail_of(entity: str) -> Callable[[Column], Column]:
+    before, too_short = _TAILS[entity]
+    return lambda text: _tail(text, F.lit(before), F.lit(too_short))
 
 
-def partial_card(text: Column) -> Column:
-    """``4111 1111 1111 1111`` -> ``****-****-****-1111``."""
-    return _tail_digits(text, "****-****-****-", "****-****-****-****")
+partial_phone = _tail_of("PHONE_NUMBER")  # (555) 123-4567 -> ***-***-4567
+partial_ssn = _tail_of("US_SSN")  # 123-45-6789 -> ***-**-6789
+partial_card = _tail_of("CREDIT_CARD")  # 4111 1111 1111 1111 -> ****-****-****-1111
 
 
 def partial_financial(text: Column) -> Column:
     """``123456789`` -> ``*****6789``."""
-    digits = _digits(text)
-    return F.when(
-        F.length(digits) >= 4,
-        F.lpad(F.right(digits, F.lit(4)), F.length(digits), "*"),
-    ).otherwise(F.lit("****"))
+    digits = F.regexp_replace(text, r"(?U)\D+", "")
+    long_enough = F.regexp_replace(digits, r"(?U)\A\d{0,3}\z", "****")
+    return F.regexp_replace(long_enough, r"(?U)\d(?=\d{4})", "*")
 
 
 def partial_name(text: Column) -> Column:
     """``John Q Doe`` -> ``J*** Q*** D**``."""
-    words = F.regexp_replace(text, rf"(?U)^{_SPACE}+|{_SPACE}+\z", "")
-    words = F.regexp_replace(words, rf"(?U){_SPACE}+", " ")
+    words = F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
     starred = F.regexp_replace(words, r"(?<=[^ ])[^ ]", "*")
     return F.regexp_replace(starred, r"(?<![^ ])([^ ])(?![^ ])", "$1***")
 
@@ -101,11 +93,15 @@ def partial_ip(text: Column) -> Column:
     ).otherwise(F.lit("***.***.***. ***"))
 
 
+def _street_number_hidden(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\d+", "***")
+
+
 def partial_location(text: Column) -> Column:
     """``123 Main St`` -> ``*** Main St``; generic when no street number leads."""
-    return F.when(
-        text.rlike(r"(?U)^\d"), F.regexp_replace(text, r"(?U)^\d+", "***")
-    ).otherwise(partial_generic(text))
+    return F.when(text.rlike(r"(?U)^\d"), _street_number_hidden(text)).otherwise(
+        partial_generic(text)
+    )
 
 
 # Entity types that have a mask of their own; every other type is masked generically.
@@ -161,11 +157,13 @@ def mask(value: Column, entity: str, style: str = "partial", seed: str | None =
 
 def pseudonym_by_entity(text: Column, entity: Column, seed: str | None) -> Column:
     """Pseudonym whose format follows the entity type in another column."""
-    digest = _hash(text, seed)
-    chain = F.when(F.lit(False), F.lit(""))
-    for known in V.PSEUDONYM_FORMATS:
-        chain = chain.when(entity == known, _pseudonym(digest, known))
-    return chain.otherwise(_pseudonym(digest, ""))
+    before, hex_digits, after = (F.lit(part) for part in V.PSEUDONYM_DEFAULT)
+    for known, form in V.PSEUDONYM_FORMATS.items():
+        here = entity == known
+        before = F.when(here, F.lit(form[0])).otherwise(before)
+        hex_digits = F.when(here, F.lit(form[1])).otherwise(hex_digits)
+        after = F.when(here, F.lit(form[2])).otherwise(after)
+    return F.concat(before, F.left(_hash(text, seed), hex_digits), after)
 
 
 def label_by_entity(entity: Column) -> Column:
@@ -174,6 +172,30 @@ def label_by_entity(entity: Column) -> Column:
     return F.concat(F.lit("["), F.upper(spaced), F.lit("]"))
 
 
+def _partial_by_entity(text: Column, entity: Column) -> Column:
+    """The partial mask for a type held in a column.
+
+    Types that share a mask share one expression, and everything that ends in the
+    generic mask falls through to a single one: a chain of all masks would compile to
+    a method too large for the JVM to optimise.
+    """
+    tails = list(_TAILS.items())
+    before, too_short = F.lit(tails[-1][1][0]), F.lit(tails[-1][1][1])
+    for known, (prefix, short) in tails[:-1]:
+        before = F.when(entity == known, F.lit(prefix)).otherwise(before)
+        too_short = F.when(entity == known, F.lit(short)).otherwise(too_short)
+    address = F.regexp_replace(text, _ADDRESS, r"$1***@$2$5***$3$4")
+    return (
+        F.when(entity.isin(*_TAILS), _tail(text, before, too_short))
+        .when((entity == "EMAIL_ADDRESS") & F.contains(text, F.lit("@")), address)
+        .when(entity == "PERSON", partial_name(text))
+        .when(entity == "IP_ADDRESS", partial_ip(text))
+        .when(entity == "FINANCIAL", partial_financial(text))
+        .when((entity == "LOCATION") & text.rlike(r"(?U)^\d"), _street_number_hidden(text))
+        .otherwise(partial_generic(text))
+    )
+
+
 def mask_by_entity(
     value: Column, entity: Column, style: str = "partial", seed: str | None = None
 ) -> Column:
@@ -186,9 +208,6 @@ def mask_by_entity(
     elif style == "pseudonymize":
         masked = pseudonym_by_entity(text, entity, seed)
     else:
-        masked = F.when(F.lit(False), F.lit(""))
-        for known, build in PARTIAL_MASKS.items():
-            masked = masked.when(entity == known, build(text))
-        masked = masked.otherwise(partial_generic(text))
+        masked = _partial_by_entity(text, entity)
     masked = F.when(entity == V.SECRET, F.lit(V.REDACTED)).otherwise(masked)
     return _keep_null_and_blank(text, masked)

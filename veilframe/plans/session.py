@@ -19,6 +19,7 @@ from ..sources.writers import write_with_count
 from .gate import require_read_only
 from .lineage import tag_columns
 from .results import render
+from .tuning import tune
 
 _SQL_ON_FILES = "spark.sql.runSQLOnFiles"
 
@@ -51,7 +52,7 @@ class MaskedSession:
     ) -> None:
         if mask_at not in ("output", "source"):
             raise ValueError("mask_at is 'output' or 'source'")
-        self.spark = spark
+        self.spark = tune(spark)
         self.policy = policy or Policy()
         self.mask_at = mask_at
         self.tables: dict[str, DataFrame] = {}
