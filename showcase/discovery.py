@@ -6,6 +6,8 @@ from veilframe import MaskedSession, Policy, Rule, json_columns, sample_columns,
 from veilframe.operators.classify import remember
 from veilframe.operators.reports import pii_report, rule_lines, schema_lines
 
+from veilframe.sources.catalog import table_list
+
 from . import duck
 from .inputs import CONTACT_JSON, PEOPLE, VARIANTS, derived, table
 
@@ -168,7 +170,6 @@ SELECT d.table_schema, d.table_name, d.column_name, position, data_type, true AS
 FROM declared d LEFT JOIN voted v
   ON v.table_key = concat(d.table_schema, '.', d.table_name) AND v.column_name = d.column_name
 """
-QUERIES["scan_tables"] = scan
 ORACLES["scan_tables"] = f"SELECT * EXCLUDE (is_nullable) FROM ({_SCANNED})"
 QUERIES["scan_tables"] = lambda spark, sf_dir: scan(spark, sf_dir).drop("is_nullable")
 
@@ -194,6 +195,16 @@ ORACLES["pii_report_one_table"] = (
 )
 
 
+def tables_with_personal_data(spark, sf_dir):
+    return table_list(scan(spark, sf_dir).where("entity_type is not null"))
+
+
+QUERIES["table_list"] = tables_with_personal_data
+ORACLES["table_list"] = f"""
+SELECT DISTINCT concat(table_schema, '.', table_name) AS table_key FROM ({_SCANNED}) WHERE entity_type IS NOT NULL
+"""
+
+
 def lines_of_schema(spark, sf_dir):
     return schema_lines(report(spark, sf_dir))
 

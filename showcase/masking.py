@@ -213,7 +213,7 @@ def mask_words_of_documents(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         masks.mask(text, "PERSON").alias("words"),
-        F.length(masks.mask(text, "OTHER")).alias("generic_chars"),
+        F.length(masks.mask(text, "OTHER")).cast("bigint").alias("generic_chars"),
     )
 
 

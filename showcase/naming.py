@@ -118,7 +118,7 @@ GROUP BY 1
 """
 
 _KEYED = f"""
-SELECT c_custkey, concat('{{"', replace(column_name, '"', ''), '": 1, "email_body": "x", "k', c_custkey, '": null}}') AS data
+SELECT c_custkey, concat('{{"', replace(column_name, '"', ''), '": 1, "email_body": "a: b", "k', c_custkey, '": null, "in": [{{"home_zip": {{"n": 1}}}}, "x:y"]}}') AS data
 FROM (SELECT position AS c_custkey, column_name FROM ({COLUMN_NAMES}))
 """
 
@@ -130,6 +130,6 @@ def classify_json_keys(spark, sf_dir):
 QUERIES["classify_json_keys"] = classify_json_keys
 ORACLES["classify_json_keys"] = f"""
 SELECT key, {duck.key_entity('key')} AS entity_type
-FROM (SELECT DISTINCT unnest(json_keys(data)) AS key FROM ({_KEYED}))
+FROM (SELECT DISTINCT unnest(list_concat(json_keys(data), ['home_zip', 'n'])) AS key FROM ({_KEYED}))
 """
 

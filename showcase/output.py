@@ -83,8 +83,7 @@ def stream_documents(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     stream = (
         spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
+        .parquet(f"{sf_dir}/documents.parquet*")  # one file or a folder of them
         .select("doc_id", F.col("text").alias("body"), F.concat(F.col("source"), F.lit("@x.org")).alias("email"))
     )
     out, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Recognizer, find_pii, redact_text, rows_with_pii
 from veilframe.functions.prose import DEFAULT_RECOGNIZERS
+from veilframe.operators.gazetteer import redact_names
 from veilframe.operators.reports import findings_by
 
 from . import duck
@@ -133,3 +134,59 @@ ORACLES["pii_counts_by_lang"] = f"""
 SELECT lang, entity_type, count(*) AS findings, count(DISTINCT value) AS distinct_values
 FROM ({_FOUND}) GROUP BY 1, 2
 """
+
+_TOKEN = r"\b[0-9a-f]{40}\b"
+_WITH_TOKENS = (*DEFAULT_RECOGNIZERS, Recognizer("ACCESS_TOKEN", _TOKEN, 0.9))
+
+
+def redact_access_tokens(spark, sf_dir):
+    """A recogniser of one's own beside the built-in ones."""
+    text = redact_text(F.col("text"), recognizers=_WITH_TOKENS)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+
+
+QUERIES["redact_access_tokens"] = redact_access_tokens
+ORACLES["redact_access_tokens"] = f"""
+SELECT doc_id, {duck.prose(
+    'text',
+    lambda hit: f"CASE WHEN regexp_full_match({hit}, '[0-9a-f]{{40}}') THEN '[ACCESS TOKEN]' ELSE {duck.label(hit)} END",
+    f"{duck.ANY}|{_TOKEN}",
+)} AS text
+FROM documents
+"""
+
+
+def _listed_names(spark, sf_dir):
+    """Longer words of the benchmark passages stand for names."""
+    words = table(spark, sf_dir, "benchmark").select(
+        F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("name")
+    )
+    kind = F.when(F.length("name") % 2 == 0, F.lit("PERSON")).otherwise(F.lit("LOCATION"))
+    return words.select("name", kind.alias("entity_type")).distinct()
+
+
+def _redact_listed(inline_names):
+    def run(spark, sf_dir):
+        docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+        return redact_names(docs, "text", _listed_names(spark, sf_dir), ["doc_id"], inline_names=inline_names)
+
+    return run
+
+
+QUERIES["redact_listed_names"] = _redact_listed(20_000)
+QUERIES["redact_listed_names_joined"] = _redact_listed(10)
+# RE2 knows no combining marks as part of a word unless they are named, as here.
+_WORD = r"[\p{L}\p{M}]+"
+ORACLES["redact_listed_names"] = f"""
+WITH listed AS (
+  SELECT list(DISTINCT name) AS names
+  FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{7,}}')) AS name FROM benchmark)),
+cut AS (
+  SELECT doc_id, regexp_split_to_array(text, '{_WORD}') AS gaps, regexp_extract_all(text, '{_WORD}') AS words
+  FROM documents)
+SELECT doc_id, array_to_string(list_transform(list_zip(gaps, words), lambda z: concat(z[1],
+  CASE WHEN z[2] IS NULL THEN '' WHEN NOT list_contains(names, z[2]) THEN z[2]
+       WHEN length(z[2]) % 2 = 0 THEN '[PERSON]' ELSE '[LOCATION]' END)), '') AS text
+FROM cut, listed
+"""
+ORACLES["redact_listed_names_joined"] = ORACLES["redact_listed_names"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veilframe import MaskedSession, Policy, Rule
 
 from . import duck
@@ -252,3 +254,44 @@ _add(
       GROUP BY 1, 2""",
     mask_at="source",
 )
+
+# The latest event of each customer: an as-of lookup without a window over the events.
+_LATEST = """SELECT p.c_custkey, p.email AS contact, {latest}(e.event_id, e.ts) AS last_event, count(e.event_id) AS events
+FROM people p LEFT JOIN events e ON e.user_id = p.c_custkey AND e.value > p.c_nationkey
+GROUP BY p.c_custkey, p.email"""
+_add(
+    "redact_latest_event",
+    _LATEST.format(latest="max_by"),
+    f"SELECT c_custkey, {duck.email('contact')} AS contact, last_event, events FROM ({_LATEST.format(latest='arg_max')})",
+    ("events",),
+)
+
+_CUBE = """SELECT c_mktsegment, c_nationkey, count(*) AS n, min(full_name) AS nickname FROM people
+GROUP BY CUBE (c_mktsegment, c_nationkey)"""
+_add(
+    "redact_cube",
+    _CUBE,
+    f"SELECT c_mktsegment, c_nationkey, n, {duck.name('nickname')} AS nickname FROM ({_CUBE})",
+)
+
+# A computed column is looked up by name in the tables the statement reads.
+_add(
+    "redact_computed_by_table",
+    "SELECT c_nationkey, max(phone) AS top_line, max(ssn) AS neutral FROM people GROUP BY c_nationkey",
+    f"""SELECT c_nationkey, {duck.phone('top_line')} AS top_line, neutral
+      FROM (SELECT c_nationkey, max(phone) AS top_line, max(ssn) AS neutral FROM people GROUP BY c_nationkey)""",
+    policy=Policy(rules=(Rule("people", "top_line", "PHONE_NUMBER"),)),
+)
+
+
+def row_cap(spark, sf_dir):
+    """The cap sits above the masking projection; which rows come is left open."""
+    policy = Policy(max_rows=700)
+    capped = _session(spark, sf_dir, policy=policy).sql("SELECT c_custkey, email FROM people").limit(policy.max_rows)
+    return capped.agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("email").contains("***@m***").cast("bigint")).alias("masked")
+    )
+
+
+QUERIES["row_cap"] = row_cap
+ORACLES["row_cap"] = "SELECT least(count(*), 700) AS n, least(count(*), 700) AS masked FROM customer"

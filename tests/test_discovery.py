@@ -137,7 +137,7 @@ def test_catalog(spark):
 
 def test_json_keys_and_columns(spark):
     df = spark.createDataFrame(
-        [('{"email": 1, "notes": 2}', "a", "[1]"), ('{"email": 3, "zip": 4}', "{b", "x"), ("not json", "c", "[2")],
+        [('{"email": 1, "notes": 2}', "a", "[1]"), ('{"email": [{"zip": 4, "e\\u006dail": "k\\": 1"}]}', "{b", "x"), ('not "json":', "c", "[2")],
         "j string, s string, half string",
     )
     assert {r[0]: r[1] for r in json_keys(df, "j").collect()} == {"email": "EMAIL_ADDRESS", "notes": None, "zip": "LOCATION"}

@@ -80,3 +80,9 @@ def test_rules_from_files(spark, tmp_path):
     csv = tmp_path / "rules.csv"
     csv.write_text("table,column,pii_type,masking_style\nusers,email,EMAIL_ADDRESS,full\n")
     assert policy_from_rules(read_rules(spark, str(csv), "csv")).style("users", "email") == "full"
+
+
+def test_a_style_alone_applies_where_it_was_set():
+    p = Policy().with_rule("orders", "email", "full")
+    info, owner = p.resolve("email", [("users", "email"), ("orders", "email")])
+    assert info.entity_type == "EMAIL_ADDRESS" and p.style(*owner) == "full"

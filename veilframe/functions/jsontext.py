@@ -48,6 +48,14 @@ def _escape(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.array(text)), r"(?s)\A\[(.*)\]\z", 1)
 
 
+def json_text_keys(text: Column) -> Column:
+    """Distinct keys of a JSON text, at every depth; none where the text is no JSON."""
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    keys = F.transform(tokens, lambda t: F.regexp_extract(t, rf"(?s)\A({_STRING})\s*+:", 1))
+    distinct = F.array_distinct(F.transform(F.filter(keys, lambda k: k != ""), _unescape))
+    return F.when(is_json(text), distinct).otherwise(F.array().cast("array<string>"))
+
+
 def mask_json_text(
     text: Column,
     style: str = "partial",

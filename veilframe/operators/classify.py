@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.jsontext import is_json
+from ..functions.jsontext import is_json, json_text_keys
 from ..functions.names import (
     JSON_CLASSIFICATION,
     Classification,
@@ -112,8 +112,9 @@ def classify_columns(
 
 
 def json_keys(df: DataFrame, column: str) -> DataFrame:
-    """Distinct top-level keys of a JSON text column with the entity each names."""
-    keys = df.select(F.explode(F.json_object_keys(F.col(column))).alias("key")).distinct()
+    """Distinct keys of a JSON text column, at every depth, with the entity each names."""
+    # Distinct first within the row, then before the shuffle: keys repeat in every row.
+    keys = df.select(F.explode(json_text_keys(F.col(column))).alias("key")).distinct()
     return keys.select("key", entity_of_key(F.col("key")).alias("entity_type"))
 
 

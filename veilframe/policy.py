@@ -130,11 +130,13 @@ class Policy:
                 return None, owner
             if isinstance(entry, Classification):
                 return entry, owner
-        for owner in owners:
-            info = name_classification(owner[1])
+        styled = [o for o in owners if self._key(*o) in self.styles]
+        owner = next(iter(styled or owners), None)
+        for _, base_name in owners:
+            info = name_classification(base_name)
             if info is not None:
                 return info, owner
-        return name_classification(output_name), (owners[0] if owners else None)
+        return name_classification(output_name), owner
 
     @classmethod
     def from_settings(cls, settings: Mapping[str, Any]) -> Policy:
