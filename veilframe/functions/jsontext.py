@@ -1,9 +1,9 @@
 """Masking of JSON held as text, of any shape, without parsing it into a tree.
 
-The text is cut at its string literals. Each cut is a bare string, or a key with
-the string behind it, or a key whose value is no string; everything between the
-cuts (brackets, commas, numbers) is passed through, so key order, number
-formatting and spacing survive. There is no depth at which masking stops.
+The text is read as a row of tokens: a key if there is one, its string value (or a
+bare string), and whatever follows up to the next quote. Brackets, commas and numbers
+are passed through, so key order, number formatting and spacing survive. There is no
+depth at which masking stops.
 """
 
 from __future__ import annotations
@@ -20,8 +20,15 @@ from .prose import DEFAULT_RECOGNIZERS, Recognizer, contains_pii, has_findings,
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _SCALAR = r"-?[0-9][0-9.eE+\-]*+|true|false"
-_TOKEN = rf"(?s){_STRING}(?:\s*+:\s*+(?:{_STRING})?+)?+"
-_TOKEN_WITH_SCALARS = rf"(?s){_STRING}(?:\s*+:\s*+(?:{_STRING}|{_SCALAR})?+)?+"
+
+
+def _token(literal: str) -> str:
+    """Groups: the key with its colon (or nothing), the value (or nothing), the rest."""
+    return rf'(?s)(?=")((?:{_STRING}\s*+:\s*+)?+)((?:{literal})?+)([^"]*+)'
+
+
+_TOKEN = _token(_STRING)
+_TOKEN_WITH_SCALARS = _token(f"{_STRING}|{_SCALAR}")
 
 
 def is_json(text: Column) -> Column:
@@ -36,11 +43,27 @@ def is_json(text: Column) -> Column:
     return F.coalesce(alone, F.lit(False)) & ~F.contains(skeleton, F.lit("'"))
 
 
+def _decoded(literal: Column) -> Column:
+    return F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
+
+
 def _unescape(literal: Column) -> Column:
     """Text of a JSON string literal; the raw characters if an escape is malformed."""
     raw = F.substr(literal, F.lit(2), F.length(literal) - 2)
-    decoded = F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
-    return F.when(F.contains(raw, F.lit("\\")), F.coalesce(decoded, raw)).otherwise(raw)
+    return F.when(
+        F.contains(literal, F.lit("\\")), F.coalesce(_decoded(literal), raw)
+    ).otherwise(raw)
+
+
+def _entity_of(before: Column) -> Column:
+    """Entity of a key as it stands in the text, quotes and colon included.
+
+    The patterns search inside a name, so what surrounds it makes no difference; only
+    an escaped key has to be decoded.
+    """
+    literal = F.regexp_extract(before, rf"(?s)\A({_STRING})", 1)
+    escaped = F.contains(before, F.lit("\\"))
+    return entity_of_key(F.when(escaped, _unescape(literal)).otherwise(before))
 
 
 def _escape(text: Column) -> Column:
@@ -50,9 +73,12 @@ def _escape(text: Column) -> Column:
 
 def json_text_keys(text: Column) -> Column:
     """Distinct keys of a JSON text, at every depth; none where the text is no JSON."""
-    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
-    keys = F.transform(tokens, lambda t: F.regexp_extract(t, rf"(?s)\A({_STRING})\s*+:", 1))
-    distinct = F.array_distinct(F.transform(F.filter(keys, lambda k: k != ""), _unescape))
+    before = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+    literals = F.transform(
+        F.filter(before, lambda b: b != ""),
+        lambda b: F.regexp_extract(b, rf"(?s)\A({_STRING})", 1),
+    )
+    distinct = F.array_distinct(F.transform(literals, _unescape))
     return F.when(is_json(text), distinct).otherwise(F.array().cast("array<string>"))
 
 
@@ -76,27 +102,12 @@ def mask_json_text(
     token = _TOKEN_WITH_SCALARS if mask_scalars else _TOKEN
 
     # Each step is a struct of its own, so that nothing is worked out twice.
-    def cut(tok: Column) -> Column:
-        return F.struct(
-            F.regexp_extract(tok, rf"(?s)\A({_STRING}\s*+:\s*+)", 1).alias("before"),
-            tok.alias("token"),
-        )
-
-    def opened(part: Column) -> Column:
-        before = part["before"]
+    def read(before: Column, literal: Column) -> Column:
         return F.struct(
             before.alias("before"),
-            F.regexp_extract(before, rf"(?s)\A({_STRING})", 1).alias("key"),
-            F.substr(part["token"], F.length(before) + 1).alias("literal"),
-        )
-
-    def read(part: Column) -> Column:
-        literal, key = part["literal"], part["key"]
-        return F.struct(
-            part["before"].alias("before"),
             literal.alias("literal"),
             F.when(literal.startswith('"'), _unescape(literal)).otherwise(literal).alias("value"),
-            F.when((key != "") & (literal != ""), entity_of_key(_unescape(key))).alias("entity"),
+            F.when((before != "") & (literal != ""), _entity_of(before)).alias("entity"),
         )
 
     def judged(part: Column) -> Column:
@@ -118,23 +129,18 @@ def mask_json_text(
             new.alias("new"),
         )
 
-    def rebuilt(part: Column) -> Column:
+    def rebuilt(part: Column, rest: Column) -> Column:
         # A value that does not change keeps the spelling it has.
         same = part["new"].isNull() | (part["new"] == part["value"])
         literal = F.when(same, part["literal"]).otherwise(_escape(part["new"]))
-        return F.concat(part["before"], literal)
-
-    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(0))
-    for step in (cut, opened, read, judged):
-        tokens = F.transform(tokens, step)
-    masked = F.array_join(
-        F.zip_with(
-            F.split(text, token, -1),
-            F.transform(tokens, rebuilt),
-            lambda gap, tok: F.concat(gap, F.coalesce(tok, F.lit(""))),
-        ),
-        "",
-    )
+        return F.concat(part["before"], literal, rest)
+
+    def group(n: int) -> Column:
+        return F.regexp_extract_all(text, F.lit(token), F.lit(n))
+
+    parts = F.transform(F.zip_with(group(1), group(2), read), judged)
+    tokens = F.array_join(F.zip_with(parts, group(3), rebuilt), "")
+    masked = F.concat(F.substring_index(text, '"', 1), tokens)
     # Text with no classified key, no escaped key and no telling value is left alone.
     suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\u"))
     if secrets_only:
