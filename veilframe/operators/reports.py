@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import vocabulary as V
 from ..policy import Policy
 
 _STYLES_DDL = "style_table string, style_column string, own_style string"
@@ -57,18 +58,18 @@ def schema_lines(report: DataFrame, show_pii: bool = True) -> DataFrame:
     heading = report.select(
         _table_key().alias("table_key"),
         F.lit(0).alias("position"),
-        F.concat(F.lit("## "), _table_key()).alias("line"),
+        F.concat(F.lit(V.TABLE_HEADING), _table_key()).alias("line"),
     ).distinct()
     line = F.concat(F.lit("  "), F.col("column_name"), F.lit(": "), F.col("data_type"))
     if show_pii:
         mark = F.concat(
-            F.lit("  ⚠ PII:"),
+            F.lit(V.PII_MARK),
             F.col("entity_type"),
             F.lit(" ("),
             F.col("source"),
             F.lit(", "),
             _percent(F.col("confidence")),
-            F.lit(") → "),
+            F.lit(V.STYLE_ARROW),
             F.col("masking_style"),
         )
         line = F.concat(line, F.coalesce(mark, F.lit("")))
@@ -80,7 +81,7 @@ def schema_text(report: DataFrame, table_filter: str | None = None, show_pii: bo
     """The schema as readable text, tables apart by a blank line."""
     lines = schema_lines(report, show_pii).orderBy("table_key", "position").collect()
     if not lines:
-        return f"Table '{table_filter}' not found." if table_filter else "No tables found."
+        return V.NO_SUCH_TABLE.format(table=table_filter) if table_filter else V.NO_TABLES
     out: list[str] = []
     for row in lines:
         if row["position"] == 0 and out:
@@ -101,10 +102,10 @@ def rule_lines(report: DataFrame) -> DataFrame:
         F.col("source"),
         F.lit(", "),
         _percent(F.col("confidence")),
-        F.lit(") → "),
+        F.lit(V.STYLE_ARROW),
         F.col("masking_style"),
     )
-    excluded = F.concat(F.lit("  "), key, F.lit(": NOT PII (manually excluded)"))
+    excluded = F.concat(F.lit("  "), key, F.lit(V.EXCLUDED_NOTE))
     return report.where("entity_type is not null or excluded").select(
         key.alias("rule_key"),
         F.when(F.col("excluded"), excluded).otherwise(classified).alias("line"),
@@ -115,8 +116,8 @@ def rule_text(report: DataFrame) -> str:
     """The rule list as text, sorted by column."""
     lines = rule_lines(report).orderBy("rule_key").collect()
     if not lines:
-        return "No PII classifications cached yet. Run a query or describe_schema first."
-    return "\n".join(["Active PII masking rules:", "", *(row["line"] for row in lines)])
+        return V.NO_RULES
+    return "\n".join([V.RULES_HEADING, "", *(row["line"] for row in lines)])
 
 
 def findings_by(findings: DataFrame, *keys: str) -> DataFrame:

@@ -69,4 +69,4 @@ def require_read_only(sql: str) -> None:
     """Raise unless the statement only reads."""
     why = refusal(sql)
     if why is not None:
-        raise ReadOnlyError(f"Write queries are not allowed: {why}. The session is read-only.")
+        raise ReadOnlyError(f"{V.WRITES_REFUSED}: {why}. The session is read-only.")

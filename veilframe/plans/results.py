@@ -33,10 +33,10 @@ def _header(statuses: list[tuple[str, str]], shown: int, truncated: bool) -> lis
     revealed = [name for name, status in statuses if status == "UNMASKED"]
     out = []
     if masked:
-        out.append("PII masked: " + ", ".join(masked))
+        out.append(V.MASKED_HEADING + ", ".join(masked))
     if revealed:
-        out.append("Revealed: " + ", ".join(revealed))
-    out.append(f"{shown} rows" + (" (truncated)" if truncated else ""))
+        out.append(V.REVEALED_HEADING + ", ".join(revealed))
+    out.append(f"{shown} rows" + (V.TRUNCATED if truncated else ""))
     return out + [""]
 
 
@@ -47,7 +47,7 @@ def render(df: DataFrame, max_rows: int = 1000) -> str:
     """
     rows = [r["line"] for r in result_lines(df).limit(max_rows + 1).collect()]
     if not rows:
-        return "Query returned 0 rows."
+        return V.NO_ROWS
     shown = rows[:max_rows]
     header = _header(annotations(df), len(shown), len(rows) > max_rows)
     return "\n".join(header + _column_lines(df.columns) + shown)

@@ -9,6 +9,7 @@ from typing import Any
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import vocabulary as V
 from ..functions.sqltext import tables_named
 from ..operators.classify import classify_columns, decisions_from_policy, remember, scan_tables
 from ..operators.redact import redact
@@ -16,7 +17,7 @@ from ..operators.reports import pii_report, rule_text, schema_text
 from ..policy import Policy
 from ..sources.catalog import columns_of, table_list
 from ..sources.writers import write_with_count
-from .gate import require_read_only
+from .gate import ReadOnlyError, require_read_only
 from .lineage import tag_columns
 from .results import render
 from .tuning import tune
@@ -126,7 +127,7 @@ class MaskedSession:
     def write(self, sql: str, params: Mapping[str, Any] | None = None, **target: Any) -> int:
         """Write the masked result of a query; returns the rows written."""
         if self.policy.read_only:
-            raise PermissionError("Write queries are not allowed. The session is read-only.")
+            raise ReadOnlyError(f"{V.WRITES_REFUSED}. The session is read-only.")
         with _errors_without_values():
             return write_with_count(self.sql(sql, params), **target)
 
@@ -143,8 +144,8 @@ class MaskedSession:
         key = self.policy.table_key(table)
         if self.mask_at == "source" and key in self.tables:
             self.register(key, self.tables[key])
-        told = f", pii_type={pii_type}" if pii_type else ""
-        return f"Updated masking for {key}.{column}: style={masking_style}{told}"
+        told = V.UPDATED.format(key=key, column=column, style=masking_style)
+        return told + (f", pii_type={pii_type}" if pii_type else "")
 
     def scan(self, *tables: str) -> DataFrame:
         """Classify tables (all by default) by value too, and remember the outcome."""
@@ -165,10 +166,7 @@ class MaskedSession:
         """Names of all tables, or the columns of one."""
         if table is None:
             keys = [r[0] for r in table_list(columns_of(self.spark, self.tables)).collect()]
-            return (
-                f"{len(keys)} tables found. Pass a table name to see its columns.\n\n"
-                + "\n".join(keys)
-            )
+            return "\n".join([V.TABLES_FOUND.format(count=len(keys)), "", *keys])
         return schema_text(self.report(table), table, show_pii)
 
     def rules(self) -> str:
