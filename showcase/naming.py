@@ -65,7 +65,7 @@ _RULES = f"""
 SELECT CASE WHEN position % 2 = 0 THEN concat('PUBLIC.', upper(table_name)) ELSE table_name END AS "table",
   upper(column_name) AS "column",
   CASE position % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'US_SSN' ELSE 'FREE_TEXT' END AS pii_type
-FROM ({COLUMN_NAMES}) WHERE position % 4 = 0
+FROM ({COLUMN_NAMES}) WHERE column_name LIKE '%a%'
 """
 
 

@@ -59,7 +59,7 @@ def test_resolve_order():
 def test_settings():
     p = Policy.from_settings(
         {
-            "default_masking_style": "full", "max_rows": 5, "allowed_schemas": ["a", "b"],
+            "connection_string": "x", "default_masking_style": "full", "max_rows": 5, "allowed_schemas": ["a", "b"],
             "column_rules": [{"table": "users", "column": "email", "pii_type": "EMAIL_ADDRESS", "masking_style": "partial"}],
         }
     )

@@ -154,6 +154,9 @@ def test_source_mode(spark, people):
     s = session(spark, people, mask_at="source")
     assert s.sql("SELECT upper(email) AS x FROM users WHERE id = 1").first()[0] == "J***@E***.COM"
     assert s.sql("SELECT count(*) AS n FROM users WHERE email LIKE '%john%'").first()[0] == 0
+    assert s.query("SELECT email AS x FROM users WHERE id = 1").startswith("PII masked: x (MASKED: EMAIL_ADDRESS)")
+    with pytest.raises(ValueError):
+        s.sql("SELECT email FROM users", reveal_columns=["email"])
     s.configure("users", "email", "full")
     assert s.sql("SELECT email AS x FROM users WHERE id = 1").first()[0] == "[EMAIL ADDRESS]"
     with pytest.raises(ValueError):

@@ -4,15 +4,17 @@ The sample of a column is its ``limit`` distinct values with the smallest SHA-25
 so it does not depend on partitioning. Finding them must not sort or shuffle every
 distinct value, which for text columns is the whole table:
 
-1. per column, take the eighth of the values that a cheap hash picks, put them into
-   ``4 * limit`` buckets and keep the smallest SHA-256 of each. This is a fixed-width
-   minimum, combined before the shuffle.
+1. per column, put the values of some of the rows into ``4 * limit`` buckets and keep
+   the smallest SHA-256 of each. This is a fixed-width minimum, combined before the
+   shuffle.
 2. the ``limit``-th smallest of those minima bounds the sample from above: that many
-   distinct values lie at or below it, whichever values were looked at.
-3. every value is compared with the bound, and those at or below it are made
-   distinct and ranked: about ``9 * limit`` per column, however large or skewed the
-   table is. A column with too few buckets in use has few distinct values and gets no
-   bound. The sample is exact in any case; the bound only saves work.
+   distinct values lie at or below it, whichever rows were looked at.
+3. every value of every row is compared with the bound, and those at or below it are
+   made distinct and ranked: about ``10 * limit`` per column, however large or skewed
+   the table is. A column with too few buckets in use has few distinct values among
+   the rows looked at and gets no bound.
+
+The bound only saves work: the sample is taken from all rows and is exact.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from ..functions.prose import DEFAULT_RECOGNIZERS, Recognizer, findings
 from ..plans.lineage import quoted
 
 _BUCKETS_PER_VALUE = 4
-_BOUND_FROM_ONE_IN = 8
+_ROWS_FOR_BOUND = 0.125
 
 
 def _as_text(field: T.StructField) -> Column:
@@ -68,7 +70,7 @@ def sample_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     values = _long_form(df, names)
 
     minima = (
-        values.where(F.pmod(F.xxhash64("value"), F.lit(_BOUND_FROM_ONE_IN)) == 0)
+        _long_form(df.sample(_ROWS_FOR_BOUND, seed=1), names)
         .select("column_name", _hash_head(digest).alias("head"))
         .groupBy("column_name", (F.col("head") % (_BUCKETS_PER_VALUE * limit)).alias("bucket"))
         .agg(F.min("head").alias("head"))

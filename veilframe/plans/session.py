@@ -104,9 +104,11 @@ class MaskedSession:
         reveal_types: Iterable[str] = (),
     ) -> DataFrame:
         """A masked, uncapped DataFrame: write it, join it, or ``render`` it."""
-        result = self.raw_sql(sql, params)
         if self.mask_at == "source":
-            return result
+            if reveal_columns or reveal_types:
+                raise ValueError("tables masked at the source have nothing to reveal")
+            return self.raw_sql(sql, params)
+        result = self.raw_sql(sql, params)
         named = tables_named(sql, self.policy.default_schema)
         return redact(result, self.policy, named, reveal_columns, reveal_types)
 

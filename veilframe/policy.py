@@ -140,8 +140,11 @@ class Policy:
 
     @classmethod
     def from_settings(cls, settings: Mapping[str, Any]) -> Policy:
-        """A policy from a parsed settings mapping; unknown keys are an error."""
-        known = dict(settings)
+        """A policy from a parsed settings mapping; unknown keys are an error.
+
+        A connection string is passed over: sources are read apart from the policy.
+        """
+        known = {k: v for k, v in settings.items() if k != "connection_string"}
         if "default_masking_style" in known:
             known["default_style"] = known.pop("default_masking_style")
         rules = tuple(
