@@ -139,6 +139,25 @@ def test_explain(spark, people):
     assert "Physical Plan" in plan
 
 
+@pytest.mark.parametrize("mask_at", ["output", "source"])
+def test_the_seed_is_not_shown_in_plans(spark, people, mask_at):
+    policy = Policy(default_style="pseudonymize", seed="s3ed (of [mine]")
+    s = session(spark, people, policy, mask_at=mask_at)
+    try:
+        assert s.sql("SELECT email FROM users WHERE id = 1").first()[0].endswith("@masked.invalid")
+        assert "s3ed" not in s.explain("SELECT email FROM users")
+        assert "s3ed" not in s.query("EXPLAIN EXTENDED SELECT email FROM users")
+    finally:
+        spark.conf.unset("spark.sql.redaction.string.regex")
+
+
+def test_a_bare_name_is_used_once(spark, people):
+    s = session(spark, people)
+    s.register("users", people)
+    with pytest.raises(ValueError):
+        s.register("web.users", people)
+
+
 def test_configure(spark, people):
     s = session(spark, people)
     assert s.configure("users", "email", "full") == "Updated masking for public.users.email: style=full"

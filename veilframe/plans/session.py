@@ -20,7 +20,7 @@ from ..sources.writers import write_with_count
 from .gate import ReadOnlyError, require_read_only
 from .lineage import tag_columns
 from .results import render
-from .tuning import tune
+from .tuning import hide_in_plans, tune
 
 _SQL_ON_FILES = "spark.sql.runSQLOnFiles"
 
@@ -33,8 +33,9 @@ class QueryError(RuntimeError):
 def _errors_without_values() -> Iterator[None]:
     try:
         yield
-    except PySparkException as error:
-        raise QueryError(error.getCondition() or type(error).__name__) from None
+    except Exception as error:
+        named = isinstance(error, PySparkException) and error.getCondition()
+        raise QueryError(named or type(error).__name__) from None
 
 
 class MaskedSession:
@@ -55,17 +56,22 @@ class MaskedSession:
             raise ValueError("mask_at is 'output' or 'source'")
         self.spark = tune(spark)
         self.policy = policy or Policy()
+        if self.policy.seed:
+            hide_in_plans(spark, self.policy.seed)
         self.mask_at = mask_at
         self.tables: dict[str, DataFrame] = {}
 
     def register(self, table: str, df: DataFrame) -> MaskedSession:
         """Make a table known to queries under its bare name."""
         key = self.policy.table_key(table)
+        bare = key.rpartition(".")[2]
+        if any(k != key and k.rpartition(".")[2] == bare for k in self.tables):
+            raise ValueError(f"a table named {bare} is registered already")
         self.tables[key] = df
         view = tag_columns(df, key)
         if self.mask_at == "source":
             view = redact(view, self.policy)
-        view.createOrReplaceTempView(key.rpartition(".")[2])
+        view.createOrReplaceTempView(bare)
         return self
 
     def add_catalog(self) -> MaskedSession:
@@ -89,8 +95,8 @@ class MaskedSession:
         finally:
             self.spark.conf.set(_SQL_ON_FILES, before)
 
-    def raw_sql(self, sql: str, params: Mapping[str, Any] | None = None) -> DataFrame:
-        """Run a statement that passes the gate, without masking its output."""
+    def _run(self, sql: str, params: Mapping[str, Any] | None = None) -> DataFrame:
+        """The unmasked result of a statement that passes the gate."""
         if self.policy.read_only:
             require_read_only(sql)
         with _errors_without_values(), self._no_path_tables():
@@ -107,8 +113,8 @@ class MaskedSession:
         if self.mask_at == "source":
             if reveal_columns or reveal_types:
                 raise ValueError("tables masked at the source have nothing to reveal")
-            return self.raw_sql(sql, params)
-        result = self.raw_sql(sql, params)
+            return self._run(sql, params)
+        result = self._run(sql, params)
         named = tables_named(sql, self.policy.default_schema)
         return redact(result, self.policy, named, reveal_columns, reveal_types)
 
@@ -130,12 +136,13 @@ class MaskedSession:
         """Write the masked result of a query; returns the rows written."""
         if self.policy.read_only:
             raise ReadOnlyError(f"{V.WRITES_REFUSED}. The session is read-only.")
+        result = self.sql(sql, params)
         with _errors_without_values():
-            return write_with_count(self.sql(sql, params), **target)
+            return write_with_count(result, **target)
 
     def explain(self, sql: str) -> str:
         """The physical plan of a query, as Spark formats it."""
-        row = self.raw_sql(f"EXPLAIN FORMATTED {sql}").first()
+        row = self._run(f"EXPLAIN FORMATTED {sql}").first()
         return row[0]
 
     def configure(

@@ -1,7 +1,9 @@
-"""Session settings that masking projections profit from."""
+"""Session settings for masking: fast projections, and plans that keep the seed hidden."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,19 @@ def tune(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
+
+
+_REDACTED_TEXT = "spark.sql.redaction.string.regex"
+
+
+def hide_in_plans(spark: SparkSession, secret: str) -> None:
+    """Blank ``secret`` in EXPLAIN output and plan descriptions.
+
+    The seed of pseudonyms is a literal of the masking expressions; whoever reads it in
+    a plan can look pseudonyms up.
+    """
+    quoted = re.escape(secret)
+    before = spark.conf.get(_REDACTED_TEXT, None)
+    if before and quoted not in before.split("|"):
+        quoted = f"{before}|{quoted}"
+    spark.conf.set(_REDACTED_TEXT, quoted)
