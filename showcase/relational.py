@@ -255,14 +255,15 @@ _add(
     mask_at="source",
 )
 
-# The latest event of each customer: an as-of lookup without a window over the events.
-_LATEST = """SELECT p.c_custkey, p.email AS contact, {latest}(e.event_id, e.ts) AS last_event, count(e.event_id) AS events
+# When each customer was last seen: an as-of lookup without a window over the events.
+_LATEST = """SELECT p.c_custkey, p.email AS contact, {text} AS last_seen, count(e.event_id) AS events
 FROM people p LEFT JOIN events e ON e.user_id = p.c_custkey AND e.value > p.c_nationkey
 GROUP BY p.c_custkey, p.email"""
 _add(
     "redact_latest_event",
-    _LATEST.format(latest="max_by"),
-    f"SELECT c_custkey, {duck.email('contact')} AS contact, last_event, events FROM ({_LATEST.format(latest='arg_max')})",
+    _LATEST.format(text="date_format(max(e.ts), 'yyyy-MM-dd HH:mm:ss')"),
+    f"""SELECT c_custkey, {duck.email('contact')} AS contact, last_seen, events
+      FROM ({_LATEST.format(text="strftime(max(e.ts), '%Y-%m-%d %H:%M:%S')")})""",
     ("events",),
 )
 
