@@ -8,7 +8,8 @@ distinct value, which for text columns is the whole table:
    the smallest SHA-256 of each. This is a fixed-width minimum, combined before the
    shuffle.
 2. the ``limit``-th smallest of those minima bounds the sample from above: that many
-   distinct values lie at or below it, whichever rows were looked at.
+   distinct values lie at or below it, whichever rows were looked at. One bound per
+   column comes to the driver and goes into the plan as a literal.
 3. every value of every row is compared with the bound, and those at or below it are
    made distinct and ranked: about ``10 * limit`` per column, however large or skewed
    the table is. A column with too few buckets in use has few distinct values among
@@ -19,7 +20,8 @@ The bound only saves work: the sample is taken from all rows and is exact.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,68 +36,88 @@ _BUCKETS_PER_VALUE = 4
 _ROWS_FOR_BOUND = 0.125
 
 
+# Tables by key, each with the columns to look at.
+Tables = Mapping[str, tuple[DataFrame, Sequence[str]]]
+
+
 def _as_text(field: T.StructField) -> Column:
     value = F.col(quoted(field.name))
-    text = F.base64(value) if isinstance(field.dataType, T.BinaryType) else value.cast("string")
-    return text.alias(field.name)
+    return F.base64(value) if isinstance(field.dataType, T.BinaryType) else value.cast("string")
 
 
-def _long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(column_name, value)`` for every non-null value of the columns."""
+def _long_form(
+    key: str, df: DataFrame, columns: Sequence[str], bounds: Mapping[tuple[str, str], str]
+) -> DataFrame:
+    """``(table_key, column_name, value)`` for every non-null value under its bound."""
     fields = {f.name: f for f in df.schema.fields}
-    texts = df.select(*[_as_text(fields[name]) for name in columns])
-    return texts.unpivot(
-        [], [F.col(quoted(name)) for name in columns], "column_name", "value"
-    ).where("value is not null")
-
 
-def _hash_head(digest: Column) -> Column:
-    """The first 60 bits of a hex digest as a number, ordered like the digest."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    def text(name: str) -> Column:
+        value = _as_text(fields[name])
+        bound = bounds.get((key, name))
+        return value if bound is None else F.when(F.sha2(value, 256) < bound, value)
 
-
-def _head_as_digest(head: Column) -> Column:
-    """A text that sorts behind every digest with this head, before the next one."""
-    return F.concat(F.lpad(F.lower(F.hex(head)), 15, "0"), F.lit("g"))
+    # The comparison stands before the unpivot, so that most values never become rows.
+    return (
+        df.select(*[text(name).alias(name) for name in columns])
+        .unpivot([], [F.col(quoted(name)) for name in columns], "column_name", "value")
+        .where("value is not null")
+        .select(F.lit(key).alias("table_key"), "column_name", "value")
+    )
 
 
-def sample_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 100) -> DataFrame:
-    """Up to ``limit`` distinct non-null values of each column, as text.
+def _all(parts: Iterable[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-    Columns: ``column_name, value``. As in sampling with a row limit, empty strings
-    count towards the limit and are dropped afterwards.
-    """
-    names = list(columns if columns is not None else df.columns)
-    digest = F.sha2("value", 256)
-    values = _long_form(df, names)
 
+def _bounds(tables: Tables, limit: int) -> dict[tuple[str, str], str]:
+    """For each column, a text just above the digests its sample can have."""
+    looked_at = _all(
+        _long_form(key, df.sample(_ROWS_FOR_BOUND, seed=1), columns, {})
+        for key, (df, columns) in tables.items()
+    )
+    # The first 60 bits of the digest as a number, which is ordered like the digest.
+    head = F.conv(F.substring(F.sha2("value", 256), 1, 15), 16, 10).cast("bigint")
     minima = (
-        _long_form(df.sample(_ROWS_FOR_BOUND, seed=1), names)
-        .select("column_name", _hash_head(digest).alias("head"))
-        .groupBy("column_name", (F.col("head") % (_BUCKETS_PER_VALUE * limit)).alias("bucket"))
+        looked_at.select("table_key", "column_name", head.alias("head"))
+        .groupBy(
+            "table_key", "column_name", (F.col("head") % (_BUCKETS_PER_VALUE * limit)).alias("bucket")
+        )
         .agg(F.min("head").alias("head"))
     )
-    nth = Window.partitionBy("column_name").orderBy("head")
-    bounds = (
-        minima.withColumn("n", F.row_number().over(nth))
-        .where(F.col("n") == limit)
-        .select("column_name", _head_as_digest(F.col("head")).alias("bound"))
-    )
-    # One bound per column: the broadcast is as wide as the schema, never the data.
-    candidates = (
-        values.join(F.broadcast(bounds), "column_name", "left")
-        .where(F.col("bound").isNull() | (digest < F.col("bound")))
-        .select("column_name", "value")
-        .distinct()
-    )
-    ranked = Window.partitionBy("column_name").orderBy(F.sha2("value", 256))
+    nth = Window.partitionBy("table_key", "column_name").orderBy("head")
+    rows = minima.withColumn("n", F.row_number().over(nth)).where(F.col("n") == limit).collect()
+    # "g" sorts behind every hex digit.
+    return {(r["table_key"], r["column_name"]): f"{r['head']:015x}g" for r in rows}
+
+
+def sample_tables(tables: Tables, limit: int = 100) -> DataFrame:
+    """``sample_columns`` over several tables at once, with their ``table_key``.
+
+    The bounds are found by a job of its own when this is called.
+    """
+    tables = {key: (df, columns) for key, (df, columns) in tables.items() if columns}
+    bounds = _bounds(tables, limit)
+    candidates = _all(
+        _long_form(key, df, columns, bounds) for key, (df, columns) in tables.items()
+    ).distinct()
+    ranked = Window.partitionBy("table_key", "column_name").orderBy(F.sha2("value", 256))
     return (
         candidates.withColumn("n", F.row_number().over(ranked))
         .where((F.col("n") <= limit) & (F.col("value") != ""))
-        .select("column_name", "value")
+        .select("table_key", "column_name", "value")
     )
 
 
+def sample_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 100) -> DataFrame:
+    """Up to ``limit`` distinct non-null values of each column, as text.
+
+    Columns: ``column_name, value``. As in sampling with a row limit, empty strings
+    count towards the limit and are dropped afterwards.
+    """
+    names = list(columns if columns is not None else df.columns)
+    return sample_tables({"": (df, names)}, limit).drop("table_key")
+
+
 def vote_columns(
     samples: DataFrame,
     keys: Sequence[str] = ("column_name",),
@@ -147,17 +169,9 @@ def vote_columns(
 
 
 def vote_tables(
-    tables: Mapping[str, tuple[DataFrame, Sequence[str]]],
-    limit: int = 100,
-    recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
+    tables: Tables, limit: int = 100, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS
 ) -> DataFrame | None:
-    """``vote_columns`` over several tables in one job; None if there is nothing to read."""
-    sampled = None
-    for key, (df, columns) in tables.items():
-        if not columns:
-            continue
-        part = sample_columns(df, columns, limit).withColumn("table_key", F.lit(key))
-        sampled = part if sampled is None else sampled.unionByName(part)
-    if sampled is None:
+    """``vote_columns`` over several tables; None if there is nothing to read."""
+    if not any(columns for _, columns in tables.values()):
         return None
-    return vote_columns(sampled, ("table_key", "column_name"), recognizers)
+    return vote_columns(sample_tables(tables, limit), ("table_key", "column_name"), recognizers)
