@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veilframe import MaskedSession, Policy, Rule, json_columns, sample_columns, scan_tables, vote_columns
 from veilframe.operators.classify import remember
 from veilframe.operators.reports import pii_report, rule_lines, schema_lines
@@ -80,6 +82,28 @@ def vote_on_pages(spark, sf_dir):
 QUERIES["vote_pages"] = vote_on_pages
 ORACLES["vote_pages"] = _duck_votes(_duck_samples("pages", ["url", "html"]), share=0.01)
 
+
+def redact_found_json(spark, sf_dir):
+    """JSON text found by its values is masked by its keys afterwards."""
+    tables = {"public.profiles": derived(spark, sf_dir, CONTACT_JSON).withColumnRenamed("data", "d")}
+    policy = remember(Policy(), scan_tables(spark, tables, Policy(), json_share=0.9))
+    session = MaskedSession(spark, policy).register("profiles", tables["public.profiles"])
+    out = session.sql("SELECT c_custkey, d AS anything FROM profiles")
+    return out.select(
+        "c_custkey",
+        F.get_json_object("anything", "$.email").alias("email"),
+        F.get_json_object("anything", "$.contact.otp_secret").alias("otp_secret"),
+        F.get_json_object("anything", "$.tier").alias("tier"),
+    )
+
+
+QUERIES["redact_found_json"] = redact_found_json
+ORACLES["redact_found_json"] = f"""
+SELECT c_custkey, {duck.email('email')} AS email, '[REDACTED]' AS otp_secret, tier
+FROM (SELECT c_custkey, json_extract_string(data, '$.email') AS email, json_extract_string(data, '$.tier') AS tier
+      FROM ({CONTACT_JSON}))
+"""
+
 _JSON_COLUMNS = """SELECT data, cast(c_custkey AS string) AS k, 'x' AS word,
   CASE WHEN c_custkey % 2 = 0 THEN concat('[', c_custkey, ']') ELSE concat('[', c_custkey) END AS half
 FROM (""" + CONTACT_JSON + ")"

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe import Policy, Rule, json_columns, json_keys, sample_columns, scan_tables, vote_columns
+from veilframe import Policy, Rule, json_columns, json_keys, redact, sample_columns, scan_tables, vote_columns
 from veilframe.operators.classify import classify_columns, decisions_from_rules, remember
 from veilframe.operators.reports import pii_report
 from veilframe.sources.catalog import catalog_columns, columns_of, table_list
@@ -68,6 +68,29 @@ def test_votes(spark):
     }
 
 
+def test_votes_for_json(spark):
+    samples = {
+        "json": ['{"a": "x@y.org z@y.org"}', '["a@b.com"]', "x"],
+        "mail": ['{"a": 1}', "a@b.com c@d.com", "d@e.com"],
+        "plain": ["{a", "[", "z"],
+    }
+    df = spark.createDataFrame([(c, v) for c, vs in samples.items() for v in vs], "column_name string, value string")
+
+    def winners(**kw):
+        return {r["column_name"]: (r["entity_type"], r["votes"]) for r in vote_columns(df, **kw).collect()}
+
+    assert winners(json_share=0.6) == {"json": ("JSON_CONTAINER", 2), "mail": ("EMAIL_ADDRESS", 3)}
+    assert winners() == {"json": ("EMAIL_ADDRESS", 3), "mail": ("EMAIL_ADDRESS", 3)}
+
+
+def test_scan_can_find_json_text(spark):
+    df = spark.createDataFrame([('{"email": "a@b.com"}',)], "payload string")
+    found = scan_tables(spark, {"public.t": df}, Policy(), json_share=0.9)
+    policy = remember(Policy(), found)
+    assert policy.entry("t", "payload").is_json
+    assert redact(df, policy, ["t"]).first()[0] == '{"email": "a***@b***.com"}'
+
+
 def test_scan_reads_only_silent_columns(spark):
     df = spark.createDataFrame(
         [(f"u{i}@x.org", "n", f"10.0.0.{i}", ("a",), "n@o.org") for i in range(30)],

@@ -43,6 +43,11 @@ def is_json(text: Column) -> Column:
     return F.coalesce(alone, F.lit(False)) & ~F.contains(skeleton, F.lit("'"))
 
 
+def looks_like_json(text: Column) -> Column:
+    """True where the text is a JSON object or array."""
+    return text.rlike(r"^\s*[\[{]") & is_json(text)
+
+
 def _decoded(literal: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), literal, F.lit("]")), "array<string>")[0]
 

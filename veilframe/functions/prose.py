@@ -138,7 +138,7 @@ def findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZE
 
 # Positions are summed up in runs of this many findings, then across the runs, so
 # that a text with very many findings stays linear.
-_RUN = 1000
+_RUN = 100
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

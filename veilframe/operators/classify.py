@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.jsontext import is_json, json_text_keys
+from ..functions.jsontext import json_text_keys, looks_like_json
 from ..functions.names import (
     JSON_CLASSIFICATION,
     Classification,
@@ -125,8 +125,7 @@ def json_columns(
 
     Columns: ``column_name, samples, json_share``; only those reaching ``share``.
     """
-    value = F.col("value")
-    looks = value.rlike(r"^\s*[\[{]") & is_json(value)
+    looks = looks_like_json(F.col("value"))
     return (
         sample_columns(df, columns, limit)
         .groupBy("column_name")
@@ -139,12 +138,16 @@ def json_columns(
 
 
 def scan_tables(
-    spark: SparkSession, tables: Mapping[str, DataFrame], policy: Policy
+    spark: SparkSession,
+    tables: Mapping[str, DataFrame],
+    policy: Policy,
+    json_share: float | None = None,
 ) -> DataFrame:
     """Classify every column of the tables, reading values only where a name is silent.
 
     Recorded entries are reused, then types and names are judged from the schemas.
-    The columns left over are sampled and voted on in one job over all tables.
+    The columns left over are sampled and voted on, all tables together. With
+    ``json_share``, text columns whose samples are JSON to that share are JSON too.
     Columns: those of ``columns_of`` plus the classification and ``excluded``.
     """
     silent = {}
@@ -159,7 +162,7 @@ def scan_tables(
         silent[key] = (df, names)
     columns = columns_of(spark, tables)
     judged = classify_columns(columns, decisions_from_policy(spark, policy))
-    votes = vote_tables(silent, policy.sample_size, policy.recognizers)
+    votes = vote_tables(silent, policy.sample_size, policy.recognizers, json_share)
     if votes is None:
         return judged
     voted = votes.select(
@@ -170,7 +173,7 @@ def scan_tables(
             "confidence",
             F.lit("values").alias("source"),
             F.lit(False).alias("is_free_text"),
-            F.lit(False).alias("is_json"),
+            (F.col("entity_type") == V.JSON_CONTAINER).alias("is_json"),
         ).alias("vote"),
     )
     # At most one row per column on either side, so the vote may be broadcast.

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
+from ..functions.jsontext import looks_like_json
 from ..functions.masks import is_blank
 from ..functions.prose import DEFAULT_RECOGNIZERS, Recognizer, findings
 from ..plans.lineage import quoted
@@ -118,60 +119,67 @@ def sample_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: i
     return sample_tables({"": (df, names)}, limit).drop("table_key")
 
 
+_FINDING = "struct<entity_type:string,value:string,score:double>"
+
+
 def vote_columns(
     samples: DataFrame,
     keys: Sequence[str] = ("column_name",),
     recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
     share: float = V.VOTE_SHARE,
+    json_share: float | None = None,
 ) -> DataFrame:
     """The entity type each column's sampled values vote for, if any.
 
     Every finding is one vote. The type with most votes wins (the earlier recogniser
     on a tie) if its votes reach ``share`` of the samples, blank ones included. The
-    confidence is the mean score of its findings.
+    confidence is the mean score of its findings. With ``json_share``, a column of
+    which that share is JSON objects or arrays is JSON, whatever is found inside.
     """
-    order = {r.entity: i for i, r in reversed(list(enumerate(recognizers)))}
-    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    scanned = samples.select(
-        *keys,
-        F.when(is_blank(F.col("value")), F.array()).otherwise(
-            findings(F.col("value"), recognizers)
-        ).alias("found"),
-    )
-    # One shuffle: sample sizes and votes are counted in the same aggregation.
+    value = F.col("value")
+
+    def entry(entity: str | None, score: float) -> Column:
+        made = F.struct(F.lit(entity), F.lit(""), F.lit(score))
+        return F.array(made.cast(_FINDING))
+
+    nothing = F.array().cast(f"array<{_FINDING}>")
+    found = F.when(is_blank(value), nothing).otherwise(findings(value, recognizers))
+    if json_share is not None:
+        as_json = F.when(looks_like_json(value), entry(V.JSON_CONTAINER, V.JSON_CONFIDENCE))
+        found = F.concat(F.coalesce(as_json, nothing), found)
+    # One shuffle counts the samples (the entry without a type) and the votes.
     per_entity = (
-        scanned.select(*keys, F.explode(F.concat(
-            F.array(F.struct(
-                F.lit(None).cast("string").alias("entity_type"),
-                F.lit("").alias("value"),
-                F.lit(0.0).alias("score"),
-            )),
-            F.col("found"),
-        )).alias("f"))
+        samples.select(*keys, F.explode(F.concat(entry(None, 0.0), found)).alias("f"))
         .groupBy(*keys, F.col("f.entity_type").alias("entity_type"))
         .agg(F.count(F.lit(1)).alias("votes"), F.avg("f.score").alias("confidence"))
     )
+    entity = F.col("entity_type")
+    is_container = entity == V.JSON_CONTAINER
+    order = {r.entity: i for i, r in reversed(list(enumerate(recognizers)))}
+    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
     whole = Window.partitionBy(*keys)
-    best = whole.orderBy(
-        F.col("entity_type").isNull(), F.desc("votes"), F.element_at(rank_of, F.col("entity_type"))
+    counted = per_entity.withColumn(
+        "samples", F.max(F.when(entity.isNull(), F.col("votes"))).over(whole)
     )
-    sampled = F.max(F.when(F.col("entity_type").isNull(), F.col("votes"))).over(whole)
+    needed = F.when(is_container, F.lit(json_share or 0.0)).otherwise(F.lit(0.0))
+    best = whole.orderBy(F.desc(is_container), F.desc("votes"), F.element_at(rank_of, entity))
     return (
-        per_entity.withColumn("samples", sampled)
+        counted.where(entity.isNotNull() & (F.col("votes") >= F.col("samples") * needed))
         .withColumn("n", F.row_number().over(best))
-        .where(
-            (F.col("n") == 1)
-            & F.col("entity_type").isNotNull()
-            & (F.col("votes") >= F.col("samples") * share)
-        )
+        .where((F.col("n") == 1) & (F.col("votes") >= F.col("samples") * share))
         .select(*keys, "entity_type", "confidence", "votes", "samples")
     )
 
 
 def vote_tables(
-    tables: Tables, limit: int = 100, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS
+    tables: Tables,
+    limit: int = 100,
+    recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
+    json_share: float | None = None,
 ) -> DataFrame | None:
     """``vote_columns`` over several tables; None if there is nothing to read."""
     if not any(columns for _, columns in tables.values()):
         return None
-    return vote_columns(sample_tables(tables, limit), ("table_key", "column_name"), recognizers)
+    samples = sample_tables(tables, limit)
+    keys = ("table_key", "column_name")
+    return vote_columns(samples, keys, recognizers, json_share=json_share)

@@ -156,10 +156,11 @@ class MaskedSession:
         told = V.UPDATED.format(key=key, column=column, style=masking_style)
         return told + (f", pii_type={pii_type}" if pii_type else "")
 
-    def scan(self, *tables: str) -> DataFrame:
+    def scan(self, *tables: str, json_share: float | None = None) -> DataFrame:
         """Classify tables (all by default) by value too, and remember the outcome."""
         keys = [self.policy.table_key(t) for t in tables] or list(self.tables)
-        found = scan_tables(self.spark, {k: self.tables[k] for k in keys}, self.policy)
+        chosen = {k: self.tables[k] for k in keys}
+        found = scan_tables(self.spark, chosen, self.policy, json_share)
         found = self.spark.createDataFrame(found.collect(), found.schema)  # one row per column
         self.policy = remember(self.policy, found)
         return found
