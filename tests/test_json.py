@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import DEFAULT_RECOGNIZERS, Recognizer
 from veilframe.functions.jsontext import is_json, mask_json_text
 from veilframe.functions.nested import NestedStyle, mask_nested
 
@@ -185,3 +186,11 @@ def test_variant(spark):
     out = df.select(mask_nested(F.col("v"), T.VariantType(), NestedStyle()).alias("v"))
     assert out.schema["v"].dataType == T.VariantType()
     assert json.loads(out.select(F.to_json("v")).first()[0]) == {"email": "a***@b***.com", "n": 1}
+
+
+def test_own_recognizers_work_inside_json(spark):
+    own = (*DEFAULT_RECOGNIZERS, Recognizer("BADGE", r"\bB-\d{2}\b", 0.9))
+    assert tree(spark, {"x": "see B-12", "y": "B-1"}, recognizers=own) == {"x": "see [BADGE]", "y": "B-1"}
+    df = spark.createDataFrame([(("see B-12",),)], "v struct<x:string>")
+    how = NestedStyle(recognizers=own)
+    assert df.select(mask_nested(F.col("v"), df.schema["v"].dataType, how).alias("v")).first()[0]["x"] == "see [BADGE]"

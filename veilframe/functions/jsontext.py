@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .masks import mask_by_entity
 from .names import ANY_KEY_PATTERN, entity_of_key
-from .prose import DEFAULT_RECOGNIZERS, Recognizer, contains_pii, has_findings, redact_text
+from .prose import DEFAULT_RECOGNIZERS, Recognizer, has_findings, is_telling, redact_text
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _SCALAR = r"-?[0-9][0-9.eE+\-]*+|true|false"
@@ -121,7 +121,7 @@ def mask_json_text(
         if secrets_only:
             new = F.when(entity == V.SECRET, by_key)
         else:
-            in_prose = literal.startswith('"') & contains_pii(value)
+            in_prose = literal.startswith('"') & is_telling(value, recognizers)
             new = (
                 F.when(entity.isin(revealed), value)
                 .when(entity.isNotNull(), by_key)
@@ -150,7 +150,7 @@ def mask_json_text(
     suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\u"))
     if secrets_only:
         return F.when(suspect & is_json(text), masked).otherwise(text)
-    suspect = suspect | contains_pii(text)
+    suspect = suspect | is_telling(text, recognizers)
     as_prose = redact_text(text, style, seed, revealed, recognizers)
     return (
         F.when(suspect & is_json(text), masked)

@@ -13,7 +13,7 @@ from . import vocabulary as V
 from .jsontext import mask_json_text
 from .masks import mask, mask_by_entity
 from .names import entity_of_key, key_entity
-from .prose import DEFAULT_RECOGNIZERS, Recognizer, contains_pii, redact_text
+from .prose import DEFAULT_RECOGNIZERS, Recognizer, is_telling, redact_text
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def _neutral_text(value: Column, how: NestedStyle) -> Column:
     if how.secrets_only:
         return value
     scanned = redact_text(value, how.style, how.seed, how.reveal_types, how.recognizers)
-    return F.when(contains_pii(value), scanned).otherwise(value)
+    return F.when(is_telling(value, how.recognizers), scanned).otherwise(value)
 
 
 def _leaf(value: Column, dtype: T.DataType, key: str | None, how: NestedStyle) -> Column:

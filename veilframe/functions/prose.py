@@ -94,6 +94,12 @@ def contains_pii(text: Column) -> Column:
     return has_findings(text, PREFILTER)
 
 
+def is_telling(text: Column, recognizers: Sequence[Recognizer]) -> Column:
+    """``contains_pii``, extended by the recognisers that are not built in."""
+    own = tuple(r for r in recognizers if r not in DEFAULT_RECOGNIZERS)
+    return has_findings(text, PREFILTER + own)
+
+
 def _entity_of_hit(hit: Column, recognizers: Sequence[Recognizer]) -> Column:
     chain = F.when(F.lit(False), F.lit(""))
     for r in recognizers[:-1]:
@@ -259,6 +265,7 @@ __all__ = [
     "contains_pii",
     "findings",
     "has_findings",
+    "is_telling",
     "positioned_findings",
     "redact_text",
 ]
