@@ -58,6 +58,12 @@ def test_escaped_keys_are_read(spark):
     assert json.loads(masked(spark, '{"e\\u006dail": "a@b.com", "n": 1.50}')) == {"email": "a***@b***.com", "n": 1.5}
 
 
+def test_values_told_by_their_escapes_only(spark):
+    for value in ("555\n123\n4567", "\n555-123-4567", "\t123-45-6789"):
+        assert tree(spark, {"x": value})["x"].strip() in ("[PHONE NUMBER]", "[US SSN]")
+    assert json.loads(masked(spark, '["a\\u0040b.com"]')) == ["[EMAIL ADDRESS]"]
+
+
 def test_numbers_order_and_spacing_survive(spark):
     text = '{ "z" : 1.50, "email" :  "a@b.com","a":1e3 , "z2":[ ] }'
     assert masked(spark, text) == '{ "z" : 1.50, "email" :  "a***@b***.com","a":1e3 , "z2":[ ] }'

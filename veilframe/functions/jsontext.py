@@ -146,8 +146,9 @@ def mask_json_text(
     parts = F.transform(F.zip_with(group(1), group(2), read), judged)
     tokens = F.array_join(F.zip_with(parts, group(3), rebuilt), "")
     masked = F.concat(F.substring_index(text, '"', 1), tokens)
-    # Text with no classified key, no escaped key and no telling value is left alone.
-    suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\u"))
+    # Text with no classified key and no telling value is left alone. Escapes hide either,
+    # so a text with escapes is always read.
+    suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\"))
     if secrets_only:
         return F.when(suspect & is_json(text), masked).otherwise(text)
     suspect = suspect | is_telling(text, recognizers)
