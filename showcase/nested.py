@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe import MaskedSession, Policy, Rule, mask_json_text, redact
+from veilframe import MaskedSession, Policy, Rule, mask_json_text, redact, write_with_count
+from veilframe.sources.writers import shared_folder
 
 from . import duck
 from .inputs import CONTACT_JSON, PEOPLE, SEED, derived, table
@@ -84,6 +85,25 @@ FROM (SELECT *, 0 AS i, full_name AS n, address AS a FROM ({PEOPLE})
       UNION ALL SELECT *, 1 AS i, email AS n, c_mktsegment AS a FROM ({PEOPLE}))
 """
 
+def nested_lineage(spark, sf_dir):
+    """Fields taken out of structs under neutral names, from files tagged when read."""
+    path = shared_folder(spark, "profiles")
+    write_with_count(_typed(spark, sf_dir), path)
+    policy = Policy(rules=(Rule("public.profiles.profile", "tier", "PERSON"),))
+    session = MaskedSession(spark, policy).register_files("profiles", path)
+    return session.sql(
+        "SELECT c_custkey, profile.email AS a, profile.contact.phone AS b, profile.contact.otp_secret AS c, "
+        "profile.tier AS d, h.address AS e FROM profiles LATERAL VIEW explode(history) v AS h"
+    )
+
+
+QUERIES["redact_nested_lineage"] = nested_lineage
+ORACLES["redact_nested_lineage"] = f"""
+SELECT c_custkey, {duck.email('email')} AS a, {duck.phone('phone')} AS b, '[REDACTED]' AS c,
+  {duck.name('c_mktsegment')} AS d, {duck.location('h')} AS e
+FROM (SELECT *, address AS h FROM ({PEOPLE}) UNION ALL SELECT *, c_mktsegment AS h FROM ({PEOPLE}))
+"""
+
 _PATHS = {
     "email": "$.email",
     "tier": "$.tier",

@@ -253,3 +253,17 @@ def test_without_detection_reports_list_decisions_only(spark, people):
     found = {r["column_name"]: r["entity_type"] for r in s.report().collect()}
     assert found == {"id": "PERSON", "email": None, "phone": None, "encrypted_password": None}
     assert s.sql("SELECT email FROM users WHERE id = 1").first()[0] == "j***@e***.com"
+
+
+def test_nested_fields_of_files_keep_their_lineage(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "id int, prof struct<email:string,inner:struct<phone:string,tier:string>>, list array<struct<ssn:string>>"
+    spark.createDataFrame([(1, ("a@b.com", ("555-123-4567", "gold")), [("123-45-6789",)])], schema).write.parquet(path)
+    rules = (Rule("public.t.prof.inner", "tier", "PERSON"), Rule("public.t.list", "ssn", "US_SSN", "full"))
+    s = MaskedSession(spark, Policy(rules=rules)).register_files("t", path)
+    out = s.sql("SELECT prof.email AS a, prof.inner.phone AS b, prof.inner.tier AS c, l.ssn AS d FROM t LATERAL VIEW explode(list) v AS l")
+    assert tuple(out.first()) == ("a***@b***.com", "***-***-4567", "g***", "[US SSN]")
+    plan = s.sql("SELECT prof.inner.phone AS b FROM t").select("b")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<prof:struct<inner:struct<phone:string>>>" in plan
+    whole = s.sql("SELECT prof FROM t").first()[0]
+    assert whole["email"] == "a***@b***.com" and whole["inner"]["tier"] == "g***"

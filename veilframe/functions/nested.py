@@ -16,6 +16,11 @@ from .names import entity_of_key, key_entity
 from .prose import DEFAULT_RECOGNIZERS, Recognizer, is_telling, redact_text
 
 
+def entity_by_name(field: T.StructField) -> str | None:
+    """A struct field is classified like a JSON key."""
+    return key_entity(field.name)
+
+
 @dataclass(frozen=True)
 class NestedStyle:
     """How the leaves of a nested value are masked."""
@@ -26,6 +31,7 @@ class NestedStyle:
     recognizers: tuple[Recognizer, ...] = DEFAULT_RECOGNIZERS
     mask_scalars: bool = False
     secrets_only: bool = False
+    entity_of: Callable[[T.StructField], str | None] = entity_by_name
 
 
 _SCALARS = (T.NumericType, T.BooleanType)
@@ -57,12 +63,11 @@ def _neutral_text(value: Column, how: NestedStyle) -> Column:
     return F.when(is_telling(value, how.recognizers), scanned).otherwise(value)
 
 
-def _leaf(value: Column, dtype: T.DataType, key: str | None, how: NestedStyle) -> Column:
-    """A scalar under a field name known from the schema."""
+def _leaf(value: Column, dtype: T.DataType, entity: str | None, how: NestedStyle) -> Column:
+    """A scalar whose field, known from the schema, names ``entity`` or nothing."""
     is_text = isinstance(dtype, T.StringType)
     if not is_text and not (how.mask_scalars and isinstance(dtype, _SCALARS)):
         return value
-    entity = key_entity(key) if key is not None else None
     if entity is None:
         return _neutral_text(value, how) if is_text else value
     if entity != V.SECRET and (how.secrets_only or entity in how.reveal_types):
@@ -87,14 +92,15 @@ def _map_value(key: Column, value: Column, dtype: T.DataType, how: NestedStyle)
 
 
 def mask_nested(
-    value: Column, dtype: T.DataType, how: NestedStyle, key: str | None = None
+    value: Column, dtype: T.DataType, how: NestedStyle, entity: str | None = None
 ) -> Column:
     """Mask every string leaf of ``value``; NULL containers stay NULL."""
     if not _may_hold_text(dtype, how):
         return value
     if isinstance(dtype, T.StructType):
         fields = [
-            mask_nested(value[f.name], f.dataType, how, f.name).alias(f.name) for f in dtype.fields
+            mask_nested(value[f.name], f.dataType, how, how.entity_of(f)).alias(f.name)
+            for f in dtype.fields
         ]
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
@@ -105,7 +111,7 @@ def mask_nested(
         return F.transform_values(value, lambda _, v: mask_nested(v, dtype.valueType, how))
     if isinstance(dtype, T.VariantType):
         return F.parse_json(json_text(F.to_json(value), how))
-    return _leaf(value, dtype, key, how)
+    return _leaf(value, dtype, entity, how)
 
 
 def json_text(text: Column, how: NestedStyle) -> Column:

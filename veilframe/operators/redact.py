@@ -16,7 +16,14 @@ from pyspark.sql import types as T
 from ..functions import vocabulary as V
 from ..functions.masks import mask
 from ..functions.names import JSON_CLASSIFICATION, Classification
-from ..functions.nested import NestedStyle, each_element, is_json_like, json_text, mask_nested
+from ..functions.nested import (
+    NestedStyle,
+    each_element,
+    entity_by_name,
+    is_json_like,
+    json_text,
+    mask_nested,
+)
 from ..functions.prose import redact_text
 from ..plans.lineage import TAG, owner_of
 from ..policy import Policy
@@ -77,6 +84,15 @@ def plan_columns(
     return plans
 
 
+def _nested_entity(field: T.StructField, policy: Policy) -> str | None:
+    """A rule on a struct field counts if the field is tagged; else its name does."""
+    owner = owner_of(field)
+    entry = policy.entry(*owner) if owner else None
+    if isinstance(entry, Classification):
+        return entry.entity_type
+    return entity_by_name(field) if entry is None else None
+
+
 def _column(
     value: Column, dtype: T.DataType, plan: ColumnPlan, policy: Policy, reveal_types: frozenset[str]
 ) -> Column:
@@ -93,6 +109,7 @@ def _column(
             policy.recognizers,
             policy.mask_json_scalars,
             secrets_only=raw,
+            entity_of=lambda field: _nested_entity(field, policy),
         )
         if is_json_like(dtype):
             return mask_nested(value, dtype, how)

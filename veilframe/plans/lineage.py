@@ -25,6 +25,36 @@ def tag_columns(df: DataFrame, table_key: str) -> DataFrame:
     )
 
 
+def tagged_schema(schema: T.StructType, table_key: str) -> T.StructType:
+    """The schema with every field tagged, fields of structs at any depth included.
+
+    A table read with it keeps the tag on what is taken out of a struct, or out of an
+    array or map of structs. The owner of a nested field is the path to its struct.
+    """
+
+    def tagged(dtype: T.DataType, path: str) -> T.DataType:
+        if isinstance(dtype, T.StructType):
+            return T.StructType(
+                [
+                    T.StructField(
+                        f.name,
+                        tagged(f.dataType, f"{path}.{f.name.lower()}"),
+                        f.nullable,
+                        {**(f.metadata or {}), TAG: {"table": path, "column": f.name}},
+                    )
+                    for f in dtype.fields
+                ]
+            )
+        if isinstance(dtype, T.ArrayType):
+            return T.ArrayType(tagged(dtype.elementType, path), dtype.containsNull)
+        if isinstance(dtype, T.MapType):
+            value = tagged(dtype.valueType, path)
+            return T.MapType(dtype.keyType, value, dtype.valueContainsNull)
+        return dtype
+
+    return tagged(schema, table_key)
+
+
 def owner_of(field: T.StructField) -> tuple[str, str] | None:
     """The ``(table, column)`` a result column was read from, if its tag survived."""
     tag = (field.metadata or {}).get(TAG)

@@ -16,6 +16,7 @@ from ..operators.redact import redact
 from ..operators.reports import pii_report, rule_text, schema_text
 from ..policy import Policy
 from ..sources.catalog import columns_of, table_list
+from ..sources.readers import read_table
 from ..sources.writers import write_with_count
 from .gate import ReadOnlyError, require_read_only
 from .lineage import tag_columns
@@ -74,6 +75,13 @@ class MaskedSession:
         view.createOrReplaceTempView(bare)
         return self
 
+    def register_files(
+        self, table: str, path: str, fmt: str = "parquet", **options: str
+    ) -> MaskedSession:
+        """``register`` for files: what is taken out of a struct keeps its lineage, too."""
+        key = self.policy.table_key(table)
+        return self.register(table, read_table(self.spark, path, fmt, key, **options))
+
     def add_catalog(self) -> MaskedSession:
         """Make the catalog tables of the allowed schemas known to reports and scans."""
         if self.mask_at == "source":

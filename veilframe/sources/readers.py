@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..plans.lineage import tagged_schema
 from ..policy import Policy, Rule
 
 RULES_DDL = "table string, column string, pii_type string, masking_style string"
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """Any file format Spark reads."""
-    return spark.read.format(fmt).options(**options).load(path)
+def read_table(
+    spark: SparkSession, path: str, fmt: str = "parquet", table_key: str | None = None, **options: str
+) -> DataFrame:
+    """Any file format Spark reads; with a table key, tagged down to nested fields."""
+    reader = spark.read.format(fmt).options(**options)
+    found = reader.load(path)
+    if table_key is None:
+        return found
+    return reader.schema(tagged_schema(found.schema, table_key)).load(path)
 
 
 def read_jdbc(
