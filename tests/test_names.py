@@ -1,8 +1,12 @@
 """Names: the classified, the innocent, and the traps."""
 
+import re._constants as sre
+import re._parser as parser
+
 from pyspark.sql import functions as F
 
 from veilframe.functions import names
+from veilframe.functions import vocabulary as V
 
 EXPECTED = {
     "EMAIL_ADDRESS": [
@@ -62,3 +66,40 @@ def test_keys_are_never_free_text(spark):
     got = {r[0]: r[1] for r in df.select("k", names.entity_of_key(F.col("k"))).collect()}
     assert got == cases
     assert {k: names.key_entity(k) for k in cases} == cases
+
+
+def _examples(pattern):
+    """Texts that a name pattern matches, one per way through it."""
+    from itertools import product
+
+    def ways(node):
+        op, arg = node
+        if op is sre.LITERAL:
+            return [chr(arg)]
+        if op is sre.ANY:
+            return ["_"]
+        if op is sre.AT:
+            return [""]
+        if op is sre.IN:
+            return [chr(value) for _, value in arg]
+        if op is sre.MAX_REPEAT:
+            return [""] * (arg[0] == 0) + joined(arg[2])
+        if op is sre.SUBPATTERN:
+            return joined(arg[3])
+        assert op is sre.BRANCH, op
+        return [text for branch in arg[1] for text in joined(branch)]
+
+    def joined(nodes):
+        return ["".join(parts) for parts in product(*[ways(n) for n in nodes])]
+
+    return joined(parser.parse(pattern))
+
+
+def test_the_quick_test_knows_every_pattern(spark):
+    texts = sorted({t for _, pattern in V.NAME_PATTERNS for t in _examples(pattern)})
+    texts += [t.upper() for t in texts] + [f'{{"{t}": 1}}' for t in texts] + EXPECTED[None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quick = F.col("t").rlike(names.ANY_KEY_PATTERN)
+    rows = df.select("t", quick.alias("q"), names.entity_of_key(F.col("t")).isNotNull().alias("e")).collect()
+    assert [r["t"] for r in rows if r["q"] != r["e"]] == []
+    assert sum(r["e"] for r in rows) > 150

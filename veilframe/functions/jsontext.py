@@ -16,7 +16,14 @@ from pyspark.sql import functions as F
 from . import vocabulary as V
 from .masks import mask_by_entity
 from .names import ANY_KEY_PATTERN, entity_of_key
-from .prose import DEFAULT_RECOGNIZERS, Recognizer, has_findings, is_telling, redact_text
+from .prose import (
+    DEFAULT_RECOGNIZERS,
+    PREFILTER,
+    Recognizer,
+    has_findings,
+    is_telling,
+    redact_text,
+)
 
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _SCALAR = r"-?[0-9][0-9.eE+\-]*+|true|false"
@@ -151,10 +158,7 @@ def mask_json_text(
     suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\"))
     if secrets_only:
         return F.when(suspect & is_json(text), masked).otherwise(text)
-    suspect = suspect | is_telling(text, recognizers)
+    anywhere = tuple(recognizers) + tuple(r for r in PREFILTER if r not in recognizers)
+    suspect = suspect | has_findings(text, anywhere)
     as_prose = redact_text(text, style, seed, revealed, recognizers)
-    return (
-        F.when(suspect & is_json(text), masked)
-        .when(has_findings(text, recognizers) & ~is_json(text), as_prose)
-        .otherwise(text)
-    )
+    return F.when(suspect, F.when(is_json(text), masked).otherwise(as_prose)).otherwise(text)
