@@ -28,15 +28,16 @@ def canonical(names, rows):
     return sorted(names), sorted(picked, key=repr)
 
 
-def test_every_query_has_its_sql():
-    assert set(QUERIES) == set(ORACLES)
+def test_every_sql_has_its_query():
+    assert set(ORACLES) <= set(QUERIES)
+    assert not [name for part in contract.OWN_PARTS for name in part.QUERIES if name not in ORACLES]
 
 
 def test_entry(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_query(spark, duck, data, name):
     got = QUERIES[name](spark, data)
     want = duck.execute(ORACLES[name])
