@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import prepare, slices, words_of
+from .common import prepare, slices, spread, words_of
 
 #: Chunks, and words, whose ids a worker keeps from one slice of texts to the next.
 MEMO_ENTRIES = 1 << 20
@@ -104,13 +104,6 @@ def merge(words: pa.Array, vocabulary: dict) -> tuple[np.ndarray, np.ndarray]:
     return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
 
 
-def spread(values: np.ndarray, counts: np.ndarray, picks: np.ndarray) -> np.ndarray:
-    """The stretches of ``values`` that ``picks`` names, one after another."""
-    starts, many = (np.cumsum(counts) - counts)[picks], counts[picks]
-    total = int(many.sum())
-    return values[np.repeat(starts - (np.cumsum(many) - many), many) + np.arange(total)]
-
-
 def remembered(kind: str, keys: pa.Array, work, vocabulary: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where each key stands among the entries kept, and the ids and lengths of all entries.
 

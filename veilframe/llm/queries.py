@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, packing
+from . import bpe, langid, linededup, packing, quality, secretscan
 from .common import prepare
 
 
@@ -22,20 +22,48 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: how likely it is of good quality, learned from the labels of other documents."""
+    return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Per piece of a document: where it lies in which sequence of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: how many secrets of each fixed pattern, a digest of their places, and all places."""
+    found = secretscan.scan_secrets(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+    def of(kind):
+        return F.filter("secrets", lambda s: s["kind"] == kind)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = F.filter("secrets", lambda s: s["kind"] != "random")
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: the number of its ids, and digests of the ids and of the text decoded from them."""
     return bpe.digest_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its language as predicted, learned from the other four fifths of the documents."""
+    return langid.identify_languages(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_quality": op3_quality,
     "op7_packing": op7_packing,
+    "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
+    "op10_language": op10_language,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
