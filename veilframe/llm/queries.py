@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, packing, quality, secretscan
+from . import bpe, langid, linededup, minhash, packing, quality, rules, secretscan, urlfilter
 from .common import prepare
 
 
@@ -27,6 +27,24 @@ def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op4_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Per page: the host and path of its url, the rule that covers it, and the verdict."""
+    judged = urlfilter.judge_urls(table(spark, folder, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+def op5_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: its class of near duplicates, and whether it is the one that stays."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: what the rules count, whether the base rules fail, and whether it is kept."""
+    judged = rules.judge_quality(table(spark, folder, "documents").select("doc_id", "text", "lang"), carry=("doc_id", "lang"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("rest.doc_id", *counts, "base_failed", "kept", "class_distance", "common_distance")
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Per piece of a document: where it lies in which sequence of 4096 tokens."""
     return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -60,6 +78,9 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
+    "op4_urls": op4_urls,
+    "op5_near_duplicates": op5_near_duplicates,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
