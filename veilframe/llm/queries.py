@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, linededup, minhash, packing, quality, rules, secretscan, urlfilter
+from . import bpe, embeddings, langid, linededup, minhash, packing, quality, rules, secretscan, urlfilter
 from .common import prepare
 
 
@@ -22,6 +22,11 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """Per vector: how many it links with, its component, and whether it is the one that stays."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: how likely it is of good quality, learned from the labels of other documents."""
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -77,6 +82,7 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_embeddings": op2_embeddings,
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
     "op5_near_duplicates": op5_near_duplicates,
@@ -93,13 +99,29 @@ _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ORACLES: dict[str, str] = {
     "op1_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS at FROM split),
+        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
         keyed AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM lines),
         frequent AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
                      GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
         marked AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last AS gone
                    FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op2_embeddings": """
+        WITH RECURSIVE fine AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b
+              ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+        reach AS (SELECT vec_id, vec_id AS other FROM embeddings
+                  UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+        least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
+        counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)""",
 }
