@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from .common import prepare, slices, spread, words_of
 
 #: Chunks, and words, whose ids a worker keeps from one slice of texts to the next.
-MEMO_ENTRIES = 1 << 20
+MEMO_ENTRIES = 1 << 19
 _NONE = np.iinfo(np.int32).max
 
 
@@ -198,7 +198,7 @@ def encode_documents(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     shared = prepare(df.sparkSession).sparkContext.broadcast(load(vocabulary_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 4 << 20):
+        for part in slices(batches, "text", 1 << 20):
             ids, counts = encode(part.column("text"), shared.value)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             decoded = [str(x, "utf-8") for x in decode(ids, counts, shared.value)]

@@ -225,7 +225,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     """The pairs whose texts have a weighted Jaccard similarity of ``threshold`` or more, with it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_b", 4 << 20):
+        for part in slices(batches, "text_b"):
             sides = []
             for name in ("text_a", "text_b"):
                 coded = part.column(name).dictionary_encode()  # a node in many pairs is cut into shingles once
