@@ -1,9 +1,11 @@
 """Masked SQL: the gate, parameters, text results, reports and overrides."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from veilframe import MaskedSession, Policy, QueryError, ReadOnlyError, Rule
-from veilframe.plans.gate import refusal
+from veilframe.plans.gate import plan_refusal, refusal
 
 ALLOWED = [
     "SELECT * FROM users",
@@ -50,14 +52,54 @@ REFUSED = [
     r"SELECT r'\', java_method('a', 'b'), '\''",
     "SELECT '\\', java_method('a', 'b'), '\\'",
     "SELECT /* ' */ java_method('a', 'b') /* ' */",
+    "WITH x AS (SELECT 7 AS a) -- c\rINSERT INTO g_t SELECT a FROM x",
+    "WITH x AS (SELECT 7 AS a) /* /* */ ' */ INSERT INTO g_t SELECT a FROM x --'",
+    "SELECT 1, /* /* */ ' */ java_method('java.lang.System', 'getProperty', 'user.home') --'",
+    "SHOW PARTITIONS t",
+    "SHOW TABLE EXTENDED LIKE 't' PARTITION (a = 1)",
+    "DESCRIBE t PARTITION (a = 'x')",
+    "SELECT 1 /* open",
+    "SELECT /*+ COALESCE(1) */ java_method('a', 'b')",
 ]
 
 
-def test_gate():
-    assert {q: refusal(q) for q in ALLOWED} == {q: None for q in ALLOWED}
+def test_gate(spark):
+    assert {q: refusal(q) or plan_refusal(spark, q) for q in ALLOWED} == {q: None for q in ALLOWED}
     assert [q for q in REFUSED if refusal(q) is None] == []
 
 
+PARSED = [
+    "FROM g INSERT INTO h SELECT *",
+    "WITH x AS (SELECT 7 AS a) INSERT INTO g_t SELECT a FROM x",
+    "EXPLAIN INSERT INTO g SELECT 1",
+    "SELECT * FROM t WHERE EXISTS (SELECT reflect('a', 'b'))",
+    "WITH x AS (SELECT `java_method`('a', 'b')) SELECT * FROM x",
+    "SELECT TRANSFORM (a) USING 'cat' FROM t",
+    "SHOW PARTITIONS t",
+    "DESCRIBE EXTENDED t",
+    "SET a = b",
+]
+
+
+def test_gate_on_plans(spark):
+    """What the parser makes of a statement is refused whatever its text looks like."""
+    assert [q for q in PARSED if plan_refusal(spark, q) is None] == []
+
+
+@settings(max_examples=60, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.sampled_from(["--", "/*", "*/", "'", '"', "`", "\r", "\n", "\\", "\\\n", "r", " ", "$$", "1"]), max_size=8))
+def test_no_comment_hides_a_write(spark, pieces):
+    noise = "".join(pieces)
+    sql = f"WITH x AS (SELECT 7 AS a) {noise} INSERT INTO g_t SELECT a FROM x --'"
+    if refusal(sql) is None and plan_refusal(spark, sql) is None:
+        parser = spark._jsparkSession.sessionState().sqlParser()
+        try:
+            plan = parser.parsePlan(sql).toString()
+        except Exception:
+            return  # Spark refuses it
+        assert "Insert" not in plan
+
+
 @pytest.fixture
 def people(spark):
     return spark.createDataFrame(

@@ -1,56 +1,122 @@
 """What a read-only session may run.
 
 Spark runs commands as soon as they are handed over and has no read-only
-transaction, so statements are admitted by their opening word, and a few
-constructs that run code or show stored values are refused by name.
+transaction, so a statement is judged before that, twice: by the plan that Spark's
+parser makes of it, and by its text. Either can refuse.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+
+from pyspark.sql import SparkSession
 
 from ..functions import vocabulary as V
 
 # Opening words of statements that only read.
 READ_STATEMENTS = ("SELECT", "WITH", "VALUES", "TABLE", "SHOW", "DESCRIBE", "DESC", "EXPLAIN")
 
-# Comments, string literals and quoted identifiers: what is inside is not SQL. A
-# backslash may or may not escape a quote, depending on a setting, so both are tried.
-_RAW = r"\b[rR]'[^']*'|\b[rR]\"[^\"]*\""
-_ESCAPING = r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\""
-_LITERAL = r"'[^']*'|\"[^\"]*\""
-_QUOTED = tuple(
-    re.compile(rf"--[^\n]*|/\*.*?\*/|{_RAW}|{strings}|`[^`]*`", re.DOTALL)
-    for strings in (_ESCAPING, _LITERAL)
-)
+_CODE = ("java_method", "reflect", "try_reflect")
 _FORBIDDEN = (
     (re.compile(rf"\b({V.WRITE_WORDS}|MERGE)\b", re.I), "it may change data"),
-    (re.compile(r"\b(java_method|reflect|try_reflect)\b", re.I), "it runs code"),
+    (re.compile(rf"\b({'|'.join(_CODE)})\b", re.I), "it runs code"),
     (re.compile(r"\bTRANSFORM\b.*\bUSING\b", re.I | re.S), "it runs a script"),
     (
-        re.compile(r"\A\s*DESC(RIBE)?\b.*\b(EXTENDED|FORMATTED)\b", re.I | re.S),
+        re.compile(r"\A\s*DESC(RIBE)?\b.*\b(EXTENDED|FORMATTED|PARTITION)\b", re.I | re.S),
         "it shows stored values",
     ),
+    (re.compile(r"\A\s*SHOW\s+(PARTITIONS|TABLE\s+EXTENDED)\b", re.I), "it shows stored values"),
 )
 
+# Commands whose plans may run: they read the catalog, no stored value.
+_READING_COMMANDS = {
+    "ShowTables", "ShowColumns", "ShowViews", "ShowFunctions", "ShowNamespaces", "ShowNamespacesCommand",
+    "ShowCatalogsCommand", "ShowCurrentNamespaceCommand", "DescribeRelation", "DescribeColumn",
+    "DescribeNamespace", "DescribeFunction", "DescribeQueryCommand", "ExplainCommand",
+}
+_CHANGING = {"Command", "ParsedStatement"}
+# The statements that these two hold are inside them, not among their children.
+_HOLDING = {"ExplainCommand": "logicalPlan", "DescribeQueryCommand": "plan"}
+
 
 class ReadOnlyError(PermissionError):
     """A statement was refused because the session is read-only."""
 
 
-def _bare_forms(sql: str) -> list[str]:
-    """The statement with comments dropped and literals emptied, read both ways."""
+class _OpenEnded(ValueError):
+    """A comment does not end."""
 
-    def empty(match: re.Match[str]) -> str:
-        text = match.group()
-        return " " if text.startswith(("--", "/*")) else text[-1] * 2
 
-    return [quoted.sub(empty, sql) for quoted in _QUOTED]
+def _quoted_end(sql: str, start: int, escapes: bool) -> int | None:
+    """The place after the quote that opens at ``start``, if it ends; a backslash escapes or does not."""
+    quote, i = sql[start], start + 1
+    while i < len(sql):
+        if sql[i] == "\\" and escapes and quote != "`":
+            i += 2
+        elif sql[i] == quote:
+            return i + 1
+        else:
+            i += 1
+    return None
+
+
+def _comment_end(sql: str, start: int) -> int:
+    """The place after the bracketed comment that opens at ``start``; comments nest."""
+    depth, i = 1, start + 2
+    while i < len(sql):
+        if sql.startswith("*/", i):
+            depth, i = depth - 1, i + 2
+            if not depth:
+                return i
+        elif sql.startswith("/*", i):
+            depth, i = depth + 1, i + 2
+        else:
+            i += 1
+    raise _OpenEnded
+
+
+def _line_end(sql: str, start: int) -> int:
+    """The end of a line comment: a line feed or a carriage return, unless a backslash carries it on."""
+    i = start
+    while i < len(sql) and sql[i] not in "\r\n":
+        i += 2 if sql.startswith("\\\n", i) else 1
+    return i
+
+
+def _bare(sql: str, escapes: bool) -> str:
+    """The statement with comments dropped and literals emptied; a hint (``/*+``) is no comment."""
+    out, i = [], 0
+    while i < len(sql):
+        dollar = re.compile(r"\$[A-Za-z]*\$").match(sql, i)
+        if sql.startswith("--", i):
+            i = _line_end(sql, i)
+            out.append(" ")
+        elif sql.startswith("/*", i) and not sql.startswith("/*+", i):
+            i = _comment_end(sql, i)
+            out.append(" ")
+        elif dollar:
+            end = sql.find(dollar.group(), dollar.end())
+            out.append("''" if end >= 0 else sql[dollar.end() :])
+            i = end + len(dollar.group()) if end >= 0 else len(sql)
+        elif sql[i] in "'\"`":
+            raw = re.search(r"(?<!\w)[rR]\Z", "".join(out[-2:])) is not None
+            end = _quoted_end(sql, i, escapes and not raw)
+            out.append("''" if end else sql[i + 1 :])  # what follows an open quote counts as SQL
+            i = end or len(sql)
+        else:
+            out.append(sql[i])
+            i += 1
+    return "".join(out)
 
 
 def refusal(sql: str) -> str | None:
-    """Why a read-only session refuses the statement, or None."""
-    for bare in _bare_forms(sql):
+    """Why the text of a statement is refused, or None."""
+    for escapes in (True, False):
+        try:
+            bare = _bare(sql, escapes)
+        except _OpenEnded:
+            return "a comment in it does not end"
         first = re.match(r"[\s(]*([A-Za-z]+)", bare)
         if first is None or first.group(1).upper() not in READ_STATEMENTS:
             return "it is not a query"
@@ -60,13 +126,68 @@ def refusal(sql: str) -> str | None:
             if pattern.search(bare):
                 return why
     # The name of a function may be quoted as an identifier.
-    if re.search(r"`\s*(java_method|reflect|try_reflect)\s*`", sql, re.I):
+    if re.search(rf"`\s*({'|'.join(_CODE)})\s*`", sql, re.I):
         return "it runs code"
     return None
 
 
-def require_read_only(sql: str) -> None:
+def _parts(node, kinds: set[str]) -> Iterator:
+    """The plans and expressions directly inside a plan node or an expression."""
+    inside = [node.children(), node.innerChildren()]
+    if "LogicalPlan" in kinds:
+        inside.append(node.expressions())
+    if "PlanExpression" in kinds:
+        yield node.plan()
+    for found in inside:
+        yield from (found.apply(i) for i in range(found.size()))
+
+
+def plan_refusal(spark: SparkSession, sql: str) -> str | None:
+    """Why the plan that Spark's parser makes of a statement is refused, or None.
+
+    A statement that Spark cannot parse is left to Spark, which reports it.
+    """
+    session = spark._jsparkSession.sessionState()
+    try:
+        todo = [session.sqlParser().parsePlan(sql)]
+    except Exception:  # noqa: BLE001  the parser's own error is raised when the statement runs
+        return None
+    while todo:
+        node = todo.pop()
+        kind, kinds = node.getClass().getSimpleName(), _kinds(node.getClass())
+        if kind in _HOLDING:
+            todo.append(getattr(node, _HOLDING[kind])())
+        if kind == "ScriptTransformation":
+            return "it runs a script"
+        if kind == "UnresolvedFunction":
+            name = node.nameParts()
+            if name.apply(name.size() - 1).lower() in _CODE:
+                return "it runs code"
+        if kind in ("DescribeRelation", "DescribeColumn") and node.isExtended():
+            return "it shows stored values"
+        if kind == "DescribeRelation" and not node.partitionSpec().isEmpty():
+            return "it shows stored values"
+        if kind in ("CompoundBody", "UnresolvedExecuteImmediate"):
+            return "it is more than one statement"
+        if kind not in _READING_COMMANDS and _CHANGING & kinds:
+            return "it is not a query"
+        todo.extend(_parts(node, kinds))
+    return None
+
+
+def _kinds(cls) -> set[str]:
+    """The simple names of a class, of its parents and of what it implements."""
+    found, todo = set(), [cls]
+    while todo:
+        one = todo.pop()
+        if one is not None and one.getSimpleName() not in found:
+            found.add(one.getSimpleName())
+            todo += [one.getSuperclass(), *one.getInterfaces()]
+    return found
+
+
+def require_read_only(sql: str, spark: SparkSession | None = None) -> None:
     """Raise unless the statement only reads."""
-    why = refusal(sql)
+    why = refusal(sql) or (plan_refusal(spark, sql) if spark is not None else None)
     if why is not None:
         raise ReadOnlyError(f"{V.WRITES_REFUSED}: {why}. The session is read-only.")

@@ -106,7 +106,7 @@ class MaskedSession:
     def _run(self, sql: str, params: Mapping[str, Any] | None = None) -> DataFrame:
         """The unmasked result of a statement that passes the gate."""
         if self.policy.read_only:
-            require_read_only(sql)
+            require_read_only(sql, self.spark)
         with _errors_without_values(), self._no_path_tables():
             return self.spark.sql(sql, args=dict(params) if params else None)
 
