@@ -74,6 +74,21 @@ QUERIES["vote_columns"] = vote_on_variants
 ORACLES["vote_columns"] = _duck_votes(_duck_samples(f"({VARIANTS})", _VARIANT_COLUMNS))
 
 
+def vote_all_values(spark, sf_dir):
+    """A vote over every value of every row: one aggregate, no sample."""
+    values = sample_columns(derived(spark, sf_dir, VARIANTS), _VARIANT_COLUMNS, limit=None)
+    return vote_columns(values, share=0.01)
+
+
+QUERIES["vote_all_values"] = vote_all_values
+ORACLES["vote_all_values"] = _duck_votes(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS column_name, {c}::varchar AS value FROM ({VARIANTS}) WHERE {c}::varchar <> ''" for c in _VARIANT_COLUMNS
+    ),
+    share=0.01,
+)
+
+
 def vote_on_pages(spark, sf_dir):
     samples = sample_columns(table(spark, sf_dir, "pages"), ["url", "html"])
     return vote_columns(samples, share=0.01)

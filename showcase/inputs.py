@@ -6,9 +6,12 @@ SQL that Spark and DuckDB both run as it stands.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 from veilframe import tune
+from veilframe.sources.writers import shared_folder
 
 SEED = "showcase"
 
@@ -99,3 +102,12 @@ def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFram
     """A derived input; reads ``customer`` unless other tables are named."""
     load(spark, sf_dir, *(names or ("customer",)))
     return spark.sql(sql)
+
+
+def scratch(spark: SparkSession, purpose: str) -> str:
+    """A fresh shared path; on one machine without a shared folder, a local one."""
+    if spark.sparkContext.master.startswith("local") and not (
+        spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    ):
+        return shared_folder(spark, purpose, tempfile.mkdtemp(prefix="veilframe-"))
+    return shared_folder(spark, purpose)

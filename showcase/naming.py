@@ -64,7 +64,8 @@ FROM ({_JUDGED})
 _RULES = f"""
 SELECT CASE WHEN position % 2 = 0 THEN concat('PUBLIC.', upper(table_name)) ELSE table_name END AS "table",
   upper(column_name) AS "column",
-  CASE position % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'US_SSN' ELSE 'FREE_TEXT' END AS pii_type
+  CASE position % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'US_SSN' ELSE 'FREE_TEXT' END AS pii_type,
+  position AS given
 FROM ({COLUMN_NAMES}) WHERE column_name LIKE '%a%'
 """
 
@@ -72,7 +73,7 @@ FROM ({COLUMN_NAMES}) WHERE column_name LIKE '%a%'
 def classify_with_rules(spark, sf_dir):
     columns = derived(spark, sf_dir, COLUMN_NAMES)
     rules = spark.sql(_RULES.replace('"', "`"))
-    return classify_columns(columns, decisions_from_rules(rules)).select(
+    return classify_columns(columns, decisions_from_rules(rules, order="given")).select(
         "table_name", "column_name", "position", "entity_type", "confidence", "source",
         "is_free_text", "excluded",
     )
@@ -82,7 +83,7 @@ QUERIES["classify_with_rules"] = classify_with_rules
 ORACLES["classify_with_rules"] = f"""
 WITH decided AS (
   SELECT CASE WHEN contains("table", '.') THEN lower("table") ELSE concat('public.', lower("table")) END AS t,
-    lower("column") AS c, min(pii_type) AS pii_type
+    lower("column") AS c, arg_max(pii_type, given) AS pii_type
   FROM ({_RULES}) GROUP BY 1, 2)
 SELECT table_name, column_name, position,
   CASE WHEN pii_type IS NULL THEN entity_type WHEN pii_type <> 'none' THEN pii_type END AS entity_type,

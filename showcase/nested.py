@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Rule, mask_json_text, redact, write_with_count
-from veilframe.sources.writers import shared_folder
-
 from . import duck
-from .inputs import CONTACT_JSON, PEOPLE, SEED, derived, table
+from .inputs import CONTACT_JSON, PEOPLE, SEED, derived, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -87,7 +85,7 @@ FROM (SELECT *, 0 AS i, full_name AS n, address AS a FROM ({PEOPLE})
 
 def nested_lineage(spark, sf_dir):
     """Fields taken out of structs under neutral names, from files tagged when read."""
-    path = shared_folder(spark, "profiles")
+    path = scratch(spark, "profiles")
     write_with_count(_typed(spark, sf_dir), path)
     policy = Policy(rules=(Rule("public.profiles.profile", "tier", "PERSON"),))
     session = MaskedSession(spark, policy).register_files("profiles", path)
@@ -248,3 +246,63 @@ ORACLES["mask_json_events"] = """
 SELECT event_id, props, concat('{"', event_type, '_email": "u***@x***.org", "props": ', props, '}') AS payload
 FROM events
 """
+
+
+def secret_containers(spark, sf_dir):
+    """A rule or a name that says secret hides a struct, map or array as a whole."""
+    derived(spark, sf_dir, PEOPLE).createOrReplaceTempView("people")
+    more = ", map('a', ssn, 'b', c_mktsegment) AS otp_secret, array(ssn, NULL) AS unlock_token FROM people"
+    typed = spark.sql(_TYPED.replace("FROM people", more))
+    policy = Policy(rules=(Rule("people", "profile", "SECRET"), Rule("people", "attrs", "PERSON")))
+    out = redact(typed, policy, ["people"])
+    status = ",".join(f"{f.name}:{f.metadata.get('redaction', '')}" for f in out.schema.fields[1:])
+    return out.select(
+        "c_custkey", "profile", F.col("attrs")["segment"].alias("segment"), "otp_secret",
+        F.array_join("unlock_token", "|", "-").alias("unlock_token"), F.lit(status).alias("status"),
+    )
+
+
+QUERIES["secret_containers"] = secret_containers
+ORACLES["secret_containers"] = f"""
+SELECT c_custkey, '[REDACTED]' AS profile, {duck.name('c_mktsegment')} AS segment, '[REDACTED]' AS otp_secret,
+  '[REDACTED]|-' AS unlock_token,
+  'profile:MASKED: SECRET,attrs:MASKED: PERSON,history:MASKED: JSON_CONTAINER,tags:,otp_secret:MASKED: SECRET,unlock_token:MASKED: SECRET' AS status
+FROM ({PEOPLE})
+"""
+
+_SECRET_JSON = """
+SELECT c_custkey, concat('{"otp_secret": [', c_custkey, ', {"a": "', ssn, '"}], "n": ', c_custkey,
+  ', "unlock_token": ', c_custkey, ', "deep": {"encrypted_keys": {"k": "', ssn, '"}}, "tier": "', c_mktsegment, '"}') AS doc,
+  c_mktsegment, ssn
+FROM people
+"""
+
+
+def secret_json_values(spark, sf_dir):
+    """Arrays, objects and numbers behind secret keys: in text, in a variant, in a typed struct."""
+    derived(spark, sf_dir, PEOPLE).createOrReplaceTempView("people")
+    docs = spark.sql(_SECRET_JSON)
+    typed = docs.select(
+        "c_custkey",
+        mask_json_text(F.col("doc")).alias("doc"),
+        F.parse_json("doc").alias("v"),
+        F.struct(F.array("ssn").alias("otp_secret"), F.col("c_custkey").alias("unlock_token"), F.col("c_mktsegment").alias("tier")).alias("s"),
+        F.create_map(F.lit("reset_password_token"), F.array("c_custkey"), F.lit("n"), F.array("c_custkey")).alias("m"),
+    )
+    out = redact(typed, Policy())
+    return out.select(
+        "c_custkey", "doc", F.variant_get("v", "$.otp_secret", "string").alias("v_otp"),
+        F.variant_get("v", "$.deep.encrypted_keys", "string").alias("v_keys"), F.variant_get("v", "$.n", "bigint").alias("v_n"),
+        F.col("s.otp_secret")[0].alias("s_otp"), F.col("s.unlock_token").alias("s_token"), F.col("s.tier").alias("s_tier"),
+        F.col("m")["reset_password_token"].isNull().alias("m_hidden"), F.col("m")["n"][0].alias("m_n"),
+    )
+
+
+QUERIES["secret_json_values"] = secret_json_values
+ORACLES["secret_json_values"] = f"""
+SELECT c_custkey, concat('{{"otp_secret": "[REDACTED]", "n": ', c_custkey, ', "unlock_token": "[REDACTED]", "deep": ',
+    '{{"encrypted_keys": "[REDACTED]"}}, "tier": "', c_mktsegment, '"}}') AS doc,
+  '[REDACTED]' AS v_otp, '[REDACTED]' AS v_keys, c_custkey AS v_n, '[REDACTED]' AS s_otp, NULL::bigint AS s_token,
+  c_mktsegment AS s_tier, true AS m_hidden, c_custkey AS m_n
+FROM ({PEOPLE})
+"""

@@ -14,10 +14,8 @@ from veilframe import (
     write_with_count,
     writes_data,
 )
-from veilframe.sources.writers import shared_folder
-
 from . import duck
-from .inputs import PEOPLE, SEED, derived, table
+from .inputs import PEOPLE, SEED, derived, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -35,7 +33,7 @@ def _cells(*columns):
 def markdown_lines(spark, sf_dir):
     """Long documents are cut in the cell; labels that are missing show as NULL."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return result_lines(docs.select("doc_id", "lang", "quality", "text"))
+    return result_lines(docs.select("doc_id", "lang", "quality", "text"), max_cell_chars=500)
 
 
 QUERIES["markdown_lines"] = markdown_lines
@@ -45,6 +43,20 @@ FROM documents LEFT JOIN labels USING (doc_id)
 """
 
 
+def markdown_lines_uncut(spark, sf_dir):
+    """As a sink for whole tables: nothing is cut unless asked for, whatever the width."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return result_lines(docs.select("doc_id", "lang", "quality", "text"), form="markdown")
+
+
+QUERIES["markdown_lines_uncut"] = markdown_lines_uncut
+ORACLES["markdown_lines_uncut"] = """
+SELECT concat('| ', concat_ws(' | ', coalesce(doc_id::varchar, 'NULL'), coalesce(lang, 'NULL'),
+  coalesce(quality::varchar, 'NULL'), coalesce(text, 'NULL')), ' |') AS line
+FROM documents LEFT JOIN labels USING (doc_id)
+"""
+
+
 def tsv_lines(spark, sf_dir):
     session = MaskedSession(spark)
     session.register("people", derived(spark, sf_dir, PEOPLE))
@@ -65,7 +77,7 @@ def write_masked(spark, sf_dir):
     """Masked rows written and read back, with the count the write returned."""
     session = MaskedSession(spark, Policy(read_only=False, default_style="pseudonymize", seed=SEED))
     session.register("people", derived(spark, sf_dir, PEOPLE))
-    path = shared_folder(spark, "people")
+    path = scratch(spark, "people")
     written = write_with_count(session.sql("SELECT c_custkey, email, full_name FROM people"), path)
     return spark.read.parquet(path).withColumn("rows_written", F.lit(written).cast("bigint"))
 
@@ -86,7 +98,7 @@ def stream_documents(spark, sf_dir):
         .parquet(f"{sf_dir}/documents.parquet*")  # one file or a folder of them
         .select("doc_id", F.col("text").alias("body"), F.concat(F.col("source"), F.lit("@x.org")).alias("email"))
     )
-    out, checkpoint = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
+    out, checkpoint = scratch(spark, "stream"), scratch(spark, "stream-state")
     query = write_stream(redact_stream(stream, Policy(), "posts"), out, checkpoint)
     query.awaitTermination()
     return spark.read.parquet(out)

@@ -45,12 +45,12 @@ _text_query("redact_conversations", "conversations", ["conv_id", "turn"], "text"
 def redact_free_text_columns(spark, sf_dir):
     session = MaskedSession(spark, Policy(default_style="full"))
     session.register("posts", table(spark, sf_dir, "documents").withColumnRenamed("text", "body"))
-    return session.sql("SELECT doc_id, lang, body AS b FROM posts WHERE n_chars > 100")
+    return session.sql("SELECT doc_id, lang, body AS b FROM posts")
 
 
 QUERIES["redact_free_text_columns"] = redact_free_text_columns
 ORACLES["redact_free_text_columns"] = (
-    f"SELECT doc_id, lang, {duck.prose('text')} AS b FROM documents WHERE n_chars > 100"
+    f"SELECT doc_id, lang, {duck.prose('text')} AS b FROM documents"
 )
 
 _SCORE = "CASE entity_type " + " ".join(
@@ -165,16 +165,18 @@ def _listed_names(spark, sf_dir):
     return words.select("name", kind.alias("entity_type")).distinct()
 
 
-def _redact_listed(inline_names):
+def _redact_listed(how):
     def run(spark, sf_dir):
         docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-        return redact_names(docs, "text", _listed_names(spark, sf_dir), ["doc_id"], inline_names=inline_names)
+        # A row without a key and rows that repeat are redacted like any other.
+        docs = docs.unionByName(docs.where("doc_id % 10 = 0")).withColumn("doc_id", F.expr("nullif(doc_id, 3)"))
+        return redact_names(docs, "text", _listed_names(spark, sf_dir), how=how)
 
     return run
 
 
-QUERIES["redact_listed_names"] = _redact_listed(20_000)
-QUERIES["redact_listed_names_joined"] = _redact_listed(10)
+QUERIES["redact_listed_names"] = _redact_listed("inline")
+QUERIES["redact_listed_names_joined"] = _redact_listed("join")
 # RE2 knows no combining marks as part of a word unless they are named, as here.
 _WORD = r"[\p{L}\p{M}]+"
 ORACLES["redact_listed_names"] = f"""
@@ -182,8 +184,9 @@ WITH listed AS (
   SELECT list(DISTINCT name) AS names
   FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]{{7,}}')) AS name FROM benchmark)),
 cut AS (
-  SELECT doc_id, regexp_split_to_array(text, '{_WORD}') AS gaps, regexp_extract_all(text, '{_WORD}') AS words
-  FROM documents)
+  SELECT nullif(doc_id, 3) AS doc_id, regexp_split_to_array(text, '{_WORD}') AS gaps,
+    regexp_extract_all(text, '{_WORD}') AS words
+  FROM (FROM documents UNION ALL FROM documents WHERE doc_id % 10 = 0))
 SELECT doc_id, array_to_string(list_transform(list_zip(gaps, words), lambda z: concat(z[1],
   CASE WHEN z[2] IS NULL THEN '' WHEN NOT list_contains(names, z[2]) THEN z[2]
        WHEN length(z[2]) % 2 = 0 THEN '[PERSON]' ELSE '[LOCATION]' END)), '') AS text

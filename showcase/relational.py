@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe import MaskedSession, Policy, Rule
+from veilframe import MaskedSession, Policy, Rule, write_with_count
+from veilframe.sources.readers import policy_from_rules, read_rules
 
 from . import duck
-from .inputs import PEOPLE, SEED, derived, table
+from .inputs import PEOPLE, SEED, derived, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -49,7 +50,7 @@ _add(
 _add(
     "redact_renamed",
     "SELECT c_custkey AS k, email AS x, phone AS y, upper(email) AS loud, upper(phone) AS phone_upper FROM people",
-    f"""SELECT c_custkey AS k, {duck.email('email')} AS x, {duck.phone('phone')} AS y, upper(email) AS loud,
+    f"""SELECT c_custkey AS k, {duck.email('email')} AS x, {duck.phone('phone')} AS y, {duck.email('upper(email)')} AS loud,
       {duck.phone('upper(phone)')} AS phone_upper FROM people""",
 )
 
@@ -275,11 +276,30 @@ _add(
     f"SELECT c_mktsegment, c_nationkey, n, {duck.name('nickname')} AS nickname FROM ({_CUBE})",
 )
 
-# A computed column is looked up by name in the tables the statement reads.
+# What is computed from a personal column is masked like it, whatever its name.
+_COMPUTED = """SELECT p.c_custkey, trim(p.ssn) AS a, coalesce(p.ssn, '') AS b,
+  (SELECT max(ssn) FROM people) AS c, concat(p.c_mktsegment, p.email) AS d, length(p.ssn) AS e, p.ssn IS NULL AS f
+FROM people p WHERE p.c_nationkey < 20
+UNION ALL SELECT c_custkey, c_mktsegment, ssn, c_mktsegment, c_mktsegment, c_nationkey, true FROM people WHERE c_nationkey >= 20"""
+_add(
+    "redact_computed",
+    _COMPUTED,
+    f"""SELECT c_custkey, {duck.ssn('a')} AS a, {duck.ssn('b')} AS b, {duck.ssn('c')} AS c, {duck.email('d')} AS d, e, f
+      FROM ({_COMPUTED})""",
+)
+_add(
+    "redact_computed_lists",
+    """WITH x AS (SELECT c_nationkey, upper(ssn) AS q FROM people)
+      SELECT c_nationkey, count(q) AS n, array_join(sort_array(collect_list(q)), ',') AS l FROM x GROUP BY c_nationkey""",
+    f"""SELECT c_nationkey, n, {duck.ssn('l')} AS l FROM (
+      SELECT c_nationkey, count(*) AS n, string_agg(upper(ssn), ',' ORDER BY upper(ssn)) AS l FROM people GROUP BY c_nationkey)""",
+)
+
+# The owner's decision holds for what is computed from it.
 _add(
     "redact_computed_by_table",
     "SELECT c_nationkey, max(phone) AS top_line, max(ssn) AS neutral FROM people GROUP BY c_nationkey",
-    f"""SELECT c_nationkey, {duck.phone('top_line')} AS top_line, neutral
+    f"""SELECT c_nationkey, {duck.phone('top_line')} AS top_line, {duck.ssn('neutral')} AS neutral
       FROM (SELECT c_nationkey, max(phone) AS top_line, max(ssn) AS neutral FROM people GROUP BY c_nationkey)""",
     policy=Policy(rules=(Rule("people", "top_line", "PHONE_NUMBER"),)),
 )
@@ -296,3 +316,34 @@ def row_cap(spark, sf_dir):
 
 QUERIES["row_cap"] = row_cap
 ORACLES["row_cap"] = "SELECT least(count(*), 700) AS n, least(count(*), 700) AS masked FROM customer"
+
+
+def configure_override(spark, sf_dir):
+    """Decisions changed in a running session hold for the queries that follow."""
+    session = _session(spark, sf_dir)
+    session.configure("people", "email", "full")
+    session.configure("people", "c_mktsegment", "partial", "PERSON")
+    session.configure("people", "phone", pii_type="none")
+    return session.sql("SELECT c_custkey, email, c_mktsegment AS m, phone AS p, ssn FROM people")
+
+
+QUERIES["configure_override"] = configure_override
+ORACLES["configure_override"] = f"""WITH people AS ({PEOPLE})
+SELECT c_custkey, '[EMAIL ADDRESS]' AS email, {duck.name('c_mktsegment')} AS m, phone AS p, {duck.ssn('ssn')} AS ssn FROM people"""
+
+
+def rules_from_files(spark, sf_dir):
+    """Rules derived from the data, written as JSON, read back, and applied."""
+    path = scratch(spark, "rules")
+    rules = """SELECT DISTINCT concat('PEOPLE') AS table, 'c_mktsegment' AS column, 'PERSON' AS pii_type, 'full' AS masking_style FROM people
+      UNION ALL SELECT DISTINCT 'people', 'Email', 'none', NULL FROM people"""
+    people = derived(spark, sf_dir, PEOPLE)
+    people.createOrReplaceTempView("people")
+    write_with_count(spark.sql(rules), path, fmt="json")
+    policy = policy_from_rules(read_rules(spark, path))
+    return MaskedSession(spark, policy).register("people", people).sql("SELECT c_custkey, c_mktsegment, email, phone FROM people")
+
+
+QUERIES["rules_from_files"] = rules_from_files
+ORACLES["rules_from_files"] = f"""WITH people AS ({PEOPLE})
+SELECT c_custkey, '[PERSON]' AS c_mktsegment, email, {duck.phone('phone')} AS phone FROM people"""

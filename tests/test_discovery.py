@@ -130,6 +130,18 @@ def test_rules_on_columns(spark):
     }
 
 
+def test_of_several_rules_the_last_holds(spark):
+    from pyspark.errors import PySparkException
+
+    given = [(1, "t", "a", "PERSON"), (2, "T", "A", "none"), (3, "public.t", "a", "US_SSN")]
+    rules = spark.createDataFrame(given, "n int, table string, column string, pii_type string")
+    assert decisions_from_rules(rules, order="n").first()["entity_type"] == "US_SSN"
+    policy = Policy(rules=tuple(Rule(*r[1:]) for r in given))
+    assert policy.entry("t", "a").entity_type == policy.rule("t", "a").pii_type == "US_SSN"
+    with pytest.raises(PySparkException, match="rules differ"):
+        decisions_from_rules(rules).collect()
+
+
 def test_report_filter_and_styles(spark):
     policy = Policy(default_style="full", rules=(Rule("a.t", "email", "EMAIL_ADDRESS", "pseudonymize"),))
     columns = columns_of(spark, {"a.t": spark.createDataFrame([], "email string, id int"), "b.t": spark.createDataFrame([], "email string"), "b.u": spark.createDataFrame([], "x int")})

@@ -13,13 +13,13 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("inline_names", [100, 0])
-def test_names(spark, inline_names):
+@pytest.mark.parametrize("how", ["inline", "join"])
+def test_names(spark, how):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     names = spark.createDataFrame(
         [("Ann", "PERSON"), ("Zoë", "PERSON"), ("Paris", "PERSON"), ("Paris", "LOCATION")], "name string, entity_type string"
     )
-    out = {r["id"]: r["t"] for r in redact_names(df, "t", names, ["id"], inline_names=inline_names).collect()}
+    out = {r["id"]: r["t"] for r in redact_names(df, "t", names, how=how).collect()}
     assert out == {
         1: "[PERSON] met [PERSON] in [LOCATION]; Anna and paris were away. [PERSON]!",
         2: None,
@@ -27,7 +27,7 @@ def test_names(spark, inline_names):
         4: "nobody here 12",
         5: "[LOCATION]",
     }
-    pseudo = redact_names(df, "t", names, ["id"], "pseudonymize", "s", inline_names).where("id = 1").first()["t"]
+    pseudo = redact_names(df, "t", names, "pseudonymize", "s", how).where("id = 1").first()["t"]
     first, last = pseudo.split(" ")[0], pseudo.split(" ")[-1]
     assert first.startswith("Person_") and last == first + "!"
 
@@ -35,4 +35,22 @@ def test_names(spark, inline_names):
 def test_empty_list(spark):
     df = spark.createDataFrame(TEXTS, "id int, t string")
     none = spark.createDataFrame([], "name string, entity_type string")
-    assert redact_names(df, "t", none, ["id"]).collect() == df.collect()
+    for how in ("inline", "join"):
+        assert redact_names(df, "t", none, how=how).collect() == df.collect()
+
+
+@pytest.mark.parametrize("how", ["inline", "join"])
+def test_several_words_and_odd_rows(spark, how):
+    rows = [(None, "oh John Doe, New York City"), (7, "oh my"), (7, "John  Doe of New York"), (7, "oh my"), (None, "Doe John Doe")]
+    df = spark.createDataFrame(rows, "hits int, t string")
+    listed = [("John Doe", "PERSON"), ("New York", "LOCATION"), ("New York City", "LOCATION"), ("Doe John", "PERSON"), ("oh", "PERSON"), ("--", "X")]
+    names = spark.createDataFrame(listed, "name string, entity_type string")
+    out = sorted((r["t"] for r in redact_names(df, "t", names, how=how).collect()))
+    assert out == sorted(["[PERSON] [PERSON], [LOCATION]", "[PERSON] my", "John  Doe of [LOCATION]", "[PERSON] my", "[PERSON] Doe"])
+
+
+def test_a_long_list_is_refused_inline(spark, monkeypatch):
+    monkeypatch.setattr("veilframe.operators.gazetteer.INLINE_NAMES", 1)
+    names = spark.createDataFrame([("a", "X"), ("b", "X")], "name string, entity_type string")
+    with pytest.raises(ValueError, match="how='join'"):
+        redact_names(spark.createDataFrame(TEXTS, "id int, t string"), "t", names)

@@ -1,8 +1,9 @@
 """SQL text, streams, result lines and written counts."""
 
-import os
 from types import SimpleNamespace
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from veilframe import Policy, Rule, redact_stream, table_hints, write_stream, write_with_count, writes_data
@@ -77,11 +78,14 @@ def test_shared_folder_follows_the_session():
     # The setting is fixed when a session starts, so a stand-in names it here.
     def session(folder):
         conf = SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default)
-        return SimpleNamespace(conf=conf)
+        context = SimpleNamespace(getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=conf, sparkContext=context)
 
     first, second = (shared_folder(session("hdfs://nn/shared/"), "x") for _ in range(2))
     assert first != second and first.startswith("hdfs://nn/shared/x-")
-    assert os.path.isdir(os.path.dirname(shared_folder(session(None), "x")))
+    assert shared_folder(session(None), "x", "/shared").startswith("/shared/x-")
+    with pytest.raises(ValueError, match="shared folder"):
+        shared_folder(session(None), "x")
 
 
 def test_result_lines(spark):

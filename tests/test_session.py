@@ -202,10 +202,10 @@ def test_a_bare_name_is_used_once(spark, people):
 
 def test_configure(spark, people):
     s = session(spark, people)
-    assert s.configure("users", "email", "full") == "Updated masking for public.users.email: style=full"
+    assert s.configure("users", "email", "full") == "public.users.email is now masked in style full"
     assert s.sql("SELECT email AS e FROM users WHERE id = 1").first()[0] == "[EMAIL ADDRESS]"
     told = s.configure("users", "email", "partial", "PERSON")
-    assert told == "Updated masking for public.users.email: style=partial, pii_type=PERSON"
+    assert told == "public.users.email is now masked in style partial, as PERSON"
     assert s.sql("SELECT email FROM users WHERE id = 1").first()[0] == "j" + "*" * 15
     s.configure("users", "email", "none", "none")
     assert s.sql("SELECT email FROM users WHERE id = 1").first()[0] == "john@example.com"
@@ -239,7 +239,7 @@ def test_write(spark, people, tmp_path):
 def test_describe_report_and_rules(spark, people):
     s = session(spark, people, Policy(rules=(Rule("users", "id", "none"), Rule("users", "phone", "PHONE_NUMBER", "full"))))
     s.register("web.Pages", spark.createDataFrame([], "url string, meta struct<a:string>"))
-    assert s.describe() == "2 tables found. Pass a table name to see its columns.\n\npublic.users\nweb.pages"
+    assert s.describe() == "Tables: 2. Name one to list what it holds.\n\npublic.users\nweb.pages"
     assert s.describe("users") == (
         "## public.users\n"
         "  id: int\n"
@@ -248,9 +248,9 @@ def test_describe_report_and_rules(spark, people):
         "  encrypted_password: string  ⚠ PII:SECRET (heuristic, 90%) → full"
     )
     assert s.describe("web.pages", show_pii=False) == "## web.pages\n  url: string\n  meta: struct<a:string>"
-    assert s.describe("nope") == "Table 'nope' not found."
+    assert s.describe("nope") == "There is no table nope."
     assert s.rules() == (
-        "Active PII masking rules:\n\n"
+        "Columns with a decision:\n\n"
         "  public.users.email: EMAIL_ADDRESS (heuristic, 90%) → partial\n"
         "  public.users.encrypted_password: SECRET (heuristic, 90%) → full\n"
         "  public.users.id: NOT PII (manually excluded)\n"
@@ -258,7 +258,7 @@ def test_describe_report_and_rules(spark, people):
         "  web.pages.meta: JSON_CONTAINER (heuristic, 100%) → partial"
     )
     empty = MaskedSession(spark).register("t", spark.range(1))
-    assert empty.rules() == "No PII classifications cached yet. Run a query or describe_schema first."
+    assert empty.rules() == "Nothing is decided about any column so far."
 
 
 def test_scan_is_remembered(spark):
@@ -283,7 +283,7 @@ def test_catalog_tables(spark):
     spark.sql("CREATE TABLE IF NOT EXISTS desk.people USING parquet AS SELECT 'a@b.com' AS handle, 1 AS id")
     policy = Policy(allowed_schemas=("desk",), default_schema="desk", rules=(Rule("people", "handle", "EMAIL_ADDRESS"),))
     s = MaskedSession(spark, policy).add_catalog()
-    assert s.describe() == "1 tables found. Pass a table name to see its columns.\n\ndesk.people"
+    assert s.describe() == "Tables: 1. Name one to list what it holds.\n\ndesk.people"
     assert "handle: string  ⚠ PII:EMAIL_ADDRESS (manual, 100%) → partial" in s.describe("people")
     assert s.sql("SELECT * FROM desk.people").first()[0] == "a***@b***.com"
     with pytest.raises(ValueError):

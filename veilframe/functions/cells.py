@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 from . import vocabulary as V
 
 
-def cell(value: Column, dtype: T.DataType | None = None) -> Column:
-    """A value as text: ``NULL`` for a missing one, cut when very long."""
+def cell(value: Column, dtype: T.DataType | None = None, max_chars: int | None = None) -> Column:
+    """A value as text: ``NULL`` for a missing one, cut if longer than ``max_chars``."""
     text = F.base64(value) if isinstance(dtype, T.BinaryType) else value.cast("string")
-    cut = F.concat(F.substring(text, 1, V.MAX_CELL_CHARS), F.lit(V.CUT_MARK))
-    return F.coalesce(
-        F.when(F.length(text) > V.MAX_CELL_CHARS, cut).otherwise(text), F.lit("NULL")
-    )
+    if max_chars is not None:
+        cut = F.concat(F.substring(text, 1, max_chars), F.lit(V.CUT_MARK))
+        text = F.when(F.length(text) > max_chars, cut).otherwise(text)
+    return F.coalesce(text, F.lit("NULL"))
 
 
 def markdown_line(cells: Sequence[Column]) -> Column:

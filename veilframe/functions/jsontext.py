@@ -38,6 +38,36 @@ _TOKEN = _token(_STRING)
 _TOKEN_WITH_SCALARS = _token(f"{_STRING}|{_SCALAR}")
 
 
+# A secret key and its colon. Containers are taken up to some depth and size; what is larger
+# still is not shown at all, so nothing is missed.
+_SECRET_NAMES = next(pattern for entity, pattern in V.NAME_PATTERNS if entity == V.SECRET)
+_SECRET_KEY = rf'(?iU)("[^"\\]*?(?:{_SECRET_NAMES})[^"\\]*+"\s*+:\s*+)'
+
+
+def _container(depth: int) -> str:
+    inside = rf'[^\[\]{{}}"]++|{_STRING}' + (f"|{_container(depth - 1)}" if depth else "")
+    return rf"[\[{{](?:{inside}){{0,100}}+[\]}}]"
+
+
+def _without_secret_values(text: Column) -> Column:
+    """A JSON text with numbers, arrays and objects behind secret keys replaced."""
+    hidden = F.regexp_replace(text, rf"{_SECRET_KEY}(?:{_SCALAR}|{_container(2)})", f'$1"{V.REDACTED}"')
+    # An escaped key is decoded first, which the pattern above cannot. Every string is read to its
+    # end, whether a key or not, so that none is read twice.
+    strings = rf"(?s)({_STRING})((?:\s*+:\s*+(?![\s\"]|null))?+)"
+    keys = F.zip_with(
+        F.regexp_extract_all(text, F.lit(strings), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(strings), F.lit(2)),
+        lambda key, colon: F.when((colon != "") & F.contains(key, F.lit("\\")), key),
+    )
+    escaped = F.filter(keys, lambda k: k.isNotNull())
+    missed = F.exists(escaped, lambda k: entity_of_key(_unescape(k)) == V.SECRET)
+    left = hidden.rlike(rf"{_SECRET_KEY}[\[{{]") | (F.contains(text, F.lit("\\")) & F.coalesce(missed, F.lit(False)))
+    whole = F.when(left, F.lit(f'"{V.REDACTED}"')).otherwise(hidden)
+    suspect = text.rlike(f"(?iU){_SECRET_NAMES}") | F.contains(text, F.lit("\\"))
+    return F.when(suspect, F.when(is_json(text), whole).otherwise(text)).otherwise(text)
+
+
 def is_json(text: Column) -> Column:
     """True where the text is one JSON document.
 
@@ -102,15 +132,30 @@ def mask_json_text(
     recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
     mask_scalars: bool = False,
     secrets_only: bool = False,
+    default: str | None = None,
 ) -> Column:
     """Mask the strings of a JSON text by key, and by content where the key is neutral.
 
+    Whatever stands behind a secret key is replaced: strings, numbers, arrays and objects. Strings
+    that no key classifies are taken for a ``default`` type if one is given.
+
     Text that is no JSON is treated as prose. ``mask_scalars`` also masks numbers and
     booleans under a classified key. ``secrets_only`` serves a revealed column: all
     but secret keys pass.
     """
     revealed = sorted(set(reveal_types) - {V.SECRET})
-    text = text.cast("string")
+    given = text.cast("string")
+    # From here on all of it reads a text without non-string values behind secret keys.
+    return F.get(
+        F.transform(
+            F.array(_without_secret_values(given)),
+            lambda clean: _masked(clean, style, seed, revealed, recognizers, mask_scalars, secrets_only, default),
+        ),
+        F.lit(0),
+    )
+
+
+def _masked(text, style, seed, revealed, recognizers, mask_scalars, secrets_only, default) -> Column:
     token = _TOKEN_WITH_SCALARS if mask_scalars else _TOKEN
 
     # Each step is a struct of its own, so that nothing is worked out twice.
@@ -119,7 +164,10 @@ def mask_json_text(
             before.alias("before"),
             literal.alias("literal"),
             F.when(literal.startswith('"'), _unescape(literal)).otherwise(literal).alias("value"),
-            F.when((before != "") & (literal != ""), _entity_of(before)).alias("entity"),
+            F.coalesce(
+                F.when((before != "") & (literal != ""), _entity_of(before)),
+                F.when(literal.startswith('"'), F.lit(default).cast("string")),
+            ).alias("entity"),
         )
 
     def judged(part: Column) -> Column:
@@ -155,7 +203,7 @@ def mask_json_text(
     masked = F.concat(F.substring_index(text, '"', 1), tokens)
     # Text with no classified key and no telling value is left alone. Escapes hide either,
     # so a text with escapes is always read.
-    suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\"))
+    suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\")) | F.lit(default is not None)
     if secrets_only:
         return F.when(suspect & is_json(text), masked).otherwise(text)
     anywhere = tuple(recognizers) + tuple(r for r in PREFILTER if r not in recognizers)

@@ -80,9 +80,15 @@ def partial_financial(text: Column) -> Column:
 
 def partial_name(text: Column) -> Column:
     """``John Q Doe`` -> ``J*** Q*** D**``."""
-    words = F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " "))
-    starred = F.regexp_replace(words, r"(?<=[^ ])[^ ]", "*")
-    return F.regexp_replace(starred, r"(?<![^ ])([^ ])(?![^ ])", "$1***")
+    words = F.split(F.trim(F.regexp_replace(text, rf"(?U){_SPACE}+", " ")), " ")
+
+    def starred(word: Column) -> Column:
+        first = F.left(word, F.lit(1))
+        return F.when(F.length(word) == 1, F.concat(first, F.lit("***"))).otherwise(
+            F.rpad(first, F.length(word), "*")
+        )
+
+    return F.array_join(F.transform(words, starred), " ")
 
 
 def partial_ip(text: Column) -> Column:

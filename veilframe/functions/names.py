@@ -49,8 +49,11 @@ def _first_match(name: Column, ordered: tuple[tuple[str, str], ...]) -> Column:
 
 
 def entity_of_key(key: Column) -> Column:
-    """Entity type of a JSON or map key, or NULL. Keys are never free text."""
-    return _first_match(key, _KEY_ORDER)
+    """Entity type of a JSON or map key, or NULL. Keys are never free text.
+
+    Most keys say nothing, and one pattern tells them from the others.
+    """
+    return F.when(key.rlike(ANY_KEY_PATTERN), _first_match(key, _KEY_ORDER))
 
 
 def entity_of_column_name(name: Column) -> Column:

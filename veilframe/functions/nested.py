@@ -31,6 +31,7 @@ class NestedStyle:
     recognizers: tuple[Recognizer, ...] = DEFAULT_RECOGNIZERS
     mask_scalars: bool = False
     secrets_only: bool = False
+    default: str | None = None  # what a leaf holds whose name says nothing
     entity_of: Callable[[T.StructField], str | None] = entity_by_name
 
 
@@ -44,13 +45,14 @@ def is_json_like(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.StructType, T.MapType, T.VariantType))
 
 
-def _may_hold_text(dtype: T.DataType, how: NestedStyle) -> bool:
+def _is_concerned(dtype: T.DataType, how: NestedStyle) -> bool:
+    """Whether anything inside may change: text, or what a secret name stands before."""
     if isinstance(dtype, T.ArrayType):
-        return _may_hold_text(dtype.elementType, how)
+        return _is_concerned(dtype.elementType, how)
     if isinstance(dtype, T.MapType):
-        return _may_hold_text(dtype.valueType, how)
+        return isinstance(dtype.keyType, T.StringType) or _is_concerned(dtype.valueType, how)
     if isinstance(dtype, T.StructType):
-        return any(_may_hold_text(f.dataType, how) for f in dtype.fields)
+        return any(how.entity_of(f) == V.SECRET or _is_concerned(f.dataType, how) for f in dtype.fields)
     if how.mask_scalars and isinstance(dtype, _SCALARS):
         return True
     return isinstance(dtype, (T.StringType, T.VariantType))
@@ -67,7 +69,8 @@ def _leaf(value: Column, dtype: T.DataType, entity: str | None, how: NestedStyle
     """A scalar whose field, known from the schema, names ``entity`` or nothing."""
     is_text = isinstance(dtype, T.StringType)
     if not is_text and not (how.mask_scalars and isinstance(dtype, _SCALARS)):
-        return value
+        return F.lit(None).cast(dtype) if entity == V.SECRET else value
+    entity = entity or how.default
     if entity is None:
         return _neutral_text(value, how) if is_text else value
     if entity != V.SECRET and (how.secrets_only or entity in how.reveal_types):
@@ -79,7 +82,7 @@ def _map_value(key: Column, value: Column, dtype: T.DataType, how: NestedStyle)
     """A map value whose key is data: a column decides how it is masked."""
     if isinstance(dtype, T.StringType) or (how.mask_scalars and isinstance(dtype, _SCALARS)):
         text = value.cast("string")
-        entity = entity_of_key(key)
+        entity = F.coalesce(entity_of_key(key), F.lit(how.default).cast("string"))
         masked = mask_by_entity(text, entity, how.style, how.seed)
         if how.secrets_only:
             return F.when(entity == V.SECRET, masked).otherwise(text)
@@ -88,29 +91,36 @@ def _map_value(key: Column, value: Column, dtype: T.DataType, how: NestedStyle)
             .when(entity.isin(sorted(set(how.reveal_types) - {V.SECRET})), text)
             .otherwise(masked)
         )
-    return mask_nested(value, dtype, how)
+    return F.when(~F.coalesce(entity_of_key(key) == V.SECRET, F.lit(False)), mask_nested(value, dtype, how))
 
 
 def mask_nested(
     value: Column, dtype: T.DataType, how: NestedStyle, entity: str | None = None
 ) -> Column:
-    """Mask every string leaf of ``value``; NULL containers stay NULL."""
-    if not _may_hold_text(dtype, how):
+    """Mask every string leaf of ``value``; NULL containers stay NULL.
+
+    A secret name covers all that is below it: text becomes ``[REDACTED]``, any other value,
+    and what a secret key of a map stands before, NULL.
+    """
+    secret = entity == V.SECRET
+    if not secret and not _is_concerned(dtype, how):
         return value
+    inherited = V.SECRET if secret else None
     if isinstance(dtype, T.StructType):
         fields = [
-            mask_nested(value[f.name], f.dataType, how, how.entity_of(f)).alias(f.name)
+            mask_nested(value[f.name], f.dataType, how, inherited or how.entity_of(f)).alias(f.name)
             for f in dtype.fields
         ]
         return F.when(value.isNotNull(), F.struct(*fields))
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda item: mask_nested(item, dtype.elementType, how))
+        return F.transform(value, lambda item: mask_nested(item, dtype.elementType, how, inherited))
     if isinstance(dtype, T.MapType):
-        if isinstance(dtype.keyType, T.StringType):
+        if isinstance(dtype.keyType, T.StringType) and not secret:
             return F.transform_values(value, lambda k, v: _map_value(k, v, dtype.valueType, how))
-        return F.transform_values(value, lambda _, v: mask_nested(v, dtype.valueType, how))
+        return F.transform_values(value, lambda _, v: mask_nested(v, dtype.valueType, how, inherited))
     if isinstance(dtype, T.VariantType):
-        return F.parse_json(json_text(F.to_json(value), how))
+        text = F.lit(f'"{V.REDACTED}"') if secret else json_text(F.to_json(value), how)
+        return F.when(value.isNotNull(), F.parse_json(text))
     return _leaf(value, dtype, entity, how)
 
 
@@ -124,6 +134,7 @@ def json_text(text: Column, how: NestedStyle) -> Column:
         how.recognizers,
         how.mask_scalars,
         how.secrets_only,
+        how.default,
     )
 
 

@@ -29,13 +29,21 @@ DECISIONS_DDL = (
 _JSON_TYPES = r"^(json|jsonb|variant|(array<)*(struct<|map<|variant))"
 
 
-def decisions_from_rules(rules: DataFrame, default_schema: str = "public") -> DataFrame:
+def decisions_from_rules(
+    rules: DataFrame, default_schema: str = "public", order: str | None = None
+) -> DataFrame:
     """Rules (``table, column, pii_type``) as decisions, one per column.
 
-    If several rules name a column, the alphabetically first type is taken.
+    As in a policy, of several rules for a column the last one holds: the one with the largest
+    ``order``. Without such a column, rules that differ are an error when they are used.
     """
     table = F.lower("table")
     pii = F.col("pii_type")
+    if order is None:
+        differ = F.raise_error(F.concat(F.lit("rules differ for "), "table_key", F.lit("."), "column_key"))
+        last = F.when(F.min(pii) == F.max(pii), F.min(pii)).otherwise(differ)
+    else:
+        last = F.max_by(pii, F.col("order"))
     return (
         rules.select(
             F.when(F.contains(table, F.lit(".")), table)
@@ -43,9 +51,10 @@ def decisions_from_rules(rules: DataFrame, default_schema: str = "public") -> Da
             .alias("table_key"),
             F.lower("column").alias("column_key"),
             "pii_type",
+            F.col(order or "pii_type").alias("order"),
         )
         .groupBy("table_key", "column_key")
-        .agg(F.min("pii_type").alias("pii_type"))
+        .agg(last.alias("pii_type"))
         .select(
             "table_key",
             "column_key",
@@ -176,9 +185,8 @@ def scan_tables(
             (F.col("entity_type") == V.JSON_CONTAINER).alias("is_json"),
         ).alias("vote"),
     )
-    # At most one row per column on either side, so the vote may be broadcast.
     joined = judged.join(
-        F.broadcast(voted),
+        voted,
         (F.concat_ws(".", "table_schema", "table_name") == F.col("table_key"))
         & (F.col("column_name") == F.col("voted_column")),
         "left",

@@ -1,13 +1,14 @@
 """Names in prose that no pattern describes, found with a list of them.
 
-The list is a DataFrame ``(name, entity_type)`` of single words. A short list travels
-inside the expression, so the text is rewritten in place without a shuffle. A list too
-long for that is joined with the words of the texts instead; both give the same result.
+The list is a DataFrame ``(name, entity_type)``; names are runs of letters, one word or several
+with what stands between them. A list can travel inside the expression, so that texts are
+rewritten in place without a shuffle, or be joined with the phrases of the texts. The caller says
+which; both give the same result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,88 +17,168 @@ from ..functions.masks import label_by_entity, pseudonym_by_entity
 
 WORD = r"[\p{L}\p{M}]+"
 
-# Longest list that is put into the expression: a few hundred kilobytes of text.
+# Longest list that may be put into the expression: a few hundred kilobytes of text.
 INLINE_NAMES = 20_000
 
 
 def _one_type_per_name(gazetteer: DataFrame) -> DataFrame:
-    return gazetteer.groupBy("name").agg(F.min("entity_type").alias("entity_type"))
+    """Names with their type and their number of words; what holds no letter names nothing."""
+    words = F.size(F.regexp_extract_all(F.col("name"), F.lit(WORD), F.lit(0)))
+    names = gazetteer.groupBy("name").agg(F.min("entity_type").alias("entity_type"))
+    return names.withColumn("words", words).where("words > 0 AND entity_type IS NOT NULL")
 
 
-def _replacement(word: Column, entity: Column, style: str, seed: str | None) -> Column:
-    if style == "pseudonymize":
-        new = pseudonym_by_entity(word, entity, seed)
-    else:
-        new = label_by_entity(entity)
-    return F.when(entity.isNull(), word).otherwise(new)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _rejoined(text: Column, words: Column) -> Column:
-    gaps = F.split(text, WORD, -1)
-    return F.array_join(
-        F.zip_with(gaps, words, lambda gap, word: F.concat(gap, F.coalesce(word, F.lit("")))), ""
+def _tokens(text: Column) -> Column:
+    """Gap, word, gap, word, ..., gap: word ``i`` is at ``2 * i + 1``."""
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    both = F.zip_with(
+        F.split(text, WORD, -1), words, lambda gap, word: F.array(gap, F.coalesce(word, F.lit("")))
     )
+    return F.flatten(both)
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _phrase(tokens: Column, place: Column, words: int) -> Column:
+    return F.array_join(F.slice(tokens, place * 2 + 2, F.lit(2 * words - 1)), "")
+
+
+def _places(tokens: Column, words: int) -> Column:
+    """Where a phrase of so many words can start."""
+    last = F.floor(F.size(tokens) / 2).cast("int") - 1 - words
+    nowhere = F.array().cast("array<int>")
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(nowhere)
+
+
+def _rewritten(
+    text: Column, sizes: list[int], entity_of: Callable[[Column, int], Column], style: str, seed: str | None
+) -> Column:
+    """The text with every listed phrase replaced: the leftmost first, of those the longest."""
+
+    def found(tokens: Column, words: int) -> Column:
+        def judged(place: Column) -> Column:
+            return _let(
+                _phrase(tokens, place, words),
+                lambda phrase: F.struct(
+                    place.alias("place"),
+                    F.lit(-words).alias("rank"),
+                    phrase.alias("phrase"),
+                    entity_of(phrase, words).alias("entity"),
+                ),
+            )
+
+        return F.filter(F.transform(_places(tokens, words), judged), lambda hit: hit["entity"].isNotNull())
+
+    def chosen(hits: Column) -> Column:
+        """Hits that start before the end of the one chosen before are passed over."""
+        start = F.struct(F.lit(0).alias("stop"), F.slice(hits, 1, 0).alias("taken"))
+
+        def step(done: Column, hit: Column) -> Column:
+            takes = F.struct(
+                (hit["place"] - hit["rank"]).alias("stop"),
+                F.concat(done["taken"], F.array(hit)).alias("taken"),
+            )
+            return F.when(hit["place"] >= done["stop"], takes).otherwise(done)
+
+        return F.aggregate(hits, start, step, lambda done: done["taken"])
+
+    def stop_of(hit: Column) -> Column:
+        return (hit["place"] - hit["rank"]) * 2
+
+    def joined(tokens: Column, hits: Column) -> Column:
+        def piece(hit: Column, i: Column) -> Column:
+            begin = F.coalesce(stop_of(F.get(hits, i - 1)), F.lit(0))
+            before = F.array_join(F.slice(tokens, begin + 1, hit["place"] * 2 + 1 - begin), "")
+            if style == "pseudonymize":
+                new = pseudonym_by_entity(hit["phrase"], hit["entity"], seed)
+            else:
+                new = label_by_entity(hit["entity"])
+            return F.concat(before, new)
+
+        end = stop_of(F.element_at(hits, -1))
+        rest = F.array_join(F.slice(tokens, end + 1, F.size(tokens) - end), "")
+        return F.concat(F.array_join(F.transform(hits, piece), ""), rest)
+
+    def whole(tokens: Column) -> Column:
+        hits = F.sort_array(F.concat(*(found(tokens, words) for words in sizes)))
+        if len(sizes) > 1 or sizes != [1]:
+            hits = _let(hits, chosen)
+        return _let(hits, lambda taken: F.when(F.size(taken) > 0, joined(tokens, taken)).otherwise(text))
+
+    return F.when(text.isNotNull(), _let(_tokens(text), whole))
 
 
 def redact_names(
     df: DataFrame,
     column: str,
     gazetteer: DataFrame,
-    key: Sequence[str],
     style: str = "partial",
     seed: str | None = None,
-    inline_names: int = INLINE_NAMES,
+    how: str = "inline",
 ) -> DataFrame:
     """Replace the listed names in a text column, whole words in the spelling listed.
 
-    ``key`` names the columns that tell the rows apart; it is used for long lists only.
-    A name listed under several types takes the alphabetically first.
+    ``how="inline"`` puts the list into the expression; more than ``INLINE_NAMES`` names are an
+    error. ``how="join"`` takes a list of any length: names are joined with the phrases of the
+    texts, and the texts with what was found in them, by a digest of the text. A name listed under
+    several types takes the alphabetically first; of overlapping names the leftmost, then the
+    longest, is taken.
     """
     names = _one_type_per_name(gazetteer)
-    # One row more than fits is enough to know that the list is too long.
-    listed = names.limit(inline_names + 1).collect()
-    if len(listed) <= inline_names:
+    if how == "inline":
+        # One row more than fits is enough to know that the list is too long.
+        listed = names.limit(INLINE_NAMES + 1).collect()
+        if len(listed) > INLINE_NAMES:
+            raise ValueError(f"more than {INLINE_NAMES} names: use how='join'")
         return _inline(df, column, listed, style, seed)
-    return _joined(df, column, names, key, style, seed)
+    if how == "join":
+        return _joined(df, column, names, style, seed)
+    raise ValueError("how is 'inline' or 'join'")
 
 
 def _inline(df, column, listed, style, seed) -> DataFrame:
-    by_type: dict[str, list[str]] = {}
-    for name, entity in listed:
-        by_type.setdefault(entity, []).append(name)
-    text = F.col(column)
-    if not by_type:
+    if not listed:
         return df
+    by_size: dict[int, dict[str, list[str]]] = {}
+    for name, entity, words in listed:
+        by_size.setdefault(words, {}).setdefault(entity, []).append(name)
 
-    def entity_of(word: Column) -> Column:
+    def entity_of(phrase: Column, words: int) -> Column:
         chain = F.when(F.lit(False), F.lit(""))
-        for entity in sorted(by_type):
-            chain = chain.when(word.isin(by_type[entity]), F.lit(entity))
+        for entity in sorted(by_size[words]):
+            chain = chain.when(phrase.isin(by_size[words][entity]), F.lit(entity))
         return chain
 
-    judged = F.transform(
-        _words(text), lambda w: F.struct(w.alias("word"), entity_of(w).alias("entity"))
-    )
-    new = F.transform(judged, lambda j: _replacement(j["word"], j["entity"], style, seed))
-    return df.withColumn(column, F.when(text.isNotNull(), _rejoined(text, new)))
-
-
-def _joined(df, column, names, key, style, seed) -> DataFrame:
-    text = F.col(column)
-    places = df.select(*key, F.posexplode(_words(text)).alias("place", "name"))
-    # Only words on the list survive the join; per row they are no more than its words.
-    hits = (
-        places.join(names, "name")
-        .groupBy(*key)
-        .agg(F.map_from_entries(F.collect_list(F.struct("place", "entity_type"))).alias("hits"))
-    )
-    new = F.transform(
-        _words(text),
-        lambda w, i: _replacement(w, F.try_element_at(F.col("hits"), i), style, seed),
+    return df.withColumn(column, _rewritten(F.col(column), sorted(by_size), entity_of, style, seed))
+
+
+def _joined(df, column, names, style, seed) -> DataFrame:
+    sizes = sorted(r["words"] for r in names.select("words").distinct().collect())
+    if not sizes:
+        return df
+    text, digest = F.col(column), F.sha2(F.col(column), 256)
+
+    def phrases(tokens: Column) -> Column:
+        def of_size(words: int) -> Column:
+            return F.transform(_places(tokens, words), lambda place: _phrase(tokens, place, words))
+
+        return F.array_distinct(F.concat(*map(of_size, sizes)))
+
+    # What a text holds depends on the text alone, so rows need no key; equal texts are one.
+    held = df.where(text.isNotNull()).select(
+        digest.alias("digest"), F.explode(_let(_tokens(text), phrases)).alias("name")
     )
-    rewritten = F.when(F.col("hits").isNull(), text).otherwise(_rejoined(text, new))
-    return df.join(hits, list(key), "left").withColumn(column, rewritten).select(*df.columns)
+    pair = F.struct(F.col("name"), F.col("entity_type"))
+    hits = held.join(names, "name").groupBy("digest").agg(F.map_from_entries(F.collect_set(pair)).alias("hits"))
+
+    def entity_of(phrase: Column, words: int) -> Column:
+        return F.try_element_at(F.col("hits"), phrase)
+
+    marked = df.select(F.struct("*").alias("row"), digest.alias("digest")).join(hits, "digest", "left")
+    text = F.col("row")[column]
+    new = F.when(F.col("hits").isNull(), text).otherwise(_rewritten(text, sizes, entity_of, style, seed))
+    done = marked.select("row", new.alias("new"))
+    return done.select(*((F.col("new") if c == column else F.col("row")[c]).alias(c) for c in df.columns))

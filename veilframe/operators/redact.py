@@ -7,7 +7,7 @@ becomes one ``select``. Filters and column pruning therefore still reach the sca
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +29,8 @@ from ..plans.lineage import TAG, owner_of
 from ..policy import Policy
 
 STATUS = "redaction"
+# Ways to know of a container what all in it is.
+_GIVEN = ("manual", "lineage")
 
 
 @dataclass(frozen=True)
@@ -55,11 +57,14 @@ def plan_columns(
     tables: Sequence[str] = (),
     reveal_columns: Iterable[str] = (),
     reveal_types: Iterable[str] = (),
+    made_of: Sequence[Iterable[tuple[str, str]]] | None = None,
 ) -> list[ColumnPlan]:
     """Decide for every column; columns are told apart by position, not by name.
 
-    A column's lineage tag names its owner. Without one, the tables given are asked
-    in order. Secrets are never revealed.
+    A column's lineage tag names its owner. ``made_of`` gives the base columns that a
+    column without one, or with several, is made of (``column_owners``): it is what the
+    strictest of them is. Else the tables given are asked in order. Secrets are never
+    revealed.
     """
     shown = {name.lower() for name in reveal_columns}
     shown_types = set(reveal_types)
@@ -68,9 +73,15 @@ def plan_columns(
         tagged = owner_of(field)
         owners = [tagged] if tagged else [(t, field.name) for t in tables]
         info, owner = policy.resolve(field.name, owners)
+        sources = sorted(made_of[position]) if made_of else []
+        if sources and sources != ([tagged] if tagged else []):
+            found = [(c, o) for o in sources for c in [policy.resolve(o[1], [o])[0]] if c is not None]
+            if found:
+                made, owner = min(found, key=lambda f: f[0].entity_type != V.SECRET)
+                info = replace(made, source="lineage")
         excluded = owner is not None and info is None and policy.entry(*owner) is not None
         if is_json_like(field.dataType) and not excluded:
-            if info is None or info.source != "manual":
+            if info is None or (info.source not in _GIVEN and info.entity_type != V.SECRET):
                 info = JSON_CLASSIFICATION
         if info is None:
             plans.append(ColumnPlan(position, field.name, None, "none", False))
@@ -99,7 +110,10 @@ def _column(
     info = plan.info
     if info is None:
         return value
+    if info.entity_type == V.SECRET and is_json_like(dtype):
+        return F.when(value.isNotNull(), F.lit(V.REDACTED))
     raw = plan.revealed or plan.style == "none"
+    by_rule = info.source in _GIVEN and not (info.is_json or info.is_free_text)
     if info.is_json or is_json_like(dtype):
         # A JSON column that is shown still hides the secrets inside it.
         how = NestedStyle(
@@ -109,6 +123,7 @@ def _column(
             policy.recognizers,
             policy.mask_json_scalars,
             secrets_only=raw,
+            default=info.entity_type if by_rule else None,
             entity_of=lambda field: _nested_entity(field, policy),
         )
         if is_json_like(dtype):
@@ -133,14 +148,17 @@ def redact(
     tables: Sequence[str] = (),
     reveal_columns: Iterable[str] = (),
     reveal_types: Iterable[str] = (),
+    made_of: Sequence[Iterable[tuple[str, str]]] | None = None,
 ) -> DataFrame:
     """Mask ``df`` by ``policy``; works on batch and streaming DataFrames alike.
 
+    ``made_of`` is what ``column_owners`` tells of the columns of ``df``.
+
     Masked columns come out as text (JSON-like ones keep their type). Each output
     column carries its status in its metadata.
     """
     reveal_types = frozenset(reveal_types)
-    plans = plan_columns(df.schema, policy, tables, reveal_columns, reveal_types)
+    plans = plan_columns(df.schema, policy, tables, reveal_columns, reveal_types, made_of)
     by_position = df.toDF(*[f"c{p.position}" for p in plans])
     out = []
     for plan, field in zip(plans, df.schema.fields):

@@ -91,12 +91,14 @@ def _bounds(tables: Tables, limit: int) -> dict[tuple[str, str], str]:
     return {(r["table_key"], r["column_name"]): f"{r['head']:015x}g" for r in rows}
 
 
-def sample_tables(tables: Tables, limit: int = 100) -> DataFrame:
+def sample_tables(tables: Tables, limit: int | None = 100) -> DataFrame:
     """``sample_columns`` over several tables at once, with their ``table_key``.
 
     The bounds are found by a job of its own when this is called.
     """
     tables = {key: (df, columns) for key, (df, columns) in tables.items() if columns}
+    if limit is None:
+        return _all(_long_form(key, df, columns, {}) for key, (df, columns) in tables.items()).where("value <> ''")
     bounds = _bounds(tables, limit)
     candidates = _all(
         _long_form(key, df, columns, bounds) for key, (df, columns) in tables.items()
@@ -109,9 +111,14 @@ def sample_tables(tables: Tables, limit: int = 100) -> DataFrame:
     )
 
 
-def sample_columns(df: DataFrame, columns: Sequence[str] | None = None, limit: int = 100) -> DataFrame:
+def sample_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, limit: int | None = 100
+) -> DataFrame:
     """Up to ``limit`` distinct non-null values of each column, as text.
 
+    Without a limit every value of every row that is not empty: a vote over it is one aggregate,
+    combined before the shuffle.
+
     Columns: ``column_name, value``. As in sampling with a row limit, empty strings
     count towards the limit and are dropped afterwards.
     """
@@ -173,7 +180,7 @@ def vote_columns(
 
 def vote_tables(
     tables: Tables,
-    limit: int = 100,
+    limit: int | None = 100,
     recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS,
     json_share: float | None = None,
 ) -> DataFrame | None:

@@ -1,11 +1,14 @@
 """Where an output column came from, carried as column metadata.
 
 The tag follows a column through renames, joins, grouping, windows, ordering and
-common table expressions. Computed columns lose it and are judged by their name.
+common table expressions. What is computed has none; ``column_owners`` reads from the
+analysed plan what it is made of.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,3 +67,85 @@ def owner_of(field: T.StructField) -> tuple[str, str] | None:
 def quoted(name: str) -> str:
     """A column name as an identifier, whatever characters it holds."""
     return "`" + name.replace("`", "``") + "`"
+
+
+# What these say about a column is not its value: whether and how often it is there, how long
+# it is, how it compares.
+_TELLING_NOTHING = {
+    "Count", "CountIf", "HyperLogLogPlusPlus", "RegrCount", "IsNull", "IsNotNull", "IsNaN", "Length", "Size",
+    "OctetLength", "BitLength", "ArraySize", "EqualTo", "EqualNullSafe", "GreaterThan", "GreaterThanOrEqual",
+    "LessThan", "LessThanOrEqual", "In", "InSet", "InSubquery", "Exists", "Like", "RLike", "Contains",
+    "StartsWith", "EndsWith", "Not", "And", "Or", "BoolAnd", "BoolOr",
+}
+
+Owners = frozenset[tuple[str, str]]
+
+
+def column_owners(df: DataFrame) -> list[Owners]:
+    """For each output column, the base columns whose values can be in it.
+
+    They are taken from the analysed plan: through computed columns, aggregates, windows,
+    generators, scalar subqueries, common table expressions, and every side of a union. What
+    a plan node makes in a way not known here counts as made of all that the node reads.
+    """
+    walk = _Walk()
+    plan = df._jdf.queryExecution().analyzed()
+    walk.visit(plan)
+    return walk.of_output(plan)
+
+
+class _Walk:
+    """Owners by the id of an attribute, collected from the leaves of a plan upwards."""
+
+    def __init__(self) -> None:
+        self.known: dict[int, Owners] = {}
+        self.shared: dict[int, list[Owners]] = {}  # of common table expressions
+
+    def of_output(self, plan) -> list[Owners]:
+        return [self.known.get(a.exprId().id(), frozenset()) for a in _each(plan.output())]
+
+    def visit(self, plan) -> None:
+        children = list(_each(plan.children()))
+        for child in children:
+            self.visit(child)
+        kind = plan.getClass().getSimpleName()
+        expressions = list(_each(plan.expressions()))
+        for expression in expressions:
+            if expression.getClass().getSimpleName() == "Alias":
+                self._learn(expression, self._inside(expression))
+        if kind == "CTERelationDef":
+            self.shared[plan.id()] = self.of_output(plan)
+        sides = [self.of_output(c) for c in children] if kind == "Union" else []
+        if kind == "CTERelationRef":
+            sides = [self.shared.get(plan.cteId(), [])]
+        for i, attribute in enumerate(_each(plan.output())):
+            if sides:
+                both = frozenset().union(*(side[i] for side in sides if i < len(side)))
+                self.known[attribute.exprId().id()] = both | _tag_of(attribute)
+            elif attribute.exprId().id() not in self.known:
+                made_of = frozenset().union(*map(self._inside, expressions)) if children else frozenset()
+                self._learn(attribute, made_of)
+
+    def _learn(self, named, made_of: Owners) -> None:
+        """A tag says where a column was read; without one, it is what it is made of."""
+        self.known[named.exprId().id()] = _tag_of(named) or made_of
+
+    def _inside(self, expression) -> Owners:
+        kind = expression.getClass().getSimpleName()
+        if kind in _TELLING_NOTHING:
+            return frozenset()
+        if kind == "AttributeReference":
+            return self.known.get(expression.exprId().id(), frozenset()) | _tag_of(expression)
+        if kind in ("ScalarSubquery", "LateralSubquery"):
+            self.visit(expression.plan())
+            return frozenset().union(*self.of_output(expression.plan()))
+        return frozenset().union(*map(self._inside, _each(expression.children())))
+
+
+def _each(items):
+    return (items.apply(i) for i in range(items.size()))
+
+
+def _tag_of(named) -> Owners:
+    tag = json.loads(named.metadata().json()).get(TAG)
+    return frozenset([(tag["table"], tag["column"])]) if tag else frozenset()

@@ -10,20 +10,28 @@ from ..functions.cells import cell, markdown_line, tsv_line
 from ..operators.redact import annotations
 
 
-def result_lines(df: DataFrame, form: str | None = None) -> DataFrame:
+def _form(df: DataFrame, form: str | None) -> str:
+    return form or ("tsv" if len(df.columns) > V.MARKDOWN_MAX_COLUMNS else "markdown")
+
+
+def result_lines(
+    df: DataFrame, form: str | None = None, max_cell_chars: int | None = None
+) -> DataFrame:
     """One ``line`` per row, built on the executors.
 
-    ``form`` is ``markdown`` or ``tsv``; by default wide results become TSV.
+    ``form`` is ``markdown`` or ``tsv``; by default wide results become TSV. Cells are whole
+    unless ``max_cell_chars`` cuts them.
     """
-    form = form or ("tsv" if len(df.columns) > V.MARKDOWN_MAX_COLUMNS else "markdown")
     by_position = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    cells = [cell(F.col(f"c{i}"), f.dataType) for i, f in enumerate(df.schema.fields)]
-    line = tsv_line(cells) if form == "tsv" else markdown_line(cells)
+    cells = [
+        cell(F.col(f"c{i}"), f.dataType, max_cell_chars) for i, f in enumerate(df.schema.fields)
+    ]
+    line = tsv_line(cells) if _form(df, form) == "tsv" else markdown_line(cells)
     return by_position.select(line.alias("line"))
 
 
-def _column_lines(names: list[str]) -> list[str]:
-    if len(names) > V.MARKDOWN_MAX_COLUMNS:
+def _column_lines(names: list[str], form: str) -> list[str]:
+    if form == "tsv":
         return ["\t".join(names)]
     return ["| " + " | ".join(names) + " |", "| " + " | ".join(["---"] * len(names)) + " |"]
 
@@ -40,14 +48,21 @@ def _header(statuses: list[tuple[str, str]], shown: int, truncated: bool) -> lis
     return out + [""]
 
 
-def render(df: DataFrame, max_rows: int = 1000) -> str:
-    """The first rows of a redacted DataFrame as text.
+def render(
+    df: DataFrame,
+    max_rows: int = 1000,
+    max_cell_chars: int | None = V.MAX_CELL_CHARS,
+    form: str | None = None,
+) -> str:
+    """The first rows of a redacted DataFrame as text for a reader.
 
-    One row more than allowed is fetched, so "truncated" is said only when it is true.
+    One row more than allowed is fetched, so "truncated" is said only when it is true. Cells are
+    cut at ``max_cell_chars``, or not at all if that is None.
     """
-    rows = [r["line"] for r in result_lines(df).limit(max_rows + 1).collect()]
+    lines = result_lines(df, form, max_cell_chars)
+    rows = [r["line"] for r in lines.limit(max_rows + 1).collect()]
     if not rows:
         return V.NO_ROWS
     shown = rows[:max_rows]
     header = _header(annotations(df), len(shown), len(rows) > max_rows)
-    return "\n".join(header + _column_lines(df.columns) + shown)
+    return "\n".join(header + _column_lines(df.columns, _form(df, form)) + shown)

@@ -19,7 +19,7 @@ from ..sources.catalog import columns_of, table_list
 from ..sources.readers import read_table
 from ..sources.writers import write_with_count
 from .gate import ReadOnlyError, require_read_only
-from .lineage import tag_columns
+from .lineage import column_owners, tag_columns
 from .results import render
 from .tuning import hide_in_plans, tune
 
@@ -43,9 +43,10 @@ class MaskedSession:
     """SQL over registered tables, with every result masked by policy.
 
     ``mask_at="output"`` lets predicates, joins and aggregates see raw values and masks
-    the result by lineage. A column without lineage is looked up by its name in the
-    tables the statement names, then judged by the name itself; a computed column with
-    a neutral alias escapes. ``mask_at="source"`` masks the tables themselves, so no view shows a raw
+    the result by lineage: a computed column is masked as the strictest of the columns
+    it is made of. A column without lineage is looked up by its name in the tables the
+    statement names, then judged by the name itself. What a predicate, a count or a
+    length tells is not masked. ``mask_at="source"`` masks the tables themselves, so no view shows a raw
     value, at the price of predicates seeing masks. Do not also save the raw tables in
     the session's catalog in that mode.
     """
@@ -58,7 +59,7 @@ class MaskedSession:
         self.spark = tune(spark)
         self.policy = policy or Policy()
         if self.policy.seed:
-            hide_in_plans(spark, self.policy.seed)
+            hide_in_plans(spark)
         self.mask_at = mask_at
         self.tables: dict[str, DataFrame] = {}
 
@@ -117,14 +118,19 @@ class MaskedSession:
         reveal_columns: Iterable[str] = (),
         reveal_types: Iterable[str] = (),
     ) -> DataFrame:
-        """A masked, uncapped DataFrame: write it, join it, or ``render`` it."""
+        """A masked, uncapped DataFrame: write it, join it, or ``render`` it.
+
+        What it raises when it runs is Spark's own error, whose message may quote values that a
+        cast or a function failed on; ``query`` and ``write`` pass on its class alone.
+        """
         if self.mask_at == "source":
             if reveal_columns or reveal_types:
                 raise ValueError("tables masked at the source have nothing to reveal")
             return self._run(sql, params)
         result = self._run(sql, params)
         named = tables_named(sql, self.policy.default_schema)
-        return redact(result, self.policy, named, reveal_columns, reveal_types)
+        made_of = column_owners(result)
+        return redact(result, self.policy, named, reveal_columns, reveal_types, made_of)
 
     def query(
         self,
@@ -132,13 +138,15 @@ class MaskedSession:
         params: Mapping[str, Any] | None = None,
         reveal_columns: Iterable[str] = (),
         reveal_types: Iterable[str] = (),
+        max_cell_chars: int | None = V.MAX_CELL_CHARS,
+        form: str | None = None,
     ) -> str:
-        """The masked result as text, at most ``max_rows`` rows of it."""
+        """The masked result as text, at most ``max_rows`` rows of it; ``form`` as in ``render``."""
         result = self.sql(sql, params, reveal_columns, reveal_types)
         if not result.columns:
             return "Query executed successfully."
         with _errors_without_values():
-            return render(result, self.policy.max_rows)
+            return render(result, self.policy.max_rows, max_cell_chars, form)
 
     def write(self, sql: str, params: Mapping[str, Any] | None = None, **target: Any) -> int:
         """Write the masked result of a query; returns the rows written."""
@@ -162,7 +170,7 @@ class MaskedSession:
         if self.mask_at == "source" and key in self.tables:
             self.register(key, self.tables[key])
         told = V.UPDATED.format(key=key, column=column, style=masking_style)
-        return told + (f", pii_type={pii_type}" if pii_type else "")
+        return told + (f", as {pii_type}" if pii_type else "")
 
     def scan(self, *tables: str, json_share: float | None = None) -> DataFrame:
         """Classify tables (all by default) by value too, and remember the outcome."""

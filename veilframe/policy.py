@@ -44,7 +44,7 @@ class Policy:
     """
 
     default_style: str = "partial"
-    sample_size: int = 100
+    sample_size: int | None = 100  # None: the vote reads every value
     auto_detect: bool = True
     read_only: bool = True
     rules: tuple[Rule, ...] = ()
@@ -76,9 +76,9 @@ class Policy:
         return self.table_key(table), column.lower()
 
     def rule(self, table: str, column: str) -> Rule | None:
-        """The first rule given for this table and column."""
+        """The rule for this table and column; of several, the last one given."""
         key = self._key(table, column)
-        return next((r for r in self.rules if self._key(r.table, r.column) == key), None)
+        return next((r for r in reversed(self.rules) if self._key(r.table, r.column) == key), None)
 
     def entry(self, table: str, column: str) -> Entry | None:
         """Classification, ``EXCLUDED``, or None when nothing is recorded."""

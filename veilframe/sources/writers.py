@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession, purpose: str, base: str | None = None) -> str:
+    """A fresh path under a folder that the whole cluster shares.
 
-    Only where none is set, as in tests, a local folder is made.
+    ``base`` names the folder; else it is the setting ``spark.checkpoint.dir``, or the checkpoint
+    folder of the context. Without any, executors would write to disks of their own, so this raises.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="veilframe-")
+        raise ValueError("no shared folder: set spark.checkpoint.dir or name one")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
