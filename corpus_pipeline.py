@@ -7,14 +7,12 @@ return the columns of ``documents``; stages that change texts set ``n_chars`` an
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import linededup, minhash, packing, rules, secretscan
-from veilframe.llm.common import prepare
+from veilframe.llm.common import shared_path
 
 
 def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -64,7 +62,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage; what the stages before return lies in the folder the cluster shares."""
-    folder = f"{prepare(spark).sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for number, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{number}"

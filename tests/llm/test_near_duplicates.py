@@ -1,0 +1,164 @@
+"""Near duplicates of texts and vectors against brute force, and odd rows."""
+
+import collections
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.llm import common, embeddings, minhash
+
+
+def classes_of(n, links):
+    of = list(range(n))
+
+    def find(x):
+        while of[x] != x:
+            x = of[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        of[max(a, b)] = min(a, b)
+    return [find(x) for x in range(n)]
+
+
+def test_components(spark):
+    random = np.random.default_rng(5)
+    chain = [(k, k + 1) for k in range(0, 300)]
+    star = [(1000, k) for k in range(1001, 1200)]
+    more = [tuple(map(int, random.integers(2000, 2400, 2))) for _ in range(250)]
+    edges = chain + star + more
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = classes_of(2400, edges)
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: want[x] for x in linked}
+    assert common.components(spark.createDataFrame([(1, 1)], "a long, b long")).collect() == []
+
+
+def by_hand(texts, idf, threshold=0.8):
+    hashes, counts = minhash.word_hashes(pa.array(texts, pa.string()))
+    grams, weights, many = minhash.shingles(hashes, counts, idf)
+    ends = np.cumsum(many)
+    sets = [dict(zip(grams[e - n : e].tolist(), weights[e - n : e].tolist(), strict=True)) for e, n in zip(ends, many, strict=True)]
+    holders = collections.defaultdict(list)
+    for k, s in enumerate(sets):
+        for gram in s:
+            holders[gram].append(k)
+    links = []
+    for a, b in {(a, b) for h in holders.values() for a in h for b in h if a < b}:
+        both = sum(min(sets[a][x], sets[b][x]) for x in sets[a].keys() & sets[b].keys())
+        if both >= (threshold - 1e-6) * (sum(sets[a].values()) + sum(sets[b].values()) - both):
+            links.append((a, b))
+    return links
+
+
+def test_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted(docs.collect())
+    idf = minhash.weights_of_words(minhash.document_frequencies(docs))
+    links = by_hand([r.text for r in rows], idf)
+    want = classes_of(len(rows), links)
+    got = {r.doc_id: (r.class_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert len(links) > 20
+    assert got == {rows[k].doc_id: (rows[c].doc_id, c == k) for k, c in enumerate(want)}
+
+
+def test_a_large_group_of_near_copies(make, spark):
+    """Variants that are alike only by way of others, among texts that share a passage."""
+    random = np.random.default_rng(9)
+    base = [f"word{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(150):
+        words = list(base)
+        for place in random.choice(120, 3, replace=False):
+            words[place] = f"new{random.integers(10**6)}"
+        texts.append(" ".join(words))
+    for k in range(80):
+        texts.append(" ".join(base[:30] + [f"own{k}x{i}" for i in range(60)]))
+    df = make(texts)
+    idf = minhash.weights_of_words(minhash.document_frequencies(df))
+    want = classes_of(len(texts), by_hand(texts, idf))
+    assert [r.class_id for r in minhash.near_duplicates(df).orderBy("doc_id").collect()] == want
+
+
+def test_odd_texts(make):
+    texts = [None, "", " \n", "--- !!", "one two", "One, two!", "a b c d e f g", "A b c d e, f g.", "x " * 20_000, "x " * 20_000, "a b c d e f g"]
+    out = minhash.near_duplicates(make(texts))
+    assert out.columns == ["doc_id", "class_id", "kept"]
+    got = {r.doc_id: (r.class_id, r.kept) for r in out.collect()}
+    assert [got[k][0] for k in range(11)] == [0, 1, 2, 3, 4, 4, 6, 6, 8, 8, 6]
+    assert [got[k][1] for k in range(11)] == [True, True, True, True, True, False, True, False, True, False, False]
+    ids = [None, None, 3, 3, 4, 4, 6, 7, None, 9, 9]
+    same = minhash.near_duplicates(make(texts, ids)).collect()
+    assert len(same) == 11 and all(r.class_id is None and r.kept for r in same if r.doc_id is None)
+    assert {r.class_id for r in same if r.doc_id in (6, 7, 9)} == {6}
+    df = make(texts)
+    assert minhash.keep_one(df).columns == df.columns and minhash.keep_one(df).count() == 7
+    assert minhash.near_duplicates(make([])).collect() == []
+
+
+def test_samples_agree_as_weights_do():
+    """Two texts draw the same sample as often as their weighted Jaccard similarity says."""
+    random = np.random.default_rng(2)
+    shared, own = random.integers(1, 2**44, 300).astype(np.uint64), random.integers(1, 2**44, (2, 60)).astype(np.uint64)
+    weights = random.uniform(0.5, 6, 300).astype(np.float32)
+    agree = 0
+    for k in range(40):
+        move = np.uint64(k * 7919)
+        grams = np.concatenate([shared + move, own[0] + move, shared + move, own[1] + move])
+        w = np.concatenate([weights, np.full(60, 2, np.float32)] * 2)
+        drawn = minhash.samples(grams, w, np.array([360, 360]), minhash.random_tables())
+        agree += (drawn[0] == drawn[1]).mean() / 40
+    assert agree == pytest.approx(weights.sum() / (weights.sum() + 240), abs=0.02)
+
+
+VECTORS = [
+    (0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.01], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [0.0, 0.0], 1),
+    (7, [1.0, None], 1), (8, [float("nan"), 1.0], 1), (9, [float("inf"), 1.0], 1), (10, [1.0, 0.0, 0.0], 1), (11, [], 1), (12, [0.9, 0.17], 1),
+    (13, [0.95, 0.35], 1), (14, [-1.0, 0.0], 1), (None, [1.0, 0.0], 1), (15, [1e-30, 0.0], 1),
+]
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def vectors_by_hand(rows, threshold=0.98):
+    def fine(r):
+        v = r[1]
+        return r[0] is not None and r[2] is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)
+
+    units = [np.float32(r[1]).astype(float) / np.abs(np.float32(r[1]).astype(float)).max() if fine(r) else None for r in rows]
+    units = [None if u is None else u / np.sqrt((u * u).sum()) for u in units]
+    pairs = [
+        (a, b) for a in range(len(rows)) for b in range(a)
+        if units[a] is not None and units[b] is not None and rows[a][2] == rows[b][2] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= threshold
+    ]
+    links = collections.Counter(x for p in pairs for x in p)
+    of = classes_of(len(rows), pairs)
+    return [(rows[k][0], links[k], rows[of[k]][0], rows[k][0] is not None and rows[of[k]][0] == rows[k][0]) for k in range(len(rows))]
+
+
+def test_odd_vectors(spark):
+    df = spark.createDataFrame(VECTORS, SCHEMA).withColumn("node", F.lit("x")).withColumn("h1", F.lit(1))
+    out = embeddings.near_vectors(df)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(vectors_by_hand(VECTORS), key=repr)
+    assert embeddings.near_vectors(df.where("false")).collect() == []
+
+
+def test_repeated_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1)] * 3 + [(2, [1.0, 0.1], 1)] * 2
+    out = embeddings.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, out)) == [(1, 4, 1, True)] * 3 + [(2, 4, 1, False)] * 2
+
+
+def test_a_large_group_of_near_vectors(spark, monkeypatch):
+    """More vectors in a bucket than a block takes."""
+    random = np.random.default_rng(4)
+    centre = random.normal(size=16)
+    rows = [(k, (centre + 0.14 * random.normal(size=16)).astype(np.float32).tolist(), 1) for k in range(300)]
+    monkeypatch.setattr(embeddings, "BLOCK", 32)
+    got = sorted(map(tuple, embeddings.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()))
+    want = sorted(vectors_by_hand(rows))
+    assert sum(r[1] for r in want) > 1000
+    found = sum(r[1] for r in got) / sum(r[1] for r in want)
+    assert 0.999 < found <= 1 and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))

@@ -3,6 +3,9 @@
 The distinct chunks of a slice of texts are encoded once: the symbols of all their words lie in
 one flat array, and each round looks the neighbouring pairs up by binary search over the sorted
 pair keys of the vocabulary, then merges the pair of lowest rank in every word at once.
+
+What is a letter or a number follows the Unicode version of the installed ``regex``; code points
+that the tokenizers library knows no category of yet may be split otherwise than there.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,10 +30,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the shared folder, which goes when the driver ends."""
+    context = prepare(spark).sparkContext
+    name = f"{context.getCheckpointDir()}/{purpose}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: later steps survive lost executors."""
-    prepare(df.sparkSession)
-    return df.checkpoint()
+    """``df`` computed once, written to the shared folder and read again.
+
+    Later steps survive lost executors. (A checkpoint would do so too, but carries the constraints
+    of its plan along, which grow without bound in loops of joins.)
+    """
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
