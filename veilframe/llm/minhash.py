@@ -10,7 +10,6 @@ similarity of whole texts. Exact copies are one node throughout.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -175,16 +174,13 @@ def signatures(df: DataFrame, idf) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, k1 long, k2 long, drawn binary, bands array<long>")
 
 
-def candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame | None, best: int | None) -> DataFrame:
+def candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
     """Pairs (a < b) that share a bucket, are in different classes and agree in enough samples.
 
     ``best`` asks for the most alike of each node alone, per block; None for all pairs. Large buckets
     are compared block by block.
     """
-    if classes is None:
-        of = members.withColumn("class", F.col("node"))
-    else:
-        of = members.join(classes.withColumnRenamed("component", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    of = members.join(classes, "node")
     sizes = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
     open_ = sizes.where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = of.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -221,6 +217,15 @@ def candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame | None,
     return together.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``classes`` (node, class) after the links (a, b) have joined some of them."""
+    left = classes.select(F.col("node").alias("a"), F.col("class").alias("class_a"))
+    right = classes.select(F.col("node").alias("b"), F.col("class").alias("class_b"))
+    between = links.join(left, "a").join(right, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+    moved = components(between).withColumnRenamed("node", "class")
+    return cut(classes.join(moved, "class", "left").select("node", F.coalesce("component", "class").alias("class")))
+
+
 def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """The pairs whose texts have a weighted Jaccard similarity of ``threshold`` or more, with it."""
 
@@ -271,19 +276,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hubs = members.join(mass, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("mass")).alias("mass"), "node"))["node"].alias("hub"))
     members = members.select("node", "bucket")
     pairs = members.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    wanted = members.select("node").distinct()
-    texts = docs.withColumnRenamed("id", "node").join(wanted, "node")
+    classes = cut(members.select("node").distinct().withColumn("class", F.col("node")))
+    texts = docs.withColumnRenamed("id", "node").join(classes.select("node"), "node")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")) if _repeats(docs) else texts)
-    found = [cut(verify(pairs, texts, idf, threshold))]
+    classes = merged(classes, verify(pairs, texts, idf, threshold))
     for best in [2] * rounds + [None]:
-        classes = components(reduce(DataFrame.unionByName, found).select("a", "b"))
         more = cut(candidates(members, nodes, classes, best))
         if more.isEmpty():
             break
-        found.append(cut(verify(more, texts, idf, threshold)))
-    else:
-        classes = components(reduce(DataFrame.unionByName, found).select("a", "b"))
-    of_node = nodes.select("k1", "k2", "node").join(classes, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("class"))
+        classes = merged(classes, verify(more, texts, idf, threshold))
+    of_node = nodes.select("k1", "k2", "node").join(classes, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("class"))
     of_id = signed.select("id", "k1", "k2").join(of_node, ["k1", "k2"]).groupBy("id").agg(F.min("class").alias("class"))
     ids = df.select(df[id_col].alias("id"))
     out = ids.join(of_id.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left")
