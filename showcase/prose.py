@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Recognizer, find_pii, redact_text, rows_with_pii
-from veilframe.functions.prose import DEFAULT_RECOGNIZERS
+from veilframe.functions.prose import DEFAULT_RECOGNIZERS, EXTENDED_RECOGNIZERS
 from veilframe.operators.gazetteer import redact_names
 from veilframe.operators.reports import findings_by
 
@@ -115,6 +115,44 @@ WHERE {_LUHN}
 """
 
 
+# The same patterns in RE2, which cannot look behind as the e-mail pattern does.
+_MORE = [(r.entity, duck.EMAIL if r.entity == "EMAIL_ADDRESS" else r.pattern.replace("'", "''")) for r in EXTENDED_RECOGNIZERS]
+_MORE_ENTITY = "CASE " + " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{e}'" for e, p in _MORE) + " END"
+# Letters count from 10; the first four characters go last; 97 leaves a rest of 1.
+_IBAN = """list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(
+  concat(substr(replace(value, ' ', ''), 5), left(value, 4)), ''),
+  lambda c: CASE WHEN c >= 'A' THEN (ascii(c) - 55)::varchar ELSE c END), ''), ''), lambda c: c::int),
+  lambda rest, c: (rest * 10 + c) % 97) = 1"""
+
+
+def _find_more(source, key, column):
+    def run(spark, sf_dir):
+        more = "concat_ws(' ', {0}, concat('GB82 WEST 1234 5698 7654 ', {1} % 100), concat('2001:db8::', {1} % 10), concat('9', lpad(cast({1} % 100 AS string), 2, '0'), '-70-1234'), concat('C0', lpad(cast({1} % 1000 AS string), 7, '0')))"
+        given = table(spark, sf_dir, source).withColumn(column, F.expr(more.format(column, key)))
+        return find_pii(given, column, [key], EXTENDED_RECOGNIZERS)
+
+    return run
+
+
+def _find_more_sql(source, key, column):
+    given = (
+        f"concat_ws(' ', {column}, concat('GB82 WEST 1234 5698 7654 ', {key} % 100), concat('2001:db8::', {key} % 10), "
+        f"concat('9', lpad(({key} % 100)::varchar, 2, '0'), '-70-1234'), concat('C0', lpad(({key} % 1000)::varchar, 7, '0')))"
+    )
+    pattern = "|".join(f"(?:{p})" for _, p in _MORE)
+    scores = " ".join(f"WHEN '{r.entity}' THEN {r.score}::double" for r in EXTENDED_RECOGNIZERS)
+    return f"""
+    WITH hits AS (SELECT {key}, unnest(regexp_extract_all({given}, '{pattern}')) AS value FROM {source}),
+    judged AS (SELECT *, {_MORE_ENTITY} AS entity_type, regexp_replace(value, '[^0-9]', '', 'g') AS d FROM hits)
+    SELECT {key}, entity_type, value, CASE entity_type {scores} END AS score FROM judged
+    WHERE CASE entity_type WHEN 'CREDIT_CARD' THEN {_LUHN} WHEN 'IBAN_CODE' THEN {_IBAN} ELSE true END"""
+
+
+for _source, _key, _column in (("documents", "doc_id", "text"), ("pages", "page_id", "url")):
+    QUERIES[f"find_more_in_{_source}"] = _find_more(_source, _key, _column)
+    ORACLES[f"find_more_in_{_source}"] = _find_more_sql(_source, _key, _column)
+
+
 def pii_prefilter(spark, sf_dir):
     return rows_with_pii(table(spark, sf_dir, "documents"), "text").select("doc_id", "source")
 

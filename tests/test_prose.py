@@ -86,6 +86,21 @@ def test_checksum(spark):
     assert [r["start"] for r in find_pii(df, "t", recognizers=strict, positions=True).collect()] == [5]
 
 
+MORE = [
+    ("DE89 3704 0044 0532 0130 00", "IBAN_CODE"), ("GB82WEST12345698765432", "IBAN_CODE"), ("GB83WEST12345698765432", None),
+    ("2001:db8:0:0:0:ff00:42:8329", "IPV6_ADDRESS"), ("2001:db8::8a2e:370", "IPV6_ADDRESS"), ("12:30", None),
+    ("https://example.org/a?b=c", "URL"), ("912-70-1234", "US_ITIN"), ("123-45-6789", "US_SSN"), ("C01234567", "US_PASSPORT"),
+    ("D1234567", "US_DRIVER_LICENSE"), ("+44 20 7946 0958", "PHONE_NUMBER"), ("+1 (521) 555-6210", "PHONE_NUMBER"),
+    ("5551234567", "PHONE_NUMBER"), ("378282246310005", "CREDIT_CARD"), ("378282246310006", None), ("10.0.0.1", "IP_ADDRESS"),
+]
+
+
+def test_more_recognizers(spark):
+    df = spark.createDataFrame([(k, f"x {t} y") for k, (t, _) in enumerate(MORE)], "id int, t string")
+    found = {r["id"]: (r["value"], r["entity_type"]) for r in find_pii(df, "t", ["id"], prose.EXTENDED_RECOGNIZERS).collect()}
+    assert found == {k: (t, e) for k, (t, e) in enumerate(MORE) if e}
+
+
 def test_custom_recognizer(spark):
     token = Recognizer("SECRET_TOKEN", r"\b[0-9a-f]{40}\b", 0.9)
     text = "t = " + "ab" * 20 + " a@b.com"

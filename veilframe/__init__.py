@@ -1,6 +1,6 @@
 """Discovery and masking of personal data in Spark tables, query results and streams."""
 
-from .functions.prose import DEFAULT_RECOGNIZERS, Recognizer, contains_pii, redact_text
+from .functions.prose import DEFAULT_RECOGNIZERS, EXTENDED_RECOGNIZERS, Recognizer, contains_pii, redact_text
 from .functions.masks import mask, mask_by_entity
 from .functions.jsontext import mask_json_text
 from .functions.names import Classification
@@ -20,6 +20,7 @@ from .streaming.redaction import redact_stream, write_stream
 __all__ = [
     "Classification",
     "DEFAULT_RECOGNIZERS",
+    "EXTENDED_RECOGNIZERS",
     "MaskedSession",
     "Policy",
     "QueryError",
