@@ -309,3 +309,11 @@ def test_nested_fields_of_files_keep_their_lineage(spark, tmp_path):
     assert "ReadSchema: struct<prof:struct<inner:struct<phone:string>>>" in plan
     whole = s.sql("SELECT prof FROM t").first()[0]
     assert whole["email"] == "a***@b***.com" and whole["inner"]["tier"] == "g***"
+
+
+def test_rows_of_a_write_are_counted(spark, people, tmp_path):
+    s = session(spark, people, Policy(read_only=False))
+    spark.sql("DROP TABLE IF EXISTS written")
+    assert s.query(f"CREATE TABLE written (id INT) USING parquet LOCATION '{tmp_path}/w'") == "Query executed successfully."
+    assert s.query("INSERT INTO written SELECT id FROM users WHERE id > 1") == "Rows affected: 2"
+    spark.sql("DROP TABLE written")

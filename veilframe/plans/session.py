@@ -39,6 +39,15 @@ def _errors_without_values() -> Iterator[None]:
         raise QueryError(named or type(error).__name__) from None
 
 
+def _rows_written(result: DataFrame) -> int | None:
+    """The rows that a statement wrote when it ran, if its plan counts them."""
+    plan = result._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() != "CommandResultExec":
+        return None
+    counts = plan.commandPhysicalPlan().metrics()
+    return counts.apply("numOutputRows").value() if counts.contains("numOutputRows") else None
+
+
 class MaskedSession:
     """SQL over registered tables, with every result masked by policy.
 
@@ -144,7 +153,8 @@ class MaskedSession:
         """The masked result as text, at most ``max_rows`` rows of it; ``form`` as in ``render``."""
         result = self.sql(sql, params, reveal_columns, reveal_types)
         if not result.columns:
-            return "Query executed successfully."
+            rows = _rows_written(result)
+            return V.EXECUTED if rows is None else V.ROWS_AFFECTED.format(rows=rows)
         with _errors_without_values():
             return render(result, self.policy.max_rows, max_cell_chars, form)
 
