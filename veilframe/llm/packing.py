@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .bpe import encode, load
 from .common import cut, prepare, slices
 
-#: Buckets that the documents of one length are ranked in before the ranks are joined.
-RANK_BUCKETS = 64
+#: The documents of one length are ranked in buckets, whose ranks are then joined: one for so many
+#: pieces, within bounds, so that the table of their counts stays small enough to broadcast.
+RANK_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 64, 8192
 
 
 def cuts(n: int, size: int, quantum: int) -> list[int]:
@@ -142,19 +143,20 @@ def pieces_of(df: DataFrame, vocabulary_path: str, id_col: str, text_col: str, s
     return given.mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """``pieces`` with ``rank``: 0, 1, ... among those of one length.
+def ranked(pieces: DataFrame, total: int) -> DataFrame:
+    """``pieces``, ``total`` of them, with ``rank``: 0, 1, ... among those of one length.
 
     Pieces are ranked within buckets of their length; the counts of the buckets before are added.
     """
     order = [F.col(c).asc_nulls_first() for c in ("id", "start", "ids_crc32", "doc_tokens")]
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(RANK_BUCKETS)).cast("int"))
+    buckets = min(max(total // RANK_ROWS, LEAST_BUCKETS), MOST_BUCKETS)
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start"), F.lit(buckets)).cast("int"))
     counts = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
     numbered = bucketed.withColumn("within", within)
-    # at most (lengths x buckets) rows: size / quantum + quantum lengths
+    # at most (lengths x buckets) rows: size / quantum + quantum lengths, 8192 buckets
     return numbered.join(F.broadcast(base), ["length", "bucket"]).withColumn("rank", F.col("within") - 1 + F.col("base")).drop("bucket", "within", "base")
 
 
@@ -194,4 +196,4 @@ def pack_documents(
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = pieces.schema["id"].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in names[1:])
-    return ranked(pieces).select(*names[:5], "rank").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return ranked(pieces, sum(histogram.values())).select(*names[:5], "rank").mapInArrow(run, schema).withColumnRenamed("id", id_col)
