@@ -29,7 +29,7 @@ WORD_BUCKETS, SLICE = 1 << 18, 1 << 12
 #: deviations below a similarity of 0.8.
 LEAST_AGREEMENT = 0.62
 #: Members of a bucket that are compared in one block.
-BLOCK = 1024
+BLOCK = 512
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡·"
 _RANDOM_BITS = 16
 
@@ -174,11 +174,20 @@ def signatures(df: DataFrame, idf) -> DataFrame:
     return df.select("id", "text").mapInArrow(run, "id long, k1 long, k2 long, drawn binary, bands array<long>")
 
 
-def candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a < b) that share a bucket, are in different classes and agree in enough samples.
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """The weighted Jaccard similarity of two sets of shingles (ascending) with weights."""
+    _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    both = float(np.minimum(a[1][x], b[1][y]).sum())
+    return both / max(float(a[1].sum()) + float(b[1].sum()) - both, 1e-30)
 
-    ``best`` asks for the most alike of each node alone, per block; None for all pairs. Large buckets
-    are compared block by block.
+
+def links_between(members: DataFrame, nodes: DataFrame, texts: DataFrame, classes: DataFrame, idf, threshold: float) -> DataFrame:
+    """Links (a, b) that join the classes which have any: found and verified bucket by bucket.
+
+    In the first bucket that two nodes of different classes share they are compared, by their samples
+    and then by their whole texts, the most alike first; once a link has joined two classes, other
+    pairs of these are passed over there. So no pair of nodes becomes a row. Large buckets are
+    compared block by block.
     """
     of = members.join(classes, "node")
     sizes = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi"))
@@ -187,34 +196,62 @@ def candidates(members: DataFrame, nodes: DataFrame, classes: DataFrame, best: i
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = rows.select("bucket", "node", "class", "block", other)
     cell = F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell")
-    dealt = dealt.select(cell, "node", "class", "block").join(nodes.select("node", "drawn"), "node")
+    held = nodes.select("node", "drawn", "bands").join(texts, "node")
+    dealt = dealt.select(cell, "bucket", "node", "class", "block").join(held, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "cell"):
-            cells, node, of, block = (table.column(c).to_numpy() for c in ("cell", "node", "class", "block"))
+            cells, bucket, node, of, block = (table.column(c).to_numpy() for c in ("cell", "bucket", "node", "class", "block"))
             drawn = np.frombuffer(b"".join(table.column("drawn").to_pylist()), np.uint32).reshape(-1, SAMPLES)
+            bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+            coded = table.column("text").combine_chunks().dictionary_encode()
+            grams, weights, many = shingles(*word_hashes(coded.dictionary), idf.value)
+            place, ends = coded.indices.to_numpy(), np.cumsum(many)
             found = []
+
+            def shingles_of(row):
+                part = slice(ends[place[row]] - many[place[row]], ends[place[row]])
+                return grams[part], weights[part]
+
             for start, stop in parts(cells):
-                two = block[start:stop].min() != block[start:stop].max()
-                for a in range(start, stop, 128):
-                    rows = np.arange(a, min(a + 128, stop))
-                    agree = np.zeros((len(rows), stop - start), np.uint8)
-                    for k in range(SAMPLES):
-                        agree += drawn[rows, k][:, None] == drawn[start:stop, k][None, :]
-                    fit = (agree >= LEAST_AGREEMENT * SAMPLES) & (of[rows][:, None] != of[start:stop][None, :])
-                    if two:
-                        fit &= block[rows][:, None] != block[start:stop][None, :]
-                    if best is not None and stop - start > best:
-                        score = np.where(fit, agree, 0)
-                        fit &= score >= np.partition(score, -best, axis=1)[:, -best][:, None]
-                    x, y = np.nonzero(fit)
-                    found.append(np.column_stack([node[rows[x]], node[start + y]]))
-            pairs = np.concatenate([*found, np.zeros((0, 2), np.int64)])
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+                pairs = _alike(drawn[start:stop], bands[start:stop], of[start:stop], block[start:stop], bucket[start])
+                join: dict[int, int] = {}
+                for x, y in (pairs + start).tolist():
+                    a, b = _root(join, of[x]), _root(join, of[y])
+                    if a != b and similarity(shingles_of(x), shingles_of(y)) >= threshold - 1e-6:
+                        join[max(a, b)] = min(a, b)
+                        found.append((node[x], node[y]))
+            pairs = np.array(found, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     together = dealt.repartition("cell").sortWithinPartitions("cell")
-    return together.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _root(join: dict[int, int], x: int) -> int:
+    while x in join:
+        x = join[x]
+    return x
+
+
+def _alike(drawn: np.ndarray, bands: np.ndarray, of: np.ndarray, block: np.ndarray, bucket: int) -> np.ndarray:
+    """Pairs of rows of different classes that agree in enough samples and share no earlier bucket, most alike first."""
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    across = block.min() != block.max()
+    pairs, scores = [], []
+    for at in range(0, len(of), 128):
+        rows = np.arange(at, min(at + 128, len(of)))
+        agree = np.zeros((len(rows), len(of)), np.uint8)
+        for k in range(SAMPLES):
+            agree += drawn[rows, k][:, None] == drawn[:, k][None, :]
+        fit = (agree >= LEAST_AGREEMENT * SAMPLES) & (of[rows][:, None] != of[None, :]) & (rows[:, None] < np.arange(len(of))[None, :])
+        if across:
+            fit &= block[rows][:, None] != block[None, :]
+        x, y = np.nonzero(fit)
+        first = ~(bands[rows[x], :band] == bands[y, :band]).any(axis=1)
+        pairs.append(np.column_stack([rows[x], y])[first])
+        scores.append(agree[x, y][first])
+    return np.concatenate(pairs)[np.argsort(-np.concatenate(scores).astype(np.int64), kind="stable")]
 
 
 def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,12 +275,9 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
                 ends = np.cumsum(many)
                 sides.append((coded.indices.to_numpy(), grams, weights, ends - many, ends))
             (ia, ga, wa, sa, ea), (ib, gb, wb, sb, eb) = sides
-            similar = np.zeros(part.num_rows)
-            for k, (i, j) in enumerate(zip(ia.tolist(), ib.tolist(), strict=True)):
-                a, b = slice(sa[i], ea[i]), slice(sb[j], eb[j])
-                _, x, y = np.intersect1d(ga[a], gb[b], assume_unique=True, return_indices=True)
-                both = float(np.minimum(wa[a][x], wb[b][y]).sum())
-                similar[k] = both / max(float(wa[a].sum()) + float(wb[b].sum()) - both, 1e-30)
+            pairs = zip(ia.tolist(), ib.tolist(), strict=True)
+            similar = [similarity((ga[sa[i] : ea[i]], wa[sa[i] : ea[i]]), (gb[sb[j] : eb[j]], wb[sb[j] : eb[j]])) for i, j in pairs]
+            similar = np.array(similar, float)
             hit = pa.array(similar >= threshold - 1e-6)
             yield pa.RecordBatch.from_arrays([part.column("a").filter(hit), part.column("b").filter(hit), pa.array(similar).filter(hit)], ["a", "b", "similarity"])
 
@@ -253,14 +287,14 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, rounds: int = 2) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """Every row's id, ``class_id`` (the smallest id of its near-duplicate class) and ``kept``.
 
     Texts are alike if their TF-IDF weighted five-word shingles have a Jaccard similarity of
     ``threshold`` or more, words being lower-cased and without punctuation at their ends; classes are
     what such links connect. First the member of each bucket that shares most buckets is compared
-    with the others, then for ``rounds`` rounds each node with what looks most alike in other classes,
-    then all pairs left between different classes: no link between classes is passed over.
+    with the others, then all pairs of different classes in the first bucket that they share: no
+    link between classes is passed over.
     Null, empty and wordless texts are each their own class. Ids are integers; rows that share an id
     share its class; a null id stays alone, with a null class, and is kept.
     """
@@ -280,11 +314,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts = docs.withColumnRenamed("id", "node").join(classes.select("node"), "node")
     texts = cut(texts.groupBy("node").agg(F.first("text").alias("text")) if _repeats(docs) else texts)
     classes = merged(classes, verify(pairs, texts, idf, threshold))
-    for best in [2] * rounds + [None]:
-        more = cut(candidates(members, nodes, classes, best))
-        if more.isEmpty():
-            break
-        classes = merged(classes, verify(more, texts, idf, threshold))
+    classes = merged(classes, cut(links_between(members, nodes, texts, classes, idf, threshold)))
     of_node = nodes.select("k1", "k2", "node").join(classes, "node", "left").select("k1", "k2", F.coalesce("class", "node").alias("class"))
     of_id = signed.select("id", "k1", "k2").join(of_node, ["k1", "k2"]).groupBy("id").agg(F.min("class").alias("class"))
     ids = df.select(df[id_col].alias("id"))
