@@ -57,3 +57,13 @@ def test_languages_with_few_texts(spark, given):
     few = spark.createDataFrame([(-1, prose(1, GREEK), "el", 1)], given.schema).unionByName(rows)
     found = kept(few)
     assert len(found) == 6 and all(r.kept for r in found.values()) and found[-1].class_distance is None
+
+
+def test_every_language_has_its_reference(spark, given):
+    """However many they are: clean texts of scripts of their own stay, and what is unlike them goes."""
+    rows = [(k * 100 + i, prose(k * 100 + i, FIFTH), f"l{k}", 1) for k in range(33) for i in range(20)]
+    thai = ["".join(map(chr, range(0x0E01 + k, 0x0E04 + k))) for k in range(20)]
+    rows += [(5_000 + i, prose(i, thai, 120), "th", 1) for i in range(20)]
+    rows.append((9_999, " ".join(f"ÀÉ{i}% #" for i in range(200)), "th", 0))
+    found = kept(spark.createDataFrame(rows, given.schema))
+    assert len(found) == 681 and all(found[x[0]].kept for x in rows[:-1]) and not found[9_999].kept

@@ -127,14 +127,14 @@ def references(measures: DataFrame, lang: Column, min_documents: int) -> DataFra
     """(``of``, ``classes``, ``common``): mean shares of each language with ``min_documents`` that pass the base rules.
 
     Every document counts alike, however long. The sums are combined before the shuffle; there is a
-    row for each of the 32 languages of most documents, but none for a null one.
+    row for every such language, but none for a null one.
     """
     sizes = {"classes": len(CLASSES) + 1, "common": len(WORDS) + 1}
     pooled = measures.where(~base_failed() & lang.isNotNull()).select(
         lang.alias("of"), *(F.transform(shares(F.col(c)), lambda v: F.round(v * UNIT).cast("long")).alias(c) for c in sizes)
     )
     totals = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    sums = pooled.groupBy("of").agg(F.count("*").alias("n"), *totals).where(F.col("n") >= min_documents).orderBy(F.desc("n"), "of").limit(32)
+    sums = pooled.groupBy("of").agg(F.count("*").alias("n"), *totals).where(F.col("n") >= min_documents)
     means = [F.array(*(F.col(f"{c}{i}") / (F.col("n") * UNIT) for i in range(n))).alias(c) for c, n in sizes.items()]
     return sums.select("of", *means)
 
@@ -181,7 +181,7 @@ def judge_quality(
     in both its character classes (texts of ``min_chars`` characters in words) and its common words
     (texts of ``min_words`` words). It is compared with the languages of ``COMMON`` and with its own by
     ``lang_col``. References are pooled over all documents of a language with ``min_documents`` that
-    pass the base rules, 32 languages at most; a language of ``COMMON`` with fewer, or with hardly any of the listed words,
+    pass the base rules; a language of ``COMMON`` with fewer, or with hardly any of the listed words,
     has the one of ``FIXED``. The common words of another language count only where they are ``telling``.
     A text whose own language has no reference is judged by the base rules alone, its distances null; one
     of null language has the languages of ``COMMON``. Null and empty texts have no words, so the base
