@@ -13,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .rules import let
 
 # Fixed values of the task: verdict, host and path of each rule; the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Hashed features: n-grams of these lengths.
 FEATURES, ORDERS = 1 << 12, (3, 4, 5)
 
-#: Labelled URLs: host and path of sites to allow and to block.
+#: Labelled URLs: host and path of sites to allow and to block: gambling, medicines, money and goods; adult; ads and
+#: tracking; spam and link farms; phishing and malware.
 ALLOW = """
 en.wikipedia.org/wiki/Physics   docs.python.org/3/library/json.html   www.nature.com/articles/s41586   arxiv.org/abs/1706
 news.example.org/en/2021/report   blog.example.com/en/2290   www.example.org/fr/3175   library.example.edu/catalog/88
@@ -29,16 +31,32 @@ wiki.example.org/en/History   history.example.edu/lectures   code.example.org/pr
 school.example.org/en/maths   science.example.com/en/biology   journal.example.org/volume/3   travel.example.com/en/guide
 gardening.example.org/plants   sports.example.com/es/results   music.example.org/en/notes   blog.theatre.example.org/en/41
 www.heron.example.com/fr/31757   thandre.example.org/en/28   onthere.example.com/es/11830   theraton.example.com/de/25824
+new-england.example.org/en/611   www.state-parks.example.com/fr/8120   open-source.example.org/en/77   m.health-care.example.com/en/402
+family-farm.example.org/cheese   train-tracks.example.com/en/90   adult-education.example.org/courses   town-hall.example.com/de/31
+long-read.example.org/es/5011   book-club.example.com/en/2044   web-design.example.org/fr/19   www.art-school.example.com/en/6
+blog.home-garden.example.com/en/118   read-aloud.example.org/en/3   bread-and-butter.example.com/fr/270   m.roadworks.example.org/en/12
+www.winter-walks.example.com/en/71   fast-trains.example.org/en/8   new-books.example.com/de/415   news-desk.example.com/en/2207
+blog.anthem.example.com/fr/204   hathaway.example.org/es/338   www.tithe.example.com/en/9120   thanet.example.org/en/44
 """
 BLOCK = """
-cheap-pills.example.com/en/25   buy-viagra.example.org/order   casino-bonus.example.com/win   free-xxx.example.org/cams
-hot-girls.example.com/dating   win-prize.example.com/claim   best-loans.example.org/apply   fake-watches.example.com/sale
-online-casino.example.org/slots   poker-bets.example.com/en/1   adult-video.example.org/xxx   sexy-chat.example.com/live
-cheap-meds.example.org/pills   free-money.example.com/now   crypto-profit.example.org/join   keygen-crack.example.com/dl
-torrent-warez.example.org/get   malware-download.example.com/exe   phishing-login.example.org/verify   spam-links.example.com/seo
-blog.cheap-pills.example.com/en/36380   m.casino-win.example.org/en/7   www.xxx-video.example.com/fr/2   replica-bags.example.org/shop
-betting-tips.example.com/odds   payday-loans.example.org/fast   diet-pills.example.com/slim   escort-girls.example.org/city
-free-bets.example.org/en/18   pharmacy-discount.example.com/rx   lottery-winner.example.org/claim   porn-tube.example.com/watch
+buy-viagra.example.org/order   casino-bonus.example.com/win   best-loans.example.org/apply   fake-watches.example.com/sale
+online-casino.example.org/slots   poker-bets.example.com/en/1   cheap-meds.example.org/en/25   free-money.example.com/now
+m.royal-casino.example.org/en/7   blog.cheap-viagra.example.com/en/36380   diet-pills.example.com/slim   sleeping-pills.example.org/fr/61
+betting-tips.example.com/odds   free-spins.example.org/en/18   sports-bets.example.com/es/907   win-prize.example.com/claim
+payday-loans.example.org/fast   crypto-profit.example.org/join   replica-bags.example.org/shop   lottery-winner.example.org/claim
+pharmacy-discount.example.com/rx   www.slots-win.example.com/de/512   free-iphone.example.com/en/71   cheap-rolex.example.org/en/9
+adult-video.example.org/xxx   hot-girls.example.com/dating   free-xxx.example.org/cams   sexy-chat.example.com/live
+www.xxx-video.example.com/fr/2   escort-girls.example.org/city   porn-tube.example.com/watch   adult-cams.example.com/en/311
+m.adult-dating.example.org/en/5   x-rated.example.com/es/44   nude-cams.example.org/fr/80   www.adult-tube.example.com/en/9412
+ads-server.example.com/banner   ad-clicks.example.org/en/6   ads-network.example.com/en/9801   click-tracker.example.com/pixel
+m.ads-exchange.example.org/fr/230   tracking-pixel.example.com/en/77   web-tracker.example.org/es/1204   banner-ads.example.com/en/33
+popup-ads.example.org/de/81   www.user-tracking.example.com/en/5120   ads-click.example.org/en/2   adtracker.example.com/fr/91
+spam-links.example.com/seo   link-farm.example.org/en/70   content-farm.example.com/en/3177   www.spam-blog.example.org/fr/12
+seo-spam.example.com/en/8   m.click-farm.example.com/es/640   spam-mail.example.org/en/4409   buy-backlinks.example.com/seo
+like-farm.example.org/en/15   www.spam-net.example.com/de/2233   link-exchange.example.org/seo   article-farm.example.com/en/905
+phishing-login.example.org/verify   secure-login.example.com/account   verify-account.example.org/en/3   bank-update.example.com/login
+mega-casino.example.com/en/88   poker-win.example.org/en/410   m.casino-club.example.com/fr/31   www.jackpot-win.example.com/en/2
+paypal-verify.example.com/en/19   malware-download.example.com/exe   keygen-crack.example.com/dl   torrent-warez.example.org/get
 """
 
 
@@ -62,14 +80,14 @@ def fits(host: Column, path: Column, rule_host: str, rule_path: str) -> Column:
 
 
 def grams(host: Column, path: Column) -> Column:
-    """The character n-grams of ``host`` and ``path``, between marks of the edges."""
-    text = F.concat(F.lit("^"), host, F.lit("|"), lower_ascii(path), F.lit("$"))
+    """The character n-grams of ``host`` and ``path``, between marks of the edges; every number of the path reads as 0."""
+    whole = F.concat(F.lit("^"), host, F.lit("|"), F.regexp_replace(lower_ascii(path), "[0-9]+", "0"), F.lit("$"))
 
-    def of_length(n):
+    def of_length(text, n):
         starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
         return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
-    return F.concat(*map(of_length, ORDERS))
+    return let(whole, lambda text: F.concat(*(of_length(text, n) for n in ORDERS)))
 
 
 def hashed(items: Column) -> Column:
