@@ -46,6 +46,7 @@ class Scanner:
         self.hex = re.compile(HEX[:-1] + "{%d,}" % HEX_CHARS)  # runs are maximal, so shorter ones may be passed over
         self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_chars)
         self.plain = re.compile(r"([A-Z]?[a-z]*|[A-Z]+|[0-9]*)([+/_=-]+([A-Z]?[a-z]*|[A-Z]+|[0-9]*))*")
+        self.between = re.compile("[+/_=-]+")
         self.uuid, self.hexadecimal = re.compile(UUID), re.compile("[0-9a-f]+|[0-9A-F]+")
         self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
         self.max_ratio = max_ratio
@@ -63,11 +64,14 @@ class Scanner:
 
     def random(self, string: str) -> bool:
         """Whether a string takes so many tokens that it must be random; digests and identifiers are not."""
-        if self.plain.fullmatch(string) or self.uuid.fullmatch(string):
+        if self.uuid.fullmatch(string):
             return False
         if len(string) in DIGESTS and self.hexadecimal.fullmatch(string):
             return False
-        return len(string) < self.max_ratio * len(self.encoding.encode_ordinary(string))
+        parts = [string]
+        if self.plain.fullmatch(string):  # names, dates and paths of short words: what joins them does not count
+            parts = [part for part in self.between.split(string) if part]
+        return sum(map(len, parts)) < self.max_ratio * sum(len(self.encoding.encode_ordinary(part)) for part in parts)
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = self.base(text)
