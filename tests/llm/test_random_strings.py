@@ -31,3 +31,16 @@ def test_strings_of_one_case(scanner, letters):
 def test_licence_keys_and_words(scanner):
     assert covered(scanner, "", "QXZJ-9283-KWVB-4471")
     assert not any(scanner.spans(word) for word in WORDS.split())
+
+
+@pytest.mark.parametrize("before", ["session_identifier=", "authorization=", "/user/settings/reset-password/"])
+def test_strings_behind_names(scanner, before):
+    r = random.Random(2)
+    found = [covered(scanner, before, "".join(r.choices(string.ascii_letters + string.digits, k=20))) for _ in range(500)]
+    assert sum(found) > 0.99 * len(found)
+
+
+def test_what_a_pattern_leaves_of_a_run(scanner):
+    secret = "Zx9kQ2vLm8RtY7wBn4Jc6Hd3"
+    assert scanner.spans(f"{secret}/{'0123456789abcdef' * 2}") == [(0, 3, 25), (25, 2, 57)]
+    assert scanner.spans(f"{'0123456789abcdef' * 2}_{secret}") == [(0, 2, 32), (32, 3, 57)]

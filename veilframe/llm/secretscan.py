@@ -28,6 +28,8 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 #: How a text is split before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: What parts of a run lie between, step by step: names and values, paths, words.
+MARKS = ("=", "=/", "=/+_-")
 
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -49,7 +51,7 @@ class Scanner:
         self.between = re.compile("[+/_=-]+")
         self.uuid, self.hexadecimal = re.compile(UUID), re.compile("[0-9a-f]+|[0-9A-F]+")
         self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
-        self.max_ratio = max_ratio
+        self.min_chars, self.max_ratio = min_chars, max_ratio
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind, end) of the fixed patterns; each kind is looked for by itself."""
@@ -75,19 +77,41 @@ class Scanner:
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = self.base(text)
-        taken = [(a, b) for a, _, b in found]
+        taken = sorted((a, b) for a, _, b in found)
+        first = 0
         for m in self.candidate.finditer(text):
-            a, b = m.span()
-            if not any(a < y and x < b for x, y in taken) and self.random(m[0]):
-                found.append((a, 3, b))
+            while first < len(taken) and taken[first][1] <= m.start():
+                first += 1
+            for a, b in self.uncovered(*m.span(), taken, first):
+                found += [(x, 3, y) for x, y in self.randoms(text, a, b)]
         return sorted(found)
 
+    def uncovered(self, start: int, end: int, taken: list[tuple[int, int]], first: int) -> Iterator[tuple[int, int]]:
+        """The stretches of a run between the spans of the fixed patterns, which are sorted; those before ``first`` end earlier."""
+        for k in range(first, len(taken)):
+            if taken[k][0] >= end:
+                break
+            yield start, taken[k][0]
+            start = max(start, taken[k][1])
+        yield start, end
+
+    def randoms(self, text: str, start: int, end: int, level: int = 0) -> Iterator[tuple[int, int]]:
+        """The stretch if it is random, else what is so of its parts: between =, then /, then the other marks."""
+        if end - start < self.min_chars:
+            return
+        string = text[start:end]
+        if self.random(string):
+            yield start, end
+        elif level < len(MARKS) and not self.uuid.fullmatch(string):
+            for part in re.finditer(f"[^{MARKS[level]}]+", string):
+                yield from self.randoms(text, start + part.start(), start + part.end(), level + 1)
+
 
 def scan_secrets(df: DataFrame, vocabulary_path: str, text_col: str = "text", min_chars: int = 16, max_ratio: float = 2.0) -> DataFrame:
     """``df`` with ``secrets``: spans (kind, start, end) in code points, by start, then kind.
 
     Kinds: assign, access and hex by pattern; random for strings of at least ``min_chars`` characters
-    with fewer than ``max_ratio`` characters a token, where no pattern has matched. A null or empty
+    with fewer than ``max_ratio`` characters a token, where no pattern has matched: whole runs, or parts of them. A null or empty
     text has no spans. A column named secrets in ``df`` is replaced; other columns are kept.
     """
     shared = prepare(df.sparkSession).sparkContext.broadcast({"ranks": ranks(vocabulary_path)})
