@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, linededup, minhash, packing, quality, rules, secretscan, urlfilter
+from . import bpe, embeddings, langid, linededup, minhash, packing, personal, quality, rules, secretscan, urlfilter, variants, whitening
 from .common import prepare
 
 
@@ -80,6 +80,32 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify_languages(table(spark, folder, "documents"))
 
 
+def op11_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document: how much personal data of each fixed pattern, a digest of its places, and all places."""
+    found = personal.find_personal(table(spark, folder, "documents").select("doc_id", "text"), carry=("doc_id",))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(kind):
+        return F.filter("personal", lambda s: s["kind"] == kind)
+
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in personal.BASE]
+    base = F.filter("personal", lambda s: s["kind"].isin(*personal.BASE))
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("personal")).alias("spans"))
+
+
+def op12_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Per word: its frequent spelling, the root that spellings lead to, and how many words are one letter away."""
+    return variants.group_variants(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Per vector and component: the vector whitened, and how well the whole is."""
+    white = whitening.whiten(table(spark, folder, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embeddings": op2_embeddings,
@@ -91,6 +117,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_bpe": op9_bpe,
     "op10_language": op10_language,
+    "op11_personal": op11_personal,
+    "op12_variants": op12_variants,
+    "op13_whitening": op13_whitening,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
