@@ -200,3 +200,34 @@ def test_own_recognizers_work_inside_json(spark):
     df = spark.createDataFrame([(("see B-12",),)], "v struct<x:string>")
     how = NestedStyle(recognizers=own)
     assert df.select(mask_nested(F.col("v"), df.schema["v"].dataType, how).alias("v")).first()[0]["x"] == "see [BADGE]"
+
+
+def nested(depth, leaf):
+    for level in range(depth):
+        leaf = [leaf] if level % 2 else {"child": leaf}
+    return leaf
+
+
+@pytest.mark.parametrize(
+    "secret",
+    [nested(40, {"d": 1}), list(range(10_000)), {f"k{i}": {"v": [i]} for i in range(600)}, {}, [], 5, -1.5e3, True, [[], {}], [{"otp_secret": [1]}]],
+    ids=lambda v: str(v)[:12],
+)
+def test_what_stands_behind_a_secret_key_is_hidden_alone(spark, secret):
+    """However deep or large it is, and however the key is spelled; the rest of the document stays."""
+    for around in (lambda v: {"id": 7, "note": "keep me", "otp_secret": v, "z": [1, {"a": "b"}]}, lambda v: [[{"x": [1], "otp_secret": v}], {"y": "]}"}], lambda v: nested(40, {"otp_secret": v, "after": 1.5})):
+        text = json.dumps(around(secret))
+        for spelled in (text, text.replace('"otp_secret"', '"otp\\u005fsecret"'), json.dumps(around(secret), indent=1)):
+            assert json.loads(masked(spark, spelled)) == around("[REDACTED]"), spelled[:80]
+            assert json.loads(masked(spark, spelled, secrets_only=True)) == around("[REDACTED]")
+
+
+def test_many_secrets_in_one_document(spark):
+    value = [{"otp_secret": {"a": [i, "]"]}, "email": "john@example.com", "k": {"unlock_token": i, "n": i}} for i in range(500)]
+    want = [{"otp_secret": "[REDACTED]", "email": "j***@e***.com", "k": {"unlock_token": "[REDACTED]", "n": i}} for i in range(500)]
+    assert tree(spark, value) == want
+
+
+def test_nothing_behind_a_secret_key_stays_so(spark):
+    assert masked(spark, '{"otp_secret": null, "n" : 1 , "unlock_token" :[ 1 ] }') == '{"otp_secret": null, "n" : 1 , "unlock_token" :"[REDACTED]" }'
+    assert json.loads(masked(spark, '{"unlock_token": NaN, "otp_secret": -Infinity}')) == {"unlock_token": "[REDACTED]", "otp_secret": "[REDACTED]"}

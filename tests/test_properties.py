@@ -105,11 +105,16 @@ def some_json(rng, depth=0):
     return {rng.choice(KEYS): some_json(rng, depth + 1) for _ in range(rng.randrange(5))}
 
 
+def is_secret(key):
+    return key_entity(key) == "SECRET"
+
+
 def strings_without_key(value, key=None):
-    """Every string leaf that is masked by content, in document order."""
+    """Every string leaf that is masked by content, in document order; nothing behind a secret key is."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from strings_without_key(v, k if isinstance(v, str) else None)
+            if not is_secret(k):
+                yield from strings_without_key(v, k if isinstance(v, str) else None)
     elif isinstance(value, list):
         for v in value:
             yield from strings_without_key(v)
@@ -119,7 +124,10 @@ def strings_without_key(value, key=None):
 
 def walked(value, prose, key=None):
     if isinstance(value, dict):
-        return {k: walked(v, prose, k if isinstance(v, str) else None) for k, v in value.items()}
+        return {
+            k: V.REDACTED if is_secret(k) and v is not None and not isinstance(v, str) else walked(v, prose, k if isinstance(v, str) else None)
+            for k, v in value.items()
+        }
     if isinstance(value, list):
         return [walked(v, prose) for v in value]
     if not isinstance(value, str):

@@ -8,7 +8,7 @@ depth at which masking stops.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,34 +38,77 @@ _TOKEN = _token(_STRING)
 _TOKEN_WITH_SCALARS = _token(f"{_STRING}|{_SCALAR}")
 
 
-# A secret key and its colon. Containers are taken up to some depth and size; what is larger
-# still is not shown at all, so nothing is missed.
-_SECRET_NAMES = next(pattern for entity, pattern in V.NAME_PATTERNS if entity == V.SECRET)
-_SECRET_KEY = rf'(?iU)("[^"\\]*?(?:{_SECRET_NAMES})[^"\\]*+"\s*+:\s*+)'
+# One string, with colon and string value if it is a key, or one bracket; then what follows it.
+_STEP = rf'(?s)(?:{_STRING}(?:\s*+:\s*+(?:{_STRING})?+)?+|[\[\]{{}}])[^"\[\]{{}}]*+'
+_KEY_OF_OTHER = rf'(?s)\A{_STRING}\s*+:\s*+(?!")'
+_ANY_SCALAR = rf"{_SCALAR}|NaN|-?Infinity"
+_SCAN = "struct<at:int,depth:int,hidden:int,waiting:boolean,first:int,spans:array<struct<first:int,last:int>>>"
 
 
-def _container(depth: int) -> str:
-    inside = rf'[^\[\]{{}}"]++|{_STRING}' + (f"|{_container(depth - 1)}" if depth else "")
-    return rf"[\[{{](?:{inside}){{0,100}}+[\]}}]"
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it reads it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _without_secret_values(text: Column) -> Column:
-    """A JSON text with numbers, arrays and objects behind secret keys replaced."""
-    hidden = F.regexp_replace(text, rf"{_SECRET_KEY}(?:{_SCALAR}|{_container(2)})", f'$1"{V.REDACTED}"')
-    # An escaped key is decoded first, which the pattern above cannot. Every string is read to its
-    # end, whether a key or not, so that none is read twice.
-    strings = rf"(?s)({_STRING})((?:\s*+:\s*+(?![\s\"]|null))?+)"
-    keys = F.zip_with(
-        F.regexp_extract_all(text, F.lit(strings), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(strings), F.lit(2)),
-        lambda key, colon: F.when((colon != "") & F.contains(key, F.lit("\\")), key),
-    )
-    escaped = F.filter(keys, lambda k: k.isNotNull())
-    missed = F.exists(escaped, lambda k: entity_of_key(_unescape(k)) == V.SECRET)
-    left = hidden.rlike(rf"{_SECRET_KEY}[\[{{]") | (F.contains(text, F.lit("\\")) & F.coalesce(missed, F.lit(False)))
-    whole = F.when(left, F.lit(f'"{V.REDACTED}"')).otherwise(hidden)
-    suspect = text.rlike(f"(?iU){_SECRET_NAMES}") | F.contains(text, F.lit("\\"))
-    return F.when(suspect, F.when(is_json(text), whole).otherwise(text)).otherwise(text)
+def _hide_secrets(text: Column) -> Column:
+    """A JSON text with the numbers, arrays and objects behind secret keys replaced, at any depth and size.
+
+    The text is read as steps, each with one bracket at most. A scan over the steps counts how many
+    brackets are open; a container behind a secret key ends where the count is back at what it was.
+    """
+
+    def kind_of(step: Column) -> Column:
+        first = F.substring(step, 1, 1)
+        other = step.rlike(_KEY_OF_OTHER) & (_entity_of(step) == V.SECRET)
+        key = F.when(step.rlike(r":\s*+\z"), F.lit("key")).otherwise(F.lit("scalar"))
+        return F.when(first.isin("[", "{"), F.lit("open")).when(first.isin("]", "}"), F.lit("close")).when(other, key)
+
+    def scan(state: Column, kind: Column) -> Column:
+        opens, closes = F.coalesce(kind == "open", F.lit(False)), F.coalesce(kind == "close", F.lit(False))
+        starts = opens & state["waiting"] & (state["hidden"] < 0)
+        ends = closes & (state["hidden"] == state["depth"] - 1)
+        span = F.struct(state["first"].alias("first"), state["at"].alias("last"))
+        return F.struct(
+            (state["at"] + 1).alias("at"),
+            (state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+            F.when(starts, state["depth"]).when(ends, F.lit(-1)).otherwise(state["hidden"]).alias("hidden"),
+            F.coalesce(kind == "key", F.lit(False)).alias("waiting"),
+            F.when(starts, state["at"]).otherwise(state["first"]).alias("first"),
+            F.when(ends, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"),
+        )
+
+    def rebuilt(steps: Column, kinds: Column, spans: Column) -> Column:
+        hide = rf'(?s)\A({_STRING}\s*+:\s*+)(?:{_ANY_SCALAR})'
+        shown = F.zip_with(
+            steps, kinds, lambda s, k: F.when(k == "scalar", F.regexp_replace(s, hide, f'$1"{V.REDACTED}"')).otherwise(s)
+        )
+
+        def joined(shown: Column) -> Column:
+            def piece(span: Column, i: Column) -> Column:
+                begin = F.when(i > 0, F.get(spans, i - 1)["last"] + 2).otherwise(1)
+                before = F.slice(shown, begin, span["first"] + 1 - begin)
+                return F.concat(F.array_join(before, ""), F.lit(f'"{V.REDACTED}"'), F.substr(F.get(steps, span["last"]), F.lit(2)))
+
+            rest = F.when(F.size(spans) > 0, F.element_at(spans, -1)["last"] + 2).otherwise(1)
+            tail = F.array_join(F.slice(shown, rest, F.size(shown)), "")
+            return F.concat(F.array_join(F.transform(spans, piece), ""), tail)
+
+        return _bind(shown, joined)
+
+    start = F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("hidden"), F.lit(False).alias("waiting"),
+        F.lit(0).alias("first"), F.array().cast("array<struct<first:int,last:int>>").alias("spans"),
+    ).cast(_SCAN)
+
+    def scanned(steps: Column) -> Column:
+        def over(kinds: Column) -> Column:
+            spans = F.aggregate(kinds, start, lambda s, k: scan(s, k).cast(_SCAN), lambda s: s["spans"])
+            return _bind(spans, lambda found: rebuilt(steps, kinds, found))
+
+        return _bind(F.transform(steps, kind_of), over)
+
+    before = F.regexp_extract(text, r'\A[^"\[\]{}]*+', 0)
+    return F.concat(before, _bind(F.regexp_extract_all(text, F.lit(_STEP), F.lit(0)), scanned))
 
 
 def is_json(text: Column) -> Column:
@@ -144,14 +187,9 @@ def mask_json_text(
     but secret keys pass.
     """
     revealed = sorted(set(reveal_types) - {V.SECRET})
-    given = text.cast("string")
-    # From here on all of it reads a text without non-string values behind secret keys.
-    return F.get(
-        F.transform(
-            F.array(_without_secret_values(given)),
-            lambda clean: _masked(clean, style, seed, revealed, recognizers, mask_scalars, secrets_only, default),
-        ),
-        F.lit(0),
+    return _bind(
+        text.cast("string"),
+        lambda given: _masked(given, style, seed, revealed, recognizers, mask_scalars, secrets_only, default),
     )
 
 
@@ -195,12 +233,20 @@ def _masked(text, style, seed, revealed, recognizers, mask_scalars, secrets_only
         literal = F.when(same, part["literal"]).otherwise(_escape(part["new"]))
         return F.concat(part["before"], literal, rest)
 
-    def group(n: int) -> Column:
-        return F.regexp_extract_all(text, F.lit(token), F.lit(n))
+    def tokens_of(text: Column) -> Column:
+        return F.struct(*[F.regexp_extract_all(text, F.lit(token), F.lit(n)).alias(f"g{n}") for n in (1, 2, 3)])
+
+    def joined(groups: Column) -> Column:
+        parts = F.transform(F.zip_with(groups["g1"], groups["g2"], read), judged)
+        return F.array_join(F.zip_with(parts, groups["g3"], rebuilt), "")
+
+    def without_hidden(groups: Column) -> Column:
+        # What stands behind a secret key and is no string is replaced first, and the tokens read again.
+        other = F.zip_with(groups["g1"], groups["g2"], lambda b, v: (b != "") & (v == "") & (_entity_of(b) == V.SECRET))
+        secret = F.exists(other, lambda o: F.coalesce(o, F.lit(False)))
+        return _bind(F.when(secret, tokens_of(_hide_secrets(text))).otherwise(groups), joined)
 
-    parts = F.transform(F.zip_with(group(1), group(2), read), judged)
-    tokens = F.array_join(F.zip_with(parts, group(3), rebuilt), "")
-    masked = F.concat(F.substring_index(text, '"', 1), tokens)
+    masked = F.concat(F.substring_index(text, '"', 1), _bind(tokens_of(text), without_hidden))
     # Text with no classified key and no telling value is left alone. Escapes hide either,
     # so a text with escapes is always read.
     suspect = text.rlike(ANY_KEY_PATTERN) | F.contains(text, F.lit("\\")) | F.lit(default is not None)
