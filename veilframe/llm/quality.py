@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, part_of, prepare, slices, sums, words_of
+from .common import mixed, part_of, prepare, slices, sums, whole_groups, words_of
 
 #: Weights of the hashed features.
 FEATURES = 1 << 18
@@ -75,10 +75,11 @@ def follow_leader(rows: list[tuple[np.ndarray, np.ndarray, float, float]], alpha
 
 
 def train(rows: DataFrame, shards: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 0.5, passes: int = 3) -> tuple[np.ndarray, float] | None:
-    """Weights and bias from (``text``, ``label``): every shard follows its own leader, and their weights are averaged.
+    """Weights and bias from (``of``, ``text``, ``label``): every shard follows its own leader, and their weights are averaged.
 
-    Labels count alike, however many rows have them. What returns to the driver is ``shards`` arrays
-    of fixed size. None where there are no rows.
+    The shard of a row and its place in it depend on its id (``of``) and text alone, so the model is the
+    same however the rows are dealt. Labels count alike, however many rows have them. What returns to
+    the driver is ``shards`` arrays of fixed size. None where there are no rows.
     """
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
@@ -86,19 +87,22 @@ def train(rows: DataFrame, shards: int = 4, alpha: float = 0.3, beta: float = 1.
     share = {label: sum(counts.values()) / (len(counts) * n) for label, n in counts.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
-        for part in slices(batches, "text"):
-            found, sizes = features(part.column("text"))
-            ends = np.cumsum(sizes)
-            for label, size, end in zip(part.column("label").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
-                k, times = np.unique(found[end - size : end], return_counts=True)
-                examples.append((k, SCALE * times / max(1, size), float(label), share[label]))
-        if examples:
+        for shard in whole_groups(batches, "shard"):
+            examples = []
+            for part in slices(shard.to_batches(), "text"):
+                found, sizes = features(part.column("text"))
+                ends = np.cumsum(sizes)
+                for label, size, end in zip(part.column("label").to_pylist(), sizes.tolist(), ends.tolist(), strict=True):
+                    k, times = np.unique(found[end - size : end], return_counts=True)
+                    examples.append((k, SCALE * times / max(1, size), float(label), share[label]))
             weights, bias = follow_leader(examples, alpha, beta, l1, l2, passes)
-            yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()]), pa.array([bias])], ["weights", "bias"])
+            columns = [shard.column("shard").combine_chunks()[:1], pa.array([weights.astype(np.float32).tobytes()]), pa.array([bias])]
+            yield pa.RecordBatch.from_arrays(columns, ["shard", "weights", "bias"])
 
-    dealt = rows.repartition(shards, F.xxhash64("text")).sortWithinPartitions(F.xxhash64(F.lit(1), "text"))
-    models = dealt.mapInArrow(run, "weights binary, bias double").collect()
+    dealt = rows.select(F.pmod(F.xxhash64("of"), F.lit(shards)).alias("shard"), F.xxhash64(F.lit(1), "of", "text").alias("place"), "text", "label")
+    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "place", "text").drop("place")
+    models = dealt.mapInArrow(run, "shard long, weights binary, bias double").collect()
+    models.sort(key=lambda m: m["shard"])
     return np.mean([np.frombuffer(m["weights"], np.float32) for m in models], axis=0), float(np.mean([m["bias"] for m in models]))
 
 
@@ -125,7 +129,7 @@ def score_quality(
     many = usable.count()
     picked = usable.where(F.pmod(F.xxhash64("of"), F.lit(1 << 20)) < min(1.0, sample_rows / max(1, many)) * (1 << 20))
     # some sample_rows pairs of numbers at any size, so they may be broadcast
-    rows = df.select(df[id_col].alias("of"), df[text_col].alias("text")).join(F.broadcast(picked), "of").select("text", "label")
+    rows = df.select(df[id_col].alias("of"), df[text_col].alias("text")).join(F.broadcast(picked), "of").select("of", "text", "label")
     shared = spark.sparkContext.broadcast(train(rows))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
