@@ -118,9 +118,16 @@ _add(
 _add(
     "redact_union",
     "SELECT email AS contact, c_custkey FROM people UNION ALL SELECT phone, c_custkey FROM people",
-    f"""SELECT {duck.email('contact')} AS contact, c_custkey
+    # no mask is right for two types
+    """SELECT '[PHONE NUMBER]' AS contact, c_custkey
       FROM (SELECT email AS contact, c_custkey FROM people UNION ALL SELECT phone, c_custkey FROM people)""",
 )
+_add(
+    "redact_union_of_one_type",
+    "SELECT email AS contact, c_custkey FROM people UNION ALL SELECT upper(email), c_custkey FROM people",
+    f"""SELECT {duck.email('contact')} AS contact, c_custkey
+      FROM (SELECT email AS contact, c_custkey FROM people UNION ALL SELECT upper(email), c_custkey FROM people)""",
+)
 
 _add(
     "redact_set_operations",
@@ -305,6 +312,50 @@ _add(
 )
 
 
+# A lateral join puts out what it computes of the row on its left.
+_add(
+    "redact_lateral",
+    """SELECT p.c_custkey, l.z, t.w, n.orders FROM people p, LATERAL (SELECT concat(p.ssn, '') AS z) l,
+      LATERAL explode(array(upper(p.email), lower(p.email))) AS t(w),
+      LATERAL (SELECT count(o.o_orderkey) AS orders FROM orders o WHERE o.o_custkey = p.c_custkey) n""",
+    f"""SELECT c_custkey, {duck.ssn('ssn')} AS z, {duck.email('w')} AS w, coalesce(n, 0) AS orders
+      FROM (SELECT c_custkey, ssn, unnest([upper(email), lower(email)]) AS w FROM people)
+      LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
+    ("orders",),
+)
+
+# A recursive table: managers by a chain of keys, with the mail address carried along.
+_add(
+    "redact_recursive",
+    """WITH RECURSIVE up(start, at, way, hops) AS (
+        SELECT c_custkey, c_custkey, email, 0 FROM people
+        UNION ALL SELECT start, at DIV 2, way, hops + 1 FROM up WHERE at > 1)
+      SELECT start, way, max(hops) AS hops FROM up GROUP BY start, way""",
+    f"""SELECT c_custkey AS start, {duck.email('email')} AS way,
+        CASE WHEN c_custkey <= 1 THEN 0 ELSE length(bin(c_custkey)) - 1 END::INTEGER AS hops FROM people""",
+)
+
+# What is made of several columns is as strict as the strictest of them, and a label if they are of several types.
+_MIXED = """SELECT c_custkey, concat(phone, email) AS a, concat(c_mktsegment, ' ', ssn) AS b, email AS c, full_name AS d FROM people
+UNION ALL SELECT c_custkey, phone, ssn, phone, ssn FROM people"""
+_add(
+    "redact_mixed_owners",
+    _MIXED,
+    f"""SELECT c_custkey, {duck.phone('a')} AS a, '[US SSN]' AS b, {duck.phone('c')} AS c, '[US SSN]' AS d FROM ({_MIXED})""",
+    policy=Policy(rules=(Rule("people", "email", "none"), Rule("people", "c_mktsegment", "FREE_TEXT"))),
+    reveal_types=["PERSON"],
+)
+
+# A computed column's own rule and name count beside what it is made of.
+_add(
+    "redact_own_rule_wins",
+    "SELECT c_nationkey, max(email) AS top, min(email) AS otp_secret, max(phone) AS line, min(ssn) AS mail FROM people GROUP BY c_nationkey",
+    """SELECT c_nationkey, '[REDACTED]' AS top, '[REDACTED]' AS otp_secret, '[PHONE NUMBER]' AS line, '[US SSN]' AS mail
+      FROM people GROUP BY c_nationkey""",
+    policy=Policy(rules=(Rule("people", "top", "SECRET"), Rule("people", "line", "PHONE_NUMBER", "full"))),
+)
+
+
 def row_cap(spark, sf_dir):
     """The cap sits above the masking projection; which rows come is left open."""
     policy = Policy(max_rows=700)

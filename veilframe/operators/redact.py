@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
 from ..functions.masks import mask
-from ..functions.names import JSON_CLASSIFICATION, Classification
+from ..functions.names import JSON_CLASSIFICATION, Classification, name_classification
 from ..functions.nested import (
     NestedStyle,
     each_element,
@@ -26,11 +26,11 @@ from ..functions.nested import (
 )
 from ..functions.prose import redact_text
 from ..plans.lineage import TAG, owner_of
-from ..policy import Policy
+from ..policy import EXCLUDED, Policy
 
 STATUS = "redaction"
 # Ways to know of a container what all in it is.
-_GIVEN = ("manual", "lineage")
+_GIVEN = ("manual", "lineage", "mixed")
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,68 @@ class ColumnPlan:
         return "UNMASKED" if self.revealed else f"MASKED: {self.info.entity_type}"
 
 
+# The stricter of two types comes first; types not listed stand between the listed ones and texts.
+_STRICTEST = (
+    V.SECRET, "US_SSN", "US_PASSPORT", "CREDIT_CARD", "FINANCIAL", "PHONE_NUMBER", "EMAIL_ADDRESS", "PERSON",
+    "DATE_TIME", "LOCATION", "IP_ADDRESS",
+)
+_MILDEST = (V.JSON_CONTAINER, V.FREE_TEXT)
+# Styles from the one that shows all to the one that shows nothing.
+_STYLE_ORDER = ("none", "partial", "pseudonymize", "full")
+
+
+def _strictness(info: Classification) -> tuple[int, str]:
+    if info.entity_type in _STRICTEST:
+        return _STRICTEST.index(info.entity_type), ""
+    if info.entity_type in _MILDEST:
+        return len(_STRICTEST) + 1 + _MILDEST.index(info.entity_type), ""
+    return len(_STRICTEST), info.entity_type
+
+
+@dataclass(frozen=True)
+class _Part:
+    """What one column that is in an output column asks for."""
+
+    info: Classification
+    style: str
+
+
+def _parts(
+    name: str, sources: Sequence[tuple[str, str]], policy: Policy, tables: Sequence[str]
+) -> tuple[list[_Part], bool]:
+    """What the sources of a computed column, its own rule and its name ask for; whether all sources are excluded.
+
+    An exclusion speaks for its own column alone: it asks for nothing, and hides no other part.
+    """
+    parts = []
+    for source in sources:
+        info, _ = policy.resolve(source[1], [source])
+        if info is not None:
+            parts.append(_Part(replace(info, source="lineage"), policy.style(*source)))
+    excluded = bool(sources) and all(policy.entry(*s) == EXCLUDED for s in sources)
+    for table in tables:
+        entry = policy.entry(table, name)
+        if isinstance(entry, Classification):
+            parts.append(_Part(entry, policy.style(table, name)))
+    named = name_classification(name)
+    if named is not None and (named.entity_type == V.SECRET or not excluded):
+        style = next((policy.style(t, name) for t in tables if (policy.table_key(t), name.lower()) in policy.styles), policy.default_style)
+        parts.append(_Part(named, style))
+    return parts, excluded
+
+
+def _joined(parts: Sequence[_Part]) -> _Part | None:
+    """The least that is as strict as every part: its strictest type and style, a label where types differ."""
+    if not parts:
+        return None
+    strictest = min(parts, key=lambda p: _strictness(p.info))
+    style = max((p.style for p in parts), key=_STYLE_ORDER.index)
+    if len({p.info.entity_type for p in parts}) > 1:
+        # No mask is right for two types: each may show what the other hides.
+        return _Part(replace(strictest.info, source="mixed", is_free_text=False, is_json=False), "full")
+    return _Part(strictest.info, style)
+
+
 def plan_columns(
     schema: T.StructType,
     policy: Policy,
@@ -61,36 +123,40 @@ def plan_columns(
 ) -> list[ColumnPlan]:
     """Decide for every column; columns are told apart by position, not by name.
 
-    A column's lineage tag names its owner. ``made_of`` gives the base columns that a
-    column without one, or with several, is made of (``column_owners``): it is what the
-    strictest of them is. Else the tables given are asked in order. Secrets are never
-    revealed.
+    A column's lineage tag names its owner, whose decision holds under any name but a secret one.
+    ``made_of`` gives the base columns that a computed column is made of (``column_owners``). It is
+    as strict as the strictest of them, of its own rule and of what its name tells, in type and in
+    style; of several types it is a label. It is shown only if all of them may be shown. Without either,
+    the tables given are asked in order. Secrets are never revealed.
     """
     shown = {name.lower() for name in reveal_columns}
     shown_types = set(reveal_types)
     plans = []
     for position, field in enumerate(schema.fields):
         tagged = owner_of(field)
-        owners = [tagged] if tagged else [(t, field.name) for t in tables]
-        info, owner = policy.resolve(field.name, owners)
         sources = sorted(made_of[position]) if made_of else []
-        if sources and sources != ([tagged] if tagged else []):
-            found = [(c, o) for o in sources for c in [policy.resolve(o[1], [o])[0]] if c is not None]
-            if found:
-                made, owner = min(found, key=lambda f: f[0].entity_type != V.SECRET)
-                info = replace(made, source="lineage")
-        excluded = owner is not None and info is None and policy.entry(*owner) is not None
-        if is_json_like(field.dataType) and not excluded:
+        computed = bool(sources) and sources != [tagged]
+        if computed:
+            parts, excluded = _parts(field.name, sources, policy, tables)
+            whole = _joined(parts)
+            info, style = (whole.info, whole.style) if whole else (None, policy.default_style)
+            types = {p.info.entity_type for p in parts}
+        else:
+            info, owner = policy.resolve(field.name, [tagged] if tagged else [(t, field.name) for t in tables])
+            excluded = owner is not None and info is None and policy.entry(*owner) is not None
+            style = policy.style(*owner) if owner else policy.default_style
+            named = name_classification(field.name)
+            if named is not None and named.entity_type == V.SECRET and not (excluded and owner[1].lower() == field.name.lower()):
+                info = named
+            types = {info.entity_type} if info else set()
+        if is_json_like(field.dataType) and not (excluded and info is None):
             if info is None or (info.source not in _GIVEN and info.entity_type != V.SECRET):
                 info = JSON_CLASSIFICATION
         if info is None:
             plans.append(ColumnPlan(position, field.name, None, "none", False))
             continue
         secret = info.entity_type == V.SECRET
-        revealed = not secret and (
-            field.name.lower() in shown or info.entity_type in shown_types
-        )
-        style = policy.style(*owner) if owner else policy.default_style
+        revealed = not secret and (field.name.lower() in shown or (types or {info.entity_type}) <= shown_types)
         plans.append(ColumnPlan(position, field.name, info, "full" if secret else style, revealed))
     return plans
 

@@ -78,6 +78,18 @@ _TELLING_NOTHING = {
     "StartsWith", "EndsWith", "Not", "And", "Or", "BoolAnd", "BoolOr",
 }
 
+# Expressions without parts that hold no value of a column.
+_EMPTY = {
+    "Literal", "CurrentDate", "CurrentTimestamp", "Now", "LocalTimestamp", "CurrentTimestampLike", "CurrentTime",
+    "CurrentTimeZone", "CurrentDatabase", "CurrentCatalog", "CurrentUser", "SparkVersion", "Rand", "Randn", "Uuid",
+    "MonotonicallyIncreasingID", "SparkPartitionID", "InputFileName", "InputFileBlockStart", "InputFileBlockLength",
+    "RowNumber", "Rank", "DenseRank", "PercentRank", "CumeDist", "NTile", "Pi", "EulerNumber", "NamedLambdaVariable",
+    "SpecifiedWindowFrame", "UnboundedPreceding$", "UnboundedFollowing$", "CurrentRow$", "UnspecifiedFrame$",
+    "VirtualColumn", "GroupingID", "MakeTimestamp",
+}
+# Nodes whose expressions make up, with what their children put out, every column they put out.
+_EXPLAINED = {"Generate", "Expand", "Project", "Aggregate", "Window"}
+
 Owners = frozenset[tuple[str, str]]
 
 
@@ -85,8 +97,10 @@ def column_owners(df: DataFrame) -> list[Owners]:
     """For each output column, the base columns whose values can be in it.
 
     They are taken from the analysed plan: through computed columns, aggregates, windows,
-    generators, scalar subqueries, common table expressions, and every side of a union. What
-    a plan node makes in a way not known here counts as made of all that the node reads.
+    generators, subqueries, lateral joins, common table expressions, recursive ones too, and every
+    side of a union. A subquery sees the columns of the query around it, as the plan names each
+    column by a number of its own. What a node or an expression makes in a way not known here counts
+    as made of all that has been read.
     """
     walk = _Walk()
     plan = df._jdf.queryExecution().analyzed()
@@ -105,11 +119,15 @@ class _Walk:
         return [self.known.get(a.exprId().id(), frozenset()) for a in _each(plan.output())]
 
     def visit(self, plan) -> None:
+        kind = plan.getClass().getSimpleName()
         children = list(_each(plan.children()))
+        if kind == "UnionLoop":
+            return self._visit_loop(plan)
         for child in children:
             self.visit(child)
-        kind = plan.getClass().getSimpleName()
         expressions = list(_each(plan.expressions()))
+        for expression in expressions:
+            self._visit_subqueries(expression)
         for expression in expressions:
             if expression.getClass().getSimpleName() == "Alias":
                 self._learn(expression, self._inside(expression))
@@ -118,28 +136,65 @@ class _Walk:
         sides = [self.of_output(c) for c in children] if kind == "Union" else []
         if kind == "CTERelationRef":
             sides = [self.shared.get(plan.cteId(), [])]
-        for i, attribute in enumerate(_each(plan.output())):
-            if sides:
-                both = frozenset().union(*(side[i] for side in sides if i < len(side)))
-                self.known[attribute.exprId().id()] = both | _tag_of(attribute)
-            elif attribute.exprId().id() not in self.known:
+        if kind == "UnionLoopRef":
+            sides = [self.shared.get(plan.loopId(), [])]
+        if sides:
+            self._learn_sides(plan, sides)
+        for attribute in _each(plan.output()):
+            if attribute.exprId().id() not in self.known:
                 made_of = frozenset().union(*map(self._inside, expressions)) if children else frozenset()
+                if children and kind not in _EXPLAINED:
+                    made_of = made_of.union(*(o for c in children for o in self.of_output(c)))
                 self._learn(attribute, made_of)
 
+    def _visit_loop(self, plan) -> None:
+        """A recursive table: each turn puts out what the turn before did, until nothing is added."""
+        anchor, recursion = plan.anchor(), plan.recursion()
+        self.visit(anchor)
+        self.shared[plan.id()] = self.of_output(anchor)
+        while True:
+            self.visit(recursion)
+            before = self.shared[plan.id()]
+            self.shared[plan.id()] = [a | b for a, b in zip(before, self.of_output(recursion), strict=True)]
+            if self.shared[plan.id()] == before:
+                break
+        self._learn_sides(plan, [self.shared[plan.id()]])
+
+    def _learn_sides(self, plan, sides: list[list[Owners]]) -> None:
+        for i, attribute in enumerate(_each(plan.output())):
+            both = frozenset().union(*(side[i] for side in sides if i < len(side)))
+            self.known[attribute.exprId().id()] = both | _tag_of(attribute)
+
+    def _visit_subqueries(self, expression) -> None:
+        """The plans inside an expression, whose columns a lateral join puts out."""
+        if _is_subquery(expression):
+            self.visit(expression.plan())
+        for child in _each(expression.children()):
+            self._visit_subqueries(child)
+
     def _learn(self, named, made_of: Owners) -> None:
         """A tag says where a column was read; without one, it is what it is made of."""
         self.known[named.exprId().id()] = _tag_of(named) or made_of
 
     def _inside(self, expression) -> Owners:
         kind = expression.getClass().getSimpleName()
-        if kind in _TELLING_NOTHING:
+        if kind in _TELLING_NOTHING or kind in _EMPTY:
             return frozenset()
         if kind == "AttributeReference":
             return self.known.get(expression.exprId().id(), frozenset()) | _tag_of(expression)
-        if kind in ("ScalarSubquery", "LateralSubquery"):
+        if kind == "OuterReference":
+            return self._inside(expression.e())
+        if _is_subquery(expression):
             self.visit(expression.plan())
             return frozenset().union(*self.of_output(expression.plan()))
-        return frozenset().union(*map(self._inside, _each(expression.children())))
+        children = list(_each(expression.children()))
+        if not children:
+            return frozenset().union(*self.known.values())
+        return frozenset().union(*map(self._inside, children))
+
+
+def _is_subquery(expression) -> bool:
+    return expression.getClass().getSimpleName() in ("ScalarSubquery", "LateralSubquery", "Exists", "ListQuery", "FunctionTableSubqueryArgumentExpression")
 
 
 def _each(items):
