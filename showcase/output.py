@@ -12,6 +12,7 @@ from veilframe import (
     table_hints,
     write_stream,
     write_with_count,
+    refused_as,
     writes_data,
 )
 from . import duck
@@ -181,3 +182,42 @@ FROM (SELECT regexp_matches(statement,
       FROM ({_LOG}))
 GROUP BY 1, 2
 """
+
+
+# Statements as a log might hold them: hidden behind comments and quotes, or only looking like writes.
+_STATEMENTS = """
+SELECT event_id, CASE event_id % 14
+  WHEN 0 THEN concat('SELECT * FROM ', event_type, ' WHERE note = ~drop table ', user_id, '~')
+  WHEN 1 THEN concat('/* delete ', user_id, ' */ SELECT `insert` FROM ', event_type)
+  WHEN 2 THEN concat('with x as (select 1) insert into ', event_type, ' select * from x')
+  WHEN 3 THEN concat('SELECT 1 FROM t', user_id, ' -- c', chr(10), '; drop table ', event_type)
+  WHEN 4 THEN concat('FROM ', event_type, ' |> WHERE id > ', user_id)
+  WHEN 5 THEN concat('SELECT java_method(~a~, ', user_id, ')')
+  WHEN 6 THEN concat('SELECT IDENTIFIER(~ref~ || ~lect~)(~a~, ', user_id, ')')
+  WHEN 7 THEN concat('SELECT 1; SELECT ', user_id)
+  WHEN 8 THEN concat('SELECT * FROM ', event_type, ' /* open ', user_id)
+  WHEN 9 THEN concat('SET x = ', user_id)
+  WHEN 10 THEN concat('SELECT updated_at, created FROM ', event_type, ' ;')
+  WHEN 11 THEN concat('SELECT `reflect`(', user_id, ')')
+  WHEN 12 THEN concat('(VALUES (', user_id, '))')
+  ELSE concat('select transform(v) using ~cat~ from ', event_type) END AS statement
+FROM events
+"""
+
+
+def gate_log(spark, sf_dir):
+    log = derived(spark, sf_dir, _STATEMENTS, "events").withColumn("statement", F.translate("statement", "~", "'"))
+    return log.select("event_id", refused_as(F.col("statement")).alias("refused"))
+
+
+QUERIES["gate_log"] = gate_log
+ORACLES["gate_log"] = rf"""
+WITH log AS (SELECT event_id, replace(statement, '~', chr(39)) AS s FROM ({_STATEMENTS})),
+bare AS (SELECT event_id, s, regexp_replace(s, '--[^\r\n]*|/\*[^*]*\*+([^/*][^*]*\*+)*/|''[^'']*''|`[^`]*`', '#', 'g') AS b FROM log)
+SELECT event_id, CASE
+  WHEN regexp_matches(b, '(?i)\b(insert|update|delete|drop|alter|truncate|create|grant|revoke|copy|merge)\b') THEN 'write'
+  WHEN regexp_matches(b, '(?i)\b(java_method|reflect)\s*\(|\btransform\b.*\busing\b|\bidentifier\s*\([^()]*\)\s*\(') OR contains(s, '`reflect`') THEN 'code'
+  WHEN regexp_matches(b, ';\s*[^\s;]') THEN 'several'
+  WHEN contains(b, '/*') THEN 'open'
+  WHEN NOT regexp_matches(b, '(?i)^[\s(#]*(select|from|with|values|table|show|describe|desc|explain)\b') THEN 'other' END AS refused
+FROM bare"""

@@ -4,7 +4,7 @@ from .functions.prose import DEFAULT_RECOGNIZERS, EXTENDED_RECOGNIZERS, Recogniz
 from .functions.masks import mask, mask_by_entity
 from .functions.jsontext import mask_json_text
 from .functions.names import Classification
-from .functions.sqltext import table_hints, writes_data
+from .functions.sqltext import refused_as, table_hints, writes_data
 from .operators.classify import classify_columns, json_columns, json_keys, scan_tables
 from .operators.findings import find_pii, rows_with_pii
 from .operators.redact import redact
@@ -48,5 +48,6 @@ __all__ = [
     "vote_columns",
     "write_stream",
     "write_with_count",
+    "refused_as",
     "writes_data",
 ]

@@ -2,20 +2,23 @@
 
 Spark runs commands as soon as they are handed over and has no read-only
 transaction, so a statement is judged before that, twice: by the plan that Spark's
-parser makes of it, and by its text. Either can refuse.
+parser makes of it, and by its text. A query is judged a third time, before any of it
+runs: by its analysed plan, in which every name has become what it stands for. There
+only what is listed here passes. Each of the three can refuse.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
+from typing import Any
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import vocabulary as V
 
 # Opening words of statements that only read.
-READ_STATEMENTS = ("SELECT", "WITH", "VALUES", "TABLE", "SHOW", "DESCRIBE", "DESC", "EXPLAIN")
+READ_STATEMENTS = ("SELECT", "FROM", "WITH", "VALUES", "TABLE", "SHOW", "DESCRIBE", "DESC", "EXPLAIN")
 
 _CODE = ("java_method", "reflect", "try_reflect")
 _FORBIDDEN = (
@@ -39,6 +42,22 @@ _CHANGING = {"Command", "ParsedStatement"}
 # The statements that these two hold are inside them, not among their children.
 _HOLDING = {"ExplainCommand": "logicalPlan", "DescribeQueryCommand": "plan"}
 
+# Nodes that an analysed query may hold: they read, and change or run nothing.
+_READING_NODES = {
+    "Project", "Filter", "Aggregate", "Join", "LateralJoin", "AsOfJoin", "Window", "Sort", "GlobalLimit", "LocalLimit",
+    "LimitAll", "Offset", "Tail", "Distinct", "Deduplicate", "Union", "UnionLoop", "UnionLoopRef", "Except", "Intersect",
+    "Subquery", "SubqueryAlias", "WithCTE", "CTERelationDef", "CTERelationRef", "Generate", "Expand", "Pivot", "Unpivot",
+    "Repartition", "RepartitionByExpression", "RebalancePartitions", "Sample", "ResolvedHint", "OneRowRelation", "Range",
+    "LocalRelation", "LogicalRelation", "LogicalRDD", "InMemoryRelation", "HiveTableRelation", "DataSourceV2Relation",
+    "DataSourceV2ScanRelation", "StreamingRelation", "StreamingRelationV2", "StreamingDataSourceV2Relation",
+    "EventTimeWatermark", "View", "SQLFunctionNode", "PipeOperator",
+}
+# Spark's own expressions live here; none elsewhere passes.
+_EXPRESSIONS = "org.apache.spark.sql.catalyst.expressions."
+_EXPRESSION_PARTS = ("", "aggregate.", "json.", "xml.", "variant.", "st.")
+# Those among them that call code by its name.
+_CALLING = {"CallMethodViaReflection", "TryReflect"}
+
 
 class ReadOnlyError(PermissionError):
     """A statement was refused because the session is read-only."""
@@ -142,7 +161,21 @@ def _parts(node, kinds: set[str]) -> Iterator:
         yield from (found.apply(i) for i in range(found.size()))
 
 
-def plan_refusal(spark: SparkSession, sql: str) -> str | None:
+def _named_by(expression, params: Mapping[str, Any]) -> str | None:
+    """The name that an identifier clause spells with literals, parameters and joins of them; None if by more."""
+    kind = expression.getClass().getSimpleName()
+    if kind == "Literal":
+        return str(expression.value())
+    if kind == "NamedParameter":
+        value = params.get(expression.name())
+        return value if isinstance(value, str) else None
+    if kind != "Concat":
+        return None
+    parts = [_named_by(part, params) for part in _each(expression.children())]
+    return None if None in parts else "".join(parts)
+
+
+def plan_refusal(spark: SparkSession, sql: str, params: Mapping[str, Any] | None = None) -> str | None:
     """Why the plan that Spark's parser makes of a statement is refused, or None.
 
     A statement that Spark cannot parse is left to Spark, which reports it.
@@ -159,6 +192,13 @@ def plan_refusal(spark: SparkSession, sql: str) -> str | None:
             todo.append(getattr(node, _HOLDING[kind])())
         if kind == "ScriptTransformation":
             return "it runs a script"
+        if kind in ("ExpressionWithUnresolvedIdentifier", "PlanWithUnresolvedIdentifier"):
+            # Spark works such a name out while it analyses, so nothing may run in it.
+            named = _named_by(node.identifierExpr(), params or {})
+            if named is None:
+                return "it names something by an expression"
+            if named.rpartition(".")[2].strip("` ").lower() in _CODE:
+                return "it runs code"
         if kind == "UnresolvedFunction":
             name = node.nameParts()
             if name.apply(name.size() - 1).lower() in _CODE:
@@ -175,6 +215,42 @@ def plan_refusal(spark: SparkSession, sql: str) -> str | None:
     return None
 
 
+def analysed_refusal(plan, allowed_functions: Iterable[str] = ()) -> str | None:
+    """Why an analysed query is refused, or None: every node and expression in it has to be a known one.
+
+    ``plan`` is the analysed plan of a query that has not run. Functions that were registered in
+    the session pass if they are named in ``allowed_functions``; what views are made of is
+    their maker's affair.
+    """
+    allowed = {name.lower() for name in allowed_functions}
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind, kinds, full = node.getClass().getSimpleName(), _kinds(node.getClass()), node.getClass().getName()
+        if "LogicalPlan" in kinds:
+            if kind not in _READING_NODES:
+                return "it is not a query"
+            if kind == "View":
+                continue
+            todo.extend(_each(node.expressions()))
+        elif "UserDefinedExpression" in kinds:
+            if node.name().rpartition(".")[2].lower() not in allowed:
+                return "it calls a function that is not allowed"
+        elif kind in _CALLING:
+            return "it runs code"
+        elif not any(full == _EXPRESSIONS + part + full.rpartition(".")[2] for part in _EXPRESSION_PARTS):
+            return "it uses an expression that is not known to read only"
+        if "PlanExpression" in kinds:
+            todo.append(node.plan())
+        # What Spark puts in place of a function is Spark's own; what it is given is not.
+        todo.extend(_each(node.parameters() if "InheritAnalysisRules" in kinds else node.children()))
+    return None
+
+
+def _each(items) -> Iterator:
+    return (items.apply(i) for i in range(items.size()))
+
+
 def _kinds(cls) -> set[str]:
     """The simple names of a class, of its parents and of what it implements."""
     found, todo = set(), [cls]
@@ -186,8 +262,22 @@ def _kinds(cls) -> set[str]:
     return found
 
 
-def require_read_only(sql: str, spark: SparkSession | None = None) -> None:
-    """Raise unless the statement only reads."""
-    why = refusal(sql) or (plan_refusal(spark, sql) if spark is not None else None)
+def require_read_only(sql: str, spark: SparkSession | None = None, params: Mapping[str, Any] | None = None) -> None:
+    """Raise unless the statement only reads, by its text and by what the parser makes of it."""
+    why = refusal(sql) or (plan_refusal(spark, sql, params) if spark is not None else None)
     if why is not None:
-        raise ReadOnlyError(f"{V.WRITES_REFUSED}: {why}. The session is read-only.")
+        raise _refused(why)
+
+
+def require_reading_plan(df: DataFrame, allowed_functions: Iterable[str] = ()) -> None:
+    """Raise unless the analysed plan of a query that has not run only reads."""
+    plan = df._jdf.queryExecution().analyzed()
+    if {"Command", "CommandResult"} & _kinds(plan.getClass()):
+        return  # the parser's plan let it pass, so it is one of the reading commands, and it has run
+    why = analysed_refusal(plan, allowed_functions)
+    if why is not None:
+        raise _refused(why)
+
+
+def _refused(why: str) -> ReadOnlyError:
+    return ReadOnlyError(f"{V.WRITES_REFUSED}: {why}. The session is read-only.")

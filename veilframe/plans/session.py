@@ -18,7 +18,7 @@ from ..policy import Policy
 from ..sources.catalog import columns_of, table_list
 from ..sources.readers import read_table
 from ..sources.writers import write_with_count
-from .gate import ReadOnlyError, require_read_only
+from .gate import ReadOnlyError, require_read_only, require_reading_plan
 from .lineage import column_owners, tag_columns
 from .results import render
 from .tuning import hide_in_plans, tune
@@ -116,9 +116,12 @@ class MaskedSession:
     def _run(self, sql: str, params: Mapping[str, Any] | None = None) -> DataFrame:
         """The unmasked result of a statement that passes the gate."""
         if self.policy.read_only:
-            require_read_only(sql, self.spark)
+            require_read_only(sql, self.spark, params)
         with _errors_without_values(), self._no_path_tables():
-            return self.spark.sql(sql, args=dict(params) if params else None)
+            result = self.spark.sql(sql, args=dict(params) if params else None)
+        if self.policy.read_only:
+            require_reading_plan(result, self.policy.allowed_functions)
+        return result
 
     def sql(
         self,

@@ -40,7 +40,8 @@ class Policy:
     ``seed`` has no default on purpose: pseudonyms made with a well-known seed can
     be reversed by guessing. Without ``auto_detect`` reports list decisions only;
     results are still masked by name, which errs on the safe side. ``allowed_schemas``
-    bounds what is reported on, not what a query may read.
+    bounds what is reported on, not what a query may read. ``allowed_functions`` names the
+    functions registered in the session that a read-only statement may call.
     """
 
     default_style: str = "partial"
@@ -49,6 +50,7 @@ class Policy:
     read_only: bool = True
     rules: tuple[Rule, ...] = ()
     allowed_schemas: tuple[str, ...] = ("public",)
+    allowed_functions: tuple[str, ...] = ()
     max_rows: int = 1000
     default_schema: str = "public"
     seed: str | None = None
@@ -150,8 +152,9 @@ class Policy:
         rules = tuple(
             r if isinstance(r, Rule) else Rule(**r) for r in known.pop("column_rules", ())
         )
-        if "allowed_schemas" in known:
-            known["allowed_schemas"] = tuple(known["allowed_schemas"])
+        for name in ("allowed_schemas", "allowed_functions"):
+            if name in known:
+                known[name] = tuple(known[name])
         return cls(rules=rules, **known)
 
 
