@@ -19,12 +19,12 @@ COMMON = {
     "es": "de la que el en y a los se del",
 }
 WORDS = sorted({w for words in COMMON.values() for w in words.split()})
-#: Character classes, as regular expressions; what is in none of them is a class of its own.
-CLASSES = {"small": r"\p{Ll}+", "capital": r"\p{Lu}+", "digit": r"\p{N}+", "space": r"[\x20\x09-\x0D]+", "symbol": r"[#*$%&|<>]+"}
+#: Character classes, as regular expressions; what is in none of them is a class of its own. Letters of scripts
+#: without capitals, and marks on letters, count with the small ones, so one reference serves all scripts.
+CLASSES = {"small": r"[\p{Ll}\p{Lo}\p{Lm}\p{M}]+", "capital": r"\p{Lu}+", "digit": r"\p{N}+", "space": r"[\x20\x09-\x0D]+", "symbol": r"[#*$%&|<>]+"}
 SPACE, SPACES = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Where a corpus has too little of a language of COMMON: shares per 10,000, of the character classes and of some
-#: words, as means over clean documents.
+#: Trusted references: shares per 10,000, of the character classes and of some words, as means over clean documents.
 FIXED = {
     "en": ((7935, 146, 12, 1662, 0, 245), "the 642 of 366 and 270 to 204 a 155 in 140 is 119 that 105 it 97 for 86 with 66"),
     "fr": ((7928, 147, 19, 1662, 0, 244), "de 619 la 378 le 253 et 206 les 162 des 144 en 131 un 106 une 79 que 77"),
@@ -123,20 +123,36 @@ def fixed(lang: str) -> tuple[list[float], list[float]]:
     return [c / 10_000 for c in classes], [*common, 1 - sum(common)]
 
 
-def references(measures: DataFrame, lang: Column, min_documents: int) -> DataFrame:
-    """(``of``, ``classes``, ``common``): mean shares of each language with ``min_documents`` that pass the base rules.
+def primary(lang: Column) -> Column:
+    """The language that a tag opens with, in small letters; null for what names none (empty, ``und``)."""
+    first = F.lower(F.regexp_extract(lang.cast("string"), r"\A\s*([A-Za-z]*)", 1))
+    return F.when(~first.isin("", "und"), first)
 
-    Every document counts alike, however long. The sums are combined before the shuffle; there is a
-    row for every such language, but none for a null one.
+
+def references(measures: DataFrame, near: dict[str, Column], weight: float) -> dict[str, tuple[list[float], list[float]]]:
+    """For each language of COMMON the mean shares of what is ``near`` its trusted reference, which counts as ``weight`` documents.
+
+    Every document counts alike, however long. The sums are combined before the shuffle, and a row
+    for each of the four languages reaches the driver.
     """
     sizes = {"classes": len(CLASSES) + 1, "common": len(WORDS) + 1}
-    pooled = measures.where(~base_failed() & lang.isNotNull()).select(
-        lang.alias("of"), *(F.transform(shares(F.col(c)), lambda v: F.round(v * UNIT).cast("long")).alias(c) for c in sizes)
+    of = F.lit(None).cast("string")
+    for lang, is_near in near.items():
+        of = F.when(is_near, F.lit(lang)).otherwise(of)
+    pooled = measures.where(~base_failed()).select(
+        of.alias("of"), *(F.transform(shares(F.col(c)), lambda v: F.round(v * UNIT).cast("long")).alias(c) for c in sizes)
     )
     totals = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    sums = pooled.groupBy("of").agg(F.count("*").alias("n"), *totals).where(F.col("n") >= min_documents)
-    means = [F.array(*(F.col(f"{c}{i}") / (F.col("n") * UNIT) for i in range(n))).alias(c) for c, n in sizes.items()]
-    return sums.select("of", *means)
+    rows = pooled.where("of IS NOT NULL").groupBy("of").agg(F.count("*").alias("n"), *totals).collect()
+    sums = {r["of"]: r for r in rows}
+    out = {}
+    for lang in COMMON:
+        n = sums[lang]["n"] if lang in sums else 0
+        out[lang] = tuple(
+            [((sums[lang][f"{c}{i}"] / UNIT if n else 0.0) + weight * share) / (n + weight) for i, share in enumerate(known)]
+            for c, known in zip(sizes, fixed(lang), strict=True)
+        )
+    return out
 
 
 def base_failed() -> Column:
@@ -158,12 +174,6 @@ def distance(counts: Column, reference: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
-def telling(common: Column, max_distance: float) -> Column:
-    """Whether the listed words have a real share in a reference: a text without any is too far from it."""
-    none = F.array(*(F.lit(float(i == len(WORDS))) for i in range(len(WORDS) + 1)))
-    return distance(none, common) > max_distance
-
-
 def judge_quality(
     df: DataFrame,
     text_col: str = "text",
@@ -173,46 +183,50 @@ def judge_quality(
     min_chars: int = 200,
     min_words: int = 100,
     carry: tuple[str, ...] = (),
-    min_documents: int = 20,
+    trusted_documents: float = 20,
 ) -> DataFrame:
     """``rest`` (the columns of ``df``, or those to ``carry``, ``lang_col`` among them) with the measures, both distances, ``base_failed`` and ``kept``.
 
-    A text is dropped if the base rules fail, or if there is no language whose reference is near enough
-    in both its character classes (texts of ``min_chars`` characters in words) and its common words
-    (texts of ``min_words`` words). It is compared with the languages of ``COMMON`` and with its own by
-    ``lang_col``. References are pooled over all documents of a language with ``min_documents`` that
-    pass the base rules; a language of ``COMMON`` with fewer, or with hardly any of the listed words,
-    has the one of ``FIXED``. The common words of another language count only where they are ``telling``.
-    A text whose own language has no reference is judged by the base rules alone, its distances null; one
-    of null language has the languages of ``COMMON``. Null and empty texts have no words, so the base
-    rules drop them.
+    A text is dropped if the base rules fail, or if there is no language of ``COMMON`` whose reference is
+    near enough in both its character classes (texts of ``min_chars`` characters in words) and its common
+    words (texts of ``min_words`` words). A reference is the mean of the shares of all documents of the
+    language that are near enough to its trusted one (``FIXED``), which counts as ``trusted_documents``: no
+    junk makes a reference, and no number of documents turns a test on or off.
+
+    A text of another language by ``lang_col`` is held against the same references in its character classes,
+    but not in its common words, since the listed ones are not its own; its ``common_distance`` is null. Of
+    a tag, only the language it opens with is read (``en-US`` is ``en``); null, empty and ``und`` count as
+    any of the four. Null and empty texts have no words, so the base rules drop them.
     """
     measures = cut(measured(df, text_col, carry))
-    lang = F.col("rest")[lang_col].cast("string")
-    pooled = cut(references(measures, lang, min_documents).withColumn("telling", telling(F.col("common"), max_common_distance)))
-    listed = {r["of"]: (r["classes"], r["common"]) for r in pooled.where(F.col("of").isin(list(COMMON)) & F.col("telling")).collect()}
-    own = pooled.where(~F.col("of").isin(list(COMMON))).select("of", F.struct("classes", "common", "telling").alias("own"))
+    lang = primary(F.col("rest")[lang_col])
 
-    def against(classes, common, real):
-        """(excess, distance of classes, of common words): the excess is over 0 where the text is too far."""
+    def against(classes, common):
+        """(excess, distance of classes, of common words, excess of classes): an excess is over 0 where the text is too far."""
         pair = F.struct(distance(F.col("classes"), classes).alias("classes"), distance(F.col("common"), common).alias("common"))
         over_classes = lambda d: F.when(F.col("word_chars") >= min_chars, d["classes"] - max_class_distance).otherwise(-1.0)
-        over_common = lambda d: F.when((F.col("n_words") >= min_words) & real, d["common"] - max_common_distance).otherwise(-1.0)
-        return let(pair, lambda d: F.struct(F.greatest(over_classes(d), over_common(d)).alias("excess"), d["classes"].alias("classes"), d["common"].alias("common")))
-
-    ways = [against(*(F.array(*map(F.lit, part)) for part in listed.get(c) or fixed(c)), F.lit(True)) for c in COMMON]
-    mine = against(F.col("own.classes"), F.col("own.common"), F.col("own.telling"))
-    nearest = (
-        F.when(F.col("own").isNotNull(), F.array_min(F.array(*ways, mine)))
-        .when(lang.isNull() | lang.isin(list(COMMON)), F.array_min(F.array(*ways)))
-    )
+        over_common = lambda d: F.when(F.col("n_words") >= min_words, d["common"] - max_common_distance).otherwise(-1.0)
+        return let(
+            pair,
+            lambda d: F.struct(
+                F.greatest(over_classes(d), over_common(d)).alias("excess"), d["classes"].alias("classes"), d["common"].alias("common"), over_classes(d).alias("apart")
+            ),
+        )
+
+    def held(reference):
+        return against(*(F.array(*map(F.lit, part)) for part in reference))
+
+    near = {c: (lang == c) & (held(fixed(c))["excess"] <= 0) for c in COMMON}
+    ways = F.array(*map(held, references(measures, near, trusted_documents).values()))
+    of_four = lang.isNull() | lang.isin(list(COMMON))
+    by_class = F.transform(ways, lambda w: F.struct(w["apart"].alias("excess"), w["classes"].alias("classes"), F.lit(None).cast("double").alias("common")))
+    by_both = F.transform(ways, lambda w: F.struct(w["excess"], w["classes"], w["common"]))
     counts = ["rest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = measures.join(F.broadcast(own), lang == F.col("of"), "left").select(*counts, nearest.alias("nearest"))
-    out = judged.select(
+    judged = measures.select(*counts, F.array_min(F.when(of_four, by_both).otherwise(by_class)).alias("nearest"))
+    return judged.select(
         *counts, base_failed().alias("base_failed"), F.col("nearest.classes").alias("class_distance"), F.col("nearest.common").alias("common_distance"),
-        (~base_failed() & ~F.coalesce(F.col("nearest.excess") > 0, F.lit(False))).alias("kept"),
+        (~base_failed() & ~(F.col("nearest.excess") > 0)).alias("kept"),
     )
-    return out
 
 
 def keep_good(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
