@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.functions import masks
+from veilframe.operators.pseudonyms import unique_pseudonyms
 
 from . import duck
-from .inputs import PEOPLE, SEED, VARIANTS, derived, table
+from .inputs import PEOPLE, SEED, VARIANTS, derived, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -226,3 +227,37 @@ SELECT doc_id, {duck.keep('text', duck.name('text'))} AS words,
   length({duck.keep('text', duck.generic('text'))}) AS generic_chars
 FROM documents
 """
+
+
+_OWNED = """SELECT o_orderkey, lpad(cast(o_orderkey AS string), 9, '0') AS ssn,
+  concat('555', lpad(cast(o_custkey AS string), 7, '0')) AS phone,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'desk@example.com' ELSE concat('u', o_custkey, '@example.com') END AS email
+FROM orders"""
+_UNIQUE = {"ssn": ("US_SSN", "000-00-", 4, ""), "phone": ("PHONE_NUMBER", "555-000-", 4, ""), "email": ("EMAIL_ADDRESS", "user_", 8, "@masked.invalid")}
+
+
+def pseudonym_unique(spark, sf_dir):
+    """One pseudonym for each value: more digits where four are too few, a third of all rows one address."""
+    owned = derived(spark, sf_dir, _OWNED, "orders")
+    return unique_pseudonyms(owned, {c: form[0] for c, form in _UNIQUE.items()}, SEED, folder=scratch(spark, "numbers"))
+
+
+def _numbered(column):
+    _, before, digits, after = _UNIQUE[column]
+    number = f"dense_rank() OVER (ORDER BY sha256(concat('{SEED}:', {column}))) - 1"
+    return f"concat('{before}', lpad(printf('%x', {number}), greatest({digits}, length(printf('%x', {number})))::int, '0'), '{after}') AS {column}"
+
+
+QUERIES["pseudonym_unique"] = pseudonym_unique
+ORACLES["pseudonym_unique"] = f"SELECT o_orderkey, {', '.join(map(_numbered, _UNIQUE))} FROM ({_OWNED})"
+
+
+def pseudonym_unique_counts(spark, sf_dir):
+    """As many different pseudonyms as values, and each pair of them once."""
+    owned = derived(spark, sf_dir, _OWNED, "orders").withColumns({f"{c}_was": F.col(c) for c in _UNIQUE})
+    new = unique_pseudonyms(owned, {c: form[0] for c, form in _UNIQUE.items()}, SEED, folder=scratch(spark, "numbers"))
+    return new.agg(*[F.count_distinct(*columns).alias(name) for c in _UNIQUE for name, columns in ((c, [c]), (f"{c}_pairs", [c, f"{c}_was"]))])
+
+
+QUERIES["pseudonym_unique_counts"] = pseudonym_unique_counts
+ORACLES["pseudonym_unique_counts"] = f"SELECT {', '.join(f'count(DISTINCT {c}) AS {c}, count(DISTINCT {c}) AS {c}_pairs' for c in _UNIQUE)} FROM ({_OWNED})"

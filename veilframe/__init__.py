@@ -7,6 +7,7 @@ from .functions.names import Classification
 from .functions.sqltext import refused_as, table_hints, writes_data
 from .operators.classify import classify_columns, json_columns, json_keys, scan_tables
 from .operators.findings import find_pii, rows_with_pii
+from .operators.pseudonyms import unique_pseudonyms
 from .operators.redact import redact
 from .operators.sampling import sample_columns, vote_columns
 from .plans.results import render, result_lines
@@ -45,6 +46,7 @@ __all__ = [
     "scan_tables",
     "table_hints",
     "tune",
+    "unique_pseudonyms",
     "vote_columns",
     "write_stream",
     "write_with_count",
