@@ -1,6 +1,7 @@
 """Listed names, whichever way the list is brought to the text."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe.operators.gazetteer import redact_names
 
@@ -54,3 +55,31 @@ def test_a_long_list_is_refused_inline(spark, monkeypatch):
     names = spark.createDataFrame([("a", "X"), ("b", "X")], "name string, entity_type string")
     with pytest.raises(ValueError, match="how='join'"):
         redact_names(spark.createDataFrame(TEXTS, "id int, t string"), "t", names)
+
+
+def test_a_list_of_many_names(spark):
+    """Filters of many bits: no listed phrase is missed, no other one replaced; texts without any are not shuffled."""
+    names = spark.range(60_000).select(
+        F.concat(F.lit("N"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("name"), F.lit("PERSON").alias("entity_type")
+    )
+    names = names.union(names.limit(500).select(F.concat("name", F.lit(" of York")), F.lit("LOCATION")))
+    listed = {r.name: r.entity_type for r in names.collect()}
+    words = [n for n in listed if " " not in n]
+    rows = [(i, f"{words[i]} met {words[i + 1]}x and N{'z' * (i % 5)} {words[-i - 1]} of York") for i in range(3000)]
+    rows += [(9000 + i, f"nothing {i}") for i in range(2000)] + [(None, None)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: r.t for r in redact_names(df, "t", names, how="join").collect()}
+
+    def replaced(text):
+        out = text
+        last = text.split(" ")[5]
+        out = out.replace(f"{last} of York", "[LOCATION]" if f"{last} of York" in listed else "[PERSON] of York")
+        return out.replace(text.split(" ")[0] + " ", "[PERSON] ", 1)
+
+    assert len(got) == len(rows)
+    assert all(got[i] == (replaced(t) if i is not None and i < 9000 else t) for i, t in rows)
+
+
+def test_a_filter_of_few_bits_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr("veilframe.operators.gazetteer.MOST_BITS", 1024)
+    test_a_list_of_many_names(spark)

@@ -26,8 +26,8 @@ from .masks import label_by_entity, pseudonym_by_entity
 class Recognizer:
     """One kind of personal data in prose.
 
-    ``lead`` is a character class every hit starts with and ``requires`` a pattern
-    every text with a hit contains; both only save work. ``check`` drops hits that
+    ``lead`` is a pattern that matches where every hit starts, such as a character class, and
+    ``requires`` one that every text with a hit contains; both only save work. ``check`` drops hits that
     fail a checksum: ``luhn`` on the digits, or ``iban`` on digits and letters.
     """
 
@@ -69,23 +69,28 @@ DEFAULT_RECOGNIZERS: tuple[Recognizer, ...] = (
     ),
 )
 
+# Where a hit of the kinds below can start, telephone numbers apart: at the start of a word that has a
+# capital, a digit or a colon early, or is the scheme of an address. Cheaper than their word boundaries.
+_WORD_START = r"(?<![0-9A-Za-z_])(?:[A-Z]{1,2}[0-9]|[0-9]|https?:|[0-9a-fA-F]{1,4}:)"
+
 # More kinds, for those who ask for them: they match more that is not personal. Of several
 # that match at a place the first counts.
 EXTENDED_RECOGNIZERS: tuple[Recognizer, ...] = (
     DEFAULT_RECOGNIZERS[0],
-    Recognizer("URL", r"\bhttps?://[^\s<>\"']+", 0.6, requires="://"),
-    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.9, check="iban", requires=r"[A-Z]{2}\d{2}"),
-    Recognizer("IPV6_ADDRESS", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}\b", 0.6, requires=":"),
-    Recognizer("US_ITIN", r"\b9\d{2}-[5-9]\d-\d{4}\b", 0.85, requires=_TWO_DIGITS),
+    Recognizer("URL", r"\bhttps?://[^\s<>\"']+", 0.6, lead=_WORD_START, requires="://"),
+    Recognizer("IBAN_CODE", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", 0.9, check="iban", lead=_WORD_START, requires=r"[A-Z]{2}[0-9]{2}"),
+    Recognizer("IPV6_ADDRESS", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b|\b(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}\b", 0.6, lead=_WORD_START, requires="[0-9a-fA-F]:[0-9a-fA-F:]"),
+    Recognizer("US_ITIN", r"\b9\d{2}-[5-9]\d-\d{4}\b", 0.85, lead=_WORD_START, requires=_TWO_DIGITS),
     DEFAULT_RECOGNIZERS[2],
-    Recognizer("US_PASSPORT", r"\b[A-Z]\d{8}\b", 0.4, requires=_TWO_DIGITS),
-    Recognizer("US_DRIVER_LICENSE", r"\b[A-Z]\d{7}\b", 0.3, requires=_TWO_DIGITS),
+    Recognizer("US_PASSPORT", r"\b[A-Z]\d{8}\b", 0.4, lead=_WORD_START, requires=_TWO_DIGITS),
+    Recognizer("US_DRIVER_LICENSE", r"\b[A-Z]\d{7}\b", 0.3, lead=_WORD_START, requires=_TWO_DIGITS),
     DEFAULT_RECOGNIZERS[4],
-    Recognizer("CREDIT_CARD", r"\b\d(?:[ \-]?\d){12,18}\b", 0.8, check="luhn", requires=_TWO_DIGITS),
+    Recognizer("CREDIT_CARD", r"\b\d(?:[ \-]?\d){12,18}\b", 0.8, check="luhn", lead=_DIGIT_LEAD, requires=_TWO_DIGITS),
     Recognizer(
         "PHONE_NUMBER",
         rf"\+\d{{1,3}}[ .\-]?(?:\(\d{{1,4}}\)[ .\-]?)?\d(?:[ .\-]?\d){{6,11}}\b|{V.PHONE_SHAPE}|{V.PHONE_PARENS_SHAPE}|\b\d{{10}}\b",
         0.5,
+        lead=r"[(+\d]",
         requires=_TWO_DIGITS,
     ),
 )
@@ -110,11 +115,19 @@ def has_findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOG
 
     The cheap tests stay apart: one pattern joining them would be read more slowly.
     """
-    found = text.rlike(_alternation(recognizers))
+    needing = [r for r in recognizers if r.requires is not None]
+    found = may_have_findings(text, needing) & text.rlike(_alternation(needing)) if needing else F.lit(False)
+    # A recogniser without a cheap test is looked for by itself, and spares the others nothing.
+    other = [r for r in recognizers if r.requires is None]
+    return found | text.rlike(_alternation(other)) if other else found
+
+
+def may_have_findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS) -> Column:
+    """The cheap tests alone: no text with a finding fails them."""
     needed = {r.requires for r in recognizers}
     if None in needed:
-        return found
-    return reduce(Column.__or__, [_contains(text, n) for n in sorted(needed)]) & found
+        return text.isNotNull()
+    return reduce(Column.__or__, [_contains(text, n) for n in sorted(needed)])
 
 
 # The value test applied to a string inside JSON before its prose is scanned.
@@ -178,11 +191,17 @@ def _hits(text: Column, recognizers: Sequence[Recognizer]) -> Column:
 
 def findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS) -> Column:
     """Array of ``(entity_type, value, score)``, one per finding, in text order."""
+    empty = F.array().cast("array<struct<entity_type:string,value:string,score:double>>")
+    return F.when(has_findings(text, recognizers), all_findings(text, recognizers)).otherwise(empty)
+
+
+def all_findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZERS) -> Column:
+    """``findings`` without a test before, for texts that have most likely some; NULL for NULL."""
     scores = F.create_map(*[F.lit(x) for r in recognizers for x in (r.entity, float(r.score))])
     hits = _hits(text, recognizers)
     if any(r.check for r in recognizers):
         hits = F.filter(hits, lambda h: _passes_check(h["value"], h["entity_type"], recognizers))
-    listed = F.transform(
+    return F.transform(
         hits,
         lambda h: F.struct(
             h["entity_type"].alias("entity_type"),
@@ -190,8 +209,6 @@ def findings(text: Column, recognizers: Sequence[Recognizer] = DEFAULT_RECOGNIZE
             F.element_at(scores, h["entity_type"]).alias("score"),
         ),
     )
-    empty = F.array().cast("array<struct<entity_type:string,value:string,score:double>>")
-    return F.when(has_findings(text, recognizers), listed).otherwise(empty)
 
 
 # Positions are summed up in runs of this many findings, then across the runs, so

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.prose import (
     DEFAULT_RECOGNIZERS,
     Recognizer,
+    all_findings,
     contains_pii,
-    findings,
     has_findings,
+    may_have_findings,
     positioned_findings,
 )
 
@@ -26,12 +27,14 @@ def find_pii(
 ) -> DataFrame:
     """One row per finding, with the ``keep`` columns of the row it was found in.
 
-    Rows without a finding are filtered before the explode; nothing is shuffled.
-    ``positions`` adds the zero-based start and end, in characters.
+    Rows that fail the cheap tests are filtered at the scan, and each other text is read once;
+    nothing is shuffled. ``positions`` adds the zero-based start and end, in characters.
     """
     text = F.col(column)
-    listed = positioned_findings(text, recognizers) if positions else findings(text, recognizers)
-    hit = df.where(has_findings(text, recognizers)).select(*keep, F.explode(listed).alias("f"))
+    if positions:
+        hit = df.where(has_findings(text, recognizers)).select(*keep, F.explode(positioned_findings(text, recognizers)).alias("f"))
+    else:
+        hit = df.where(may_have_findings(text, recognizers)).select(*keep, F.explode(all_findings(text, recognizers)).alias("f"))
     return hit.select(*keep, "f.*")
 
 

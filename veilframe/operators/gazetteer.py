@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,55 @@ def _one_type_per_name(gazetteer: DataFrame) -> DataFrame:
     """Names with their type and their number of words; what holds no letter names nothing."""
     words = F.size(F.regexp_extract_all(F.col("name"), F.lit(WORD), F.lit(0)))
     names = gazetteer.groupBy("name").agg(F.min("entity_type").alias("entity_type"))
-    return names.withColumn("words", words).where("words > 0 AND entity_type IS NOT NULL")
+    names = names.withColumn("words", words).withColumn("first", F.regexp_extract("name", WORD, 0))
+    return names.where("words > 0 AND entity_type IS NOT NULL")
+
+
+#: Bits of a filter for each name in it, and at most; beyond that more phrases pass in vain, none is lost.
+BITS_OF_NAME, MOST_BITS = 16, 1 << 27
+_PROBES = 4
+
+
+def _bits(name: Column, size: int) -> list[Column]:
+    """The places of a name in a filter of ``size`` bits, a power of two."""
+    low, high = F.xxhash64(name).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.xxhash64(name), 32)
+    return [(low + i * high).bitwiseAND(size - 1) for i in range(_PROBES)]
+
+
+def _filter(names: DataFrame, count: int) -> Callable[[Column], Column]:
+    """A test that every name of a DataFrame (``name``) passes and few other strings do: a Bloom filter.
+
+    It is built by a job and travels in the expression, as whole numbers of 64 bits; ``MOST_BITS`` bounds
+    what passes the driver.
+    """
+    size = 1024
+    while size < min(BITS_OF_NAME * count, MOST_BITS):
+        size *= 2
+    bits = names.select(F.explode(F.array(*_bits(F.col("name"), size))).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()
+    packed = np.zeros(size // 64, np.int64)
+    packed[words.column("at").to_numpy()] = words.column("word").to_numpy()
+    jvm, gateway = names.sparkSession._jvm, names.sparkSession.sparkContext._gateway
+    array = gateway.new_array(gateway.jvm.long, len(packed))
+    jvm.java.nio.ByteBuffer.wrap(packed.astype(">i8").tobytes()).asLongBuffer().get(array)
+    literal = Column(jvm.org.apache.spark.sql.functions.lit(array))
+
+    def passes(name: Column) -> Column:
+        def is_set(bit: Column) -> Column:
+            word = F.get(literal, F.shiftright(bit, 6).cast("int"))
+            return F.call_function("shiftrightunsigned", word, bit.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+        def probed(hash: Column) -> Column:
+            low, high = hash.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(hash, 32)
+            hit = is_set(low.bitwiseAND(size - 1))
+            for i in range(1, _PROBES):
+                hit = hit & is_set((low + i * high).bitwiseAND(size - 1))
+            return hit
+
+        return _let(F.xxhash64(name), probed)
+
+    return passes
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -122,8 +171,9 @@ def redact_names(
     """Replace the listed names in a text column, whole words in the spelling listed.
 
     ``how="inline"`` puts the list into the expression; more than ``INLINE_NAMES`` names are an
-    error. ``how="join"`` takes a list of any length: names are joined with the phrases of the
-    texts, and the texts with what was found in them, by a digest of the text. A name listed under
+    error. ``how="join"`` takes a list of any length: a filter over the names travels in the
+    expression, texts without a word that passes it are left where they are, and of the others the
+    phrases that pass are joined with the list, and the texts with what was found. A name listed under
     several types takes the alphabetically first; of overlapping names the leftmost, then the
     longest, is taken.
     """
@@ -143,7 +193,7 @@ def _inline(df, column, listed, style, seed) -> DataFrame:
     if not listed:
         return df
     by_size: dict[int, dict[str, list[str]]] = {}
-    for name, entity, words in listed:
+    for name, entity, words, _ in listed:
         by_size.setdefault(words, {}).setdefault(entity, []).append(name)
 
     def entity_of(phrase: Column, words: int) -> Column:
@@ -152,33 +202,47 @@ def _inline(df, column, listed, style, seed) -> DataFrame:
             chain = chain.when(phrase.isin(by_size[words][entity]), F.lit(entity))
         return chain
 
-    return df.withColumn(column, _rewritten(F.col(column), sorted(by_size), entity_of, style, seed))
+    text = F.col(column)
+    first = sorted({name_first for *_, name_first in listed})
+    # Most texts hold no word that a listed name starts with, and are left alone.
+    starts = F.exists(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda word: word.isin(first))
+    new = _rewritten(text, sorted(by_size), entity_of, style, seed)
+    return df.withColumn(column, F.when(starts, new).otherwise(text))
 
 
 def _joined(df, column, names, style, seed) -> DataFrame:
-    sizes = sorted(r["words"] for r in names.select("words").distinct().collect())
+    starts, names = names.select(F.col("first").alias("name")), names.select("name", "entity_type", "words")
+    counts = {r["words"]: r["count"] for r in names.groupBy("words").count().collect()}
+    sizes, count = sorted(counts), sum(counts.values())
     if not sizes:
         return df
-    text, digest = F.col(column), F.sha2(F.col(column), 256)
+    may_start = _filter(starts, count)
+    may_be = may_start if sizes == [1] else _filter(names, count)
+    text = F.col(column)
+    likely = F.exists(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), may_start)
+    # Both hashes of equal texts are equal, and no two texts share them by any chance that matters.
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
     def phrases(tokens: Column) -> Column:
         def of_size(words: int) -> Column:
-            return F.transform(_places(tokens, words), lambda place: _phrase(tokens, place, words))
+            starts = F.filter(_places(tokens, words), lambda place: may_start(F.get(tokens, place * 2 + 1)))
+            found = F.transform(starts, lambda place: _phrase(tokens, place, words))
+            return found if words == 1 else F.filter(found, may_be)
 
         return F.array_distinct(F.concat(*map(of_size, sizes)))
 
     # What a text holds depends on the text alone, so rows need no key; equal texts are one.
-    held = df.where(text.isNotNull()).select(
-        digest.alias("digest"), F.explode(_let(_tokens(text), phrases)).alias("name")
-    )
+    told = df.where(likely)
+    held = told.select(key.alias("key"), F.explode(_let(_tokens(text), phrases)).alias("name")).distinct()
     pair = F.struct(F.col("name"), F.col("entity_type"))
-    hits = held.join(names, "name").groupBy("digest").agg(F.map_from_entries(F.collect_set(pair)).alias("hits"))
+    hits = held.join(names, "name").groupBy("key").agg(F.map_from_entries(F.collect_set(pair)).alias("hits"))
 
     def entity_of(phrase: Column, words: int) -> Column:
         return F.try_element_at(F.col("hits"), phrase)
 
-    marked = df.select(F.struct("*").alias("row"), digest.alias("digest")).join(hits, "digest", "left")
+    marked = told.select(F.struct("*").alias("row"), key.alias("key")).join(hits, "key", "left")
     text = F.col("row")[column]
     new = F.when(F.col("hits").isNull(), text).otherwise(_rewritten(text, sizes, entity_of, style, seed))
     done = marked.select("row", new.alias("new"))
-    return done.select(*((F.col("new") if c == column else F.col("row")[c]).alias(c) for c in df.columns))
+    done = done.select(*((F.col("new") if c == column else F.col("row")[c]).alias(c) for c in df.columns))
+    return df.where(~F.coalesce(likely, F.lit(False))).unionAll(done)
