@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe import MaskedSession, Policy, Rule, write_with_count
+from veilframe import MaskedSession, Policy, Rule, redact, write_with_count
+from veilframe.operators.asof import asof_join
 from veilframe.sources.readers import policy_from_rules, read_rules
 
 from . import duck
@@ -398,3 +399,26 @@ def rules_from_files(spark, sf_dir):
 QUERIES["rules_from_files"] = rules_from_files
 ORACLES["rules_from_files"] = f"""WITH people AS ({PEOPLE})
 SELECT c_custkey, '[PERSON]' AS c_mktsegment, email, {duck.phone('phone')} AS phone FROM people"""
+
+
+# Each view of a page with the purchase before it: the last of the same customer up to that time.
+_SIDES = """SELECT event_id, ts, user_id, concat('u', user_id, '@mail.example.com') AS email,
+  concat('10.1.', user_id % 256, '.', event_id % 256) AS ip_address, event_id % 3 AS side FROM events"""
+
+
+def redact_asof_join(spark, sf_dir):
+    session = MaskedSession(spark, Policy(rules=(Rule("seen", "ip_address", "IP_ADDRESS", "full"),)))
+    session.register("seen", derived(spark, sf_dir, _SIDES, "events"))
+    views = spark.sql("SELECT event_id, ts, user_id, email FROM seen WHERE side <> 0")
+    bought = spark.sql("SELECT event_id, ts, user_id, ip_address FROM seen WHERE side = 0")
+    joined = asof_join(views, bought, ["user_id"], "ts", ["event_id", "ip_address"], 6 * 3600, order=["event_id"], prefix="before_")
+    return redact(joined.select("event_id", "user_id", "email", "before_event_id", "before_ip_address"), session.policy)
+
+
+QUERIES["redact_asof_join"] = redact_asof_join
+ORACLES["redact_asof_join"] = f"""
+WITH seen AS ({_SIDES}), views AS (SELECT * FROM seen WHERE side <> 0),
+bought AS (SELECT * FROM seen WHERE side = 0 QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)
+SELECT v.event_id, v.user_id, {duck.email('v.email')} AS email, b.event_id AS before_event_id,
+  CASE WHEN b.ip_address IS NOT NULL THEN '[IP ADDRESS]' END AS before_ip_address
+FROM views v ASOF LEFT JOIN bought b ON v.user_id = b.user_id AND v.ts >= b.ts"""

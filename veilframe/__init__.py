@@ -5,6 +5,7 @@ from .functions.masks import mask, mask_by_entity
 from .functions.jsontext import mask_json_text
 from .functions.names import Classification
 from .functions.sqltext import refused_as, table_hints, writes_data
+from .operators.asof import asof_join
 from .operators.classify import classify_columns, json_columns, json_keys, scan_tables
 from .operators.findings import find_pii, rows_with_pii
 from .operators.pseudonyms import unique_pseudonyms
@@ -28,6 +29,7 @@ __all__ = [
     "ReadOnlyError",
     "Recognizer",
     "Rule",
+    "asof_join",
     "classify_columns",
     "contains_pii",
     "find_pii",
