@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import common, embeddings, minhash
+from veilframe.llm import common, embeddings, minhash, queries
 
 
 def classes_of(n, links):
@@ -162,3 +162,27 @@ def test_a_large_group_of_near_vectors(spark, monkeypatch):
     assert sum(r[1] for r in want) > 1000
     found = sum(r[1] for r in got) / sum(r[1] for r in want)
     assert 0.999 < found <= 1 and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
+
+
+def test_twins_have_links(spark, data):
+    rows = queries.near_vectors_of_twins(spark, data).collect()
+    assert sum(r.n_links for r in rows) > 50 and not all(r.kept for r in rows)
+
+
+def test_compared_pairs_do_not_grow_with_the_rows(spark):
+    """Random vectors meet as seldom among 20,000 as among 2,000, and hardly any planted twin is missed."""
+    random = np.random.default_rng(9)
+    compared = {}
+    for many in (2_000, 20_000):
+        unit = random.normal(size=(many, 64))
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        tables, directions = embeddings.layout(many, 0.98)
+        keys = embeddings.table_keys(unit, tables, directions)
+        pairs = sum(int((n * (n - 1) // 2).sum()) for n in (np.unique(keys[:, t], return_counts=True)[1] for t in range(tables)))
+        compared[many] = pairs / many
+        near = unit + random.normal(size=unit.shape) * 0.2 / 8  # at a distance of some 0.2
+        near /= np.linalg.norm(near, axis=1, keepdims=True)
+        close = (unit * near).sum(axis=1) >= 0.98
+        met = (embeddings.table_keys(near, tables, directions) == keys).any(axis=1)
+        assert close.sum() > many / 5 and met[close].mean() >= 0.999
+    assert compared[20_000] < 2 * max(1.0, compared[2_000]) and compared[20_000] < 10

@@ -7,6 +7,7 @@ pair that shares several counts in the first of them. Exact copies are one node
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -16,32 +17,52 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, mixed, parts, prepare, whole_groups
 
-#: Tables, directions in each, and the step of a direction, for vectors of length one. At a cosine of
-#: 0.98 (a distance of 0.2) two vectors agree in a direction with probability 0.92, in a table with
-#: 0.51, and in none of the tables with 4e-8.
-TABLES, DIRECTIONS, STEP = 24, 8, 2.0
+#: The step of a direction, for vectors of length one.
+STEP = 2.0
+#: Two linked vectors share no table with this probability at most; a vector meets so many unlike ones in a table.
+MISSED, UNLIKE = 1e-6, 0.1
 #: Vectors of a bucket that are compared in one block.
 BLOCK = 1024
 
 
+def agreement(distance: float) -> float:
+    """How likely two vectors at a distance fall into one step of a random direction."""
+    if distance <= 0:
+        return 1.0
+    r = STEP / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+def layout(many: int, threshold: float) -> tuple[int, int]:
+    """The number of tables, and of directions in each, for ``many`` vectors that are compared with each other.
+
+    Directions grow with the logarithm of ``many``, so that vectors at right angles meet as seldom in a
+    large table as in a small one; the tables then follow from the directions and what may be missed.
+    """
+    linked, unlike = agreement(math.sqrt(max(0.0, 2 - 2 * threshold))), agreement(math.sqrt(2))
+    directions = max(4, math.ceil(math.log(max(2, many) / UNLIKE) / -math.log(unlike)))
+    shared = linked**directions
+    return (1 if shared >= 1 else max(1, math.ceil(math.log(MISSED) / math.log(1 - shared)))), directions
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector has a direction: not null or empty, finite numbers, not all zero."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def table_keys(unit: np.ndarray) -> np.ndarray:
+def table_keys(unit: np.ndarray, tables: int, directions: int) -> np.ndarray:
     """The bucket of each vector (rows) in each table."""
     random = np.random.default_rng([11, unit.shape[1]])
-    directions = random.normal(size=(unit.shape[1], TABLES * DIRECTIONS))
-    steps = np.floor((unit @ directions + random.random(TABLES * DIRECTIONS) * STEP) / STEP).astype(np.int64).view(np.uint64)
-    keys = np.tile(mixed(np.arange(1, TABLES + 1)), (len(unit), 1))
-    for k in range(DIRECTIONS):
-        keys = mixed(keys ^ mixed(steps[:, k::DIRECTIONS]))
+    along = random.normal(size=(unit.shape[1], tables * directions))
+    steps = np.floor((unit @ along + random.random(tables * directions) * STEP) / STEP).astype(np.int64).view(np.uint64)
+    keys = np.tile(mixed(np.arange(1, tables + 1)), (len(unit), 1))
+    for k in range(directions):
+        keys = mixed(keys ^ mixed(steps[:, k::directions]))
     return keys.view(np.int64)
 
 
-def hashed(nodes: DataFrame) -> DataFrame:
+def hashed(nodes: DataFrame, tables: int, directions: int) -> DataFrame:
     """``nodes`` (node, label, copies, vector) with ``unit``, its vector of length one, and ``keys``."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,16 +75,19 @@ def hashed(nodes: DataFrame) -> DataFrame:
                 x = x / np.abs(x).max(axis=1, keepdims=True)
                 unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                 label = mixed(mine.column("label").cast(pa.int64()).to_numpy()) ^ mixed(np.full(len(x), size))
-                keys = mixed(table_keys(unit).view(np.uint64) ^ label[:, None]).view(np.int64)
-                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * TABLES)
+                keys = mixed(table_keys(unit, tables, directions).view(np.uint64) ^ label[:, None]).view(np.int64)
+                offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * tables)
                 columns = [mine.column("node"), mine.column("copies"), pa.array([u.tobytes() for u in unit], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)))], ["node", "copies", "unit", "keys"])
 
     return nodes.mapInArrow(run, "node long, copies long, unit binary, keys array<long>")
 
 
-def linked(nodes: DataFrame, threshold: float) -> DataFrame:
-    """(``node``, ``first``, ``links``): per block, the vectors that a node links with and the least node it reaches there."""
+def linked(nodes: DataFrame, threshold: float, tables: int) -> DataFrame:
+    """(``node``, ``first``, ``links``): per block, the vectors that a node links with and the least node it reaches there.
+
+    Only keys and nodes are grouped by bucket; a vector is sent to the buckets in which it is not alone.
+    """
     members = nodes.select("node", F.explode("keys").alias("bucket")).distinct()
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
@@ -77,7 +101,7 @@ def linked(nodes: DataFrame, threshold: float) -> DataFrame:
         for table in whole_groups(batches, "cell"):
             cells, node, copies, block, bucket = (table.column(c).to_numpy() for c in ("cell", "node", "copies", "block", "bucket"))
             units, lists = table.column("unit").to_pylist(), table.column("keys").combine_chunks()
-            keys = lists.flatten().to_numpy().reshape(-1, TABLES)
+            keys = lists.flatten().to_numpy().reshape(-1, tables)
             out = []
             for start, stop in parts(cells):
                 unit = np.frombuffer(b"".join(units[start:stop])).reshape(stop - start, -1)
@@ -126,8 +150,10 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     copies = cut(copies)
     # an id with several vectors has several nodes; each gets a number of its own, and the id ties them
     numbered = copies.withColumn("rep", F.col("node")).withColumn("node", F.col("h1"))
-    nodes = cut(hashed(numbered.select("node", "label", "copies", "vector")))
-    found = cut(linked(nodes, threshold))
+    largest = copies.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    tables, directions = layout(largest, threshold)
+    nodes = cut(hashed(numbered.select("node", "label", "copies", "vector"), tables, directions))
+    found = cut(linked(nodes, threshold, tables))
     classes = components(found.select(F.col("node").alias("a"), F.col("first").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     of_node = numbered.select("h1", "h2", "node", "rep", "copies").join(links, "node", "left").join(classes, "node", "left")

@@ -27,6 +27,18 @@ def op2_embeddings(spark: SparkSession, folder: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
 
 
+_TWINS = """SELECT vec_id, label, cast(embedding AS {doubles}) AS embedding FROM embeddings
+  UNION ALL SELECT vec_id + 1000000, label, {map} FROM embeddings WHERE vec_id % 3 = 0
+  UNION ALL SELECT 2000000 + vec_id, 7, cast(embedding AS {doubles}) FROM embeddings WHERE vec_id < 50"""
+
+
+def near_vectors_of_twins(spark: SparkSession, folder: str) -> DataFrame:
+    """``op2_embeddings`` where vectors have near ones: each third with a changed twin, some once more under another label."""
+    table(spark, folder, "embeddings").createOrReplaceTempView("embeddings")
+    twins = _TWINS.format(doubles="array<double>", map="transform(embedding, (x, i) -> cast(x AS double) * 2 + 0.0625 * (vec_id % 9) * ((i + vec_id) % 5 - 2))")
+    return embeddings.near_vectors(spark.sql(twins))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Per document: how likely it is of good quality, learned from the labels of other documents."""
     return quality.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -109,6 +121,7 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_embeddings": op2_embeddings,
+    "near_vectors_of_twins": near_vectors_of_twins,
     "op3_quality": op3_quality,
     "op4_urls": op4_urls,
     "op5_near_duplicates": op5_near_duplicates,
@@ -125,19 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-ORACLES: dict[str, str] = {
-    "op1_line_dedup": f"""
-        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
-        keyed AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM lines),
-        frequent AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
-                     GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
-        marked AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last AS gone
-                   FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-        FROM marked GROUP BY doc_id""",
-    "op2_embeddings": """
+_NEAR = """
         WITH RECURSIVE fine AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
             WHERE label IS NOT NULL AND len(embedding) > 0
@@ -152,5 +153,24 @@ ORACLES: dict[str, str] = {
         least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id),
         counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
         SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
-        FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)""",
+        FROM embeddings e JOIN least USING (vec_id) LEFT JOIN counted USING (vec_id)"""
+
+_TWINS_SQL = _TWINS.format(
+    doubles="DOUBLE[]", map="list_transform(embedding, lambda x, i: x::DOUBLE * 2 + 0.0625 * (vec_id % 9) * ((i - 1 + vec_id) % 5 - 2))"
+)
+
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS place FROM split),
+        keyed AS (SELECT *, translate(trim(line, {_SPACE}), '{_UPPER}', '{_LOWER}') AS key FROM lines),
+        frequent AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 20
+                     GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id <> f.last AS gone
+                   FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+    "op2_embeddings": _NEAR,
+    "near_vectors_of_twins": _NEAR.replace("embeddings", "twins").replace("WITH RECURSIVE", f"WITH RECURSIVE twins AS ({_TWINS_SQL}),"),
 }
