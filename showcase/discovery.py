@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Rule, json_columns, sample_columns, scan_tables, vote_columns
 from veilframe.operators.classify import remember
 from veilframe.operators.reports import pii_report, rule_lines, schema_lines
 
-from veilframe.sources.catalog import table_list
+from veilframe.sources.catalog import catalog_columns, table_list
 
 from . import duck
 from .inputs import CONTACT_JSON, PEOPLE, VARIANTS, derived, table
@@ -52,14 +55,14 @@ ORACLES["sample_columns"] = _duck_samples("documents", ["text", "lang", "source"
 
 def sample_lineitem(spark, sf_dir):
     """One value in a third of the rows, millions of distinct ones, and dates."""
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"]
-    return sample_columns(table(spark, sf_dir, "lineitem"), columns, 50)
+    return sample_columns(table(spark, sf_dir, "lineitem"), limit=50)
 
 
 QUERIES["sample_wide"] = sample_lineitem
 ORACLES["sample_wide"] = _duck_samples(
     "lineitem",
-    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"],
+    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+     "l_returnflag", "l_linestatus", "l_shipdate"],
     50,
 )
 
@@ -90,12 +93,12 @@ ORACLES["vote_all_values"] = _duck_votes(
 
 
 def vote_on_pages(spark, sf_dir):
-    samples = sample_columns(table(spark, sf_dir, "pages"), ["url", "html"])
+    samples = sample_columns(table(spark, sf_dir, "pages"))
     return vote_columns(samples, share=0.01)
 
 
 QUERIES["vote_pages"] = vote_on_pages
-ORACLES["vote_pages"] = _duck_votes(_duck_samples("pages", ["url", "html"]), share=0.01)
+ORACLES["vote_pages"] = _duck_votes(_duck_samples("pages", ["page_id", "url", "html"]), share=0.01)
 
 
 def redact_found_json(spark, sf_dir):
@@ -153,13 +156,14 @@ _POLICY = Policy(
 def _tables(spark, sf_dir):
     return {
         "public.contacts": derived(spark, sf_dir, _SILENT),
-        "public.texts": table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars"),
+        "public.texts": table(spark, sf_dir, "documents"),
         "web.pages": table(spark, sf_dir, "pages"),
     }
 
 
-def scan(spark, sf_dir):
-    return scan_tables(spark, _tables(spark, sf_dir), _POLICY)
+def scan(spark, sf_dir, only=None):
+    """All tables, or the one that a report is about."""
+    return scan_tables(spark, {k: df for k, df in _tables(spark, sf_dir).items() if only in (None, k)}, _POLICY)
 
 
 _DECLARED = [
@@ -176,7 +180,8 @@ _DECLARED = [
     ("public", "texts", "doc_id", 1, "bigint", None, None, None),
     ("public", "texts", "text", 2, "string", None, None, None),
     ("public", "texts", "lang", 3, "string", "LOCATION", 1.0, "manual"),
-    ("public", "texts", "n_chars", 4, "bigint", None, None, None),
+    ("public", "texts", "source", 4, "string", None, None, None),
+    ("public", "texts", "n_chars", 5, "bigint", None, None, None),
     ("web", "pages", "page_id", 1, "bigint", None, None, None),
     ("web", "pages", "url", 2, "string", None, None, None),
     ("web", "pages", "html", 3, "string", None, None, None),
@@ -195,7 +200,7 @@ WITH declared(table_schema, table_name, column_name, position, data_type, named,
 voted AS (
   SELECT * FROM ({_duck_votes(
       f"SELECT 'public.contacts' AS table_key, * FROM ({_duck_samples(f'({_SILENT})', ['k', 'a1', 'a2', 'a3', 'a4'])}) "
-      f"UNION ALL SELECT 'public.texts', * FROM ({_duck_samples('documents', ['doc_id', 'text', 'n_chars'])}) "
+      f"UNION ALL SELECT 'public.texts', * FROM ({_duck_samples('documents', ['doc_id', 'text', 'source', 'n_chars'])}) "
       f"UNION ALL SELECT 'web.pages', * FROM ({_duck_samples('pages', ['page_id', 'url', 'html'])})",
       "table_key, column_name",
   )}))
@@ -223,7 +228,7 @@ ORACLES["pii_report"] = f"SELECT * EXCLUDE (is_nullable), {_STYLE} AS masking_st
 
 
 def report_of_one_table(spark, sf_dir):
-    return pii_report(spark, scan(spark, sf_dir), _POLICY, "web.pages").select(
+    return pii_report(spark, scan(spark, sf_dir, "web.pages"), _POLICY, "web.pages").select(
         "column_name", "entity_type", "masking_style"
     )
 
@@ -288,3 +293,33 @@ SELECT k, {duck.email('a1')} AS a1, {duck.phone('a2')} AS tel, {duck.ip('a3')} A
   {duck.card('a4')} AS a4, full_name FROM ({_SILENT})
 """
 
+
+_LISTED = {
+    "customer": "c_custkey:bigint c_name:string c_nationkey:int c_acctbal:double c_mktsegment:string",
+    "orders": "o_orderkey:bigint o_custkey:bigint o_orderstatus:string o_totalprice:double o_orderdate:timestamp_ntz o_orderpriority:string",
+    "documents": "doc_id:bigint text:string lang:string source:string n_chars:bigint",
+}
+
+
+def columns_in_catalog(spark, sf_dir):
+    """The columns of tables saved in the catalog, with how many rows of each have a value."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS listed")
+    counts = []
+    for name in _LISTED:
+        spark.sql(f"DROP TABLE IF EXISTS listed.{name}")
+        spark.sql(f"CREATE TABLE listed.{name} USING parquet LOCATION '{sf_dir}/{name}.parquet'")
+        saved = spark.table(f"listed.{name}")
+        filled = saved.agg(*[F.count(c).alias(c) for c in saved.columns]).unpivot([], saved.columns, "counted", "filled")
+        counts.append(filled.withColumn("of_table", F.lit(name)))
+    found = catalog_columns(spark, ["listed"]).where(F.col("table_name").isin(*_LISTED))
+    filled = reduce(DataFrame.unionByName, counts)
+    same = (F.col("table_name") == F.col("of_table")) & (F.col("column_name") == F.col("counted"))
+    return found.join(filled, same).select("table_name", "column_name", "position", "data_type", "filled")
+
+
+QUERIES["catalog_columns"] = columns_in_catalog
+ORACLES["catalog_columns"] = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{name}' AS column_name, {i} AS position, '{kind}' AS data_type, count({name}) AS filled FROM {table}"
+    for table, columns in _LISTED.items()
+    for i, (name, kind) in enumerate((c.split(":") for c in columns.split()), 1)
+)

@@ -221,3 +221,26 @@ SELECT event_id, CASE
   WHEN contains(b, '/*') THEN 'open'
   WHEN NOT regexp_matches(b, '(?i)^[\s(#]*(select|from|with|values|table|show|describe|desc|explain)\b') THEN 'other' END AS refused
 FROM bare"""
+
+
+def rendered_with_header(spark, sf_dir):
+    """A result as text, line by line: what is masked, what is revealed, how many rows, then the rows up to the cap."""
+    session = MaskedSession(spark, Policy(max_rows=200)).register("people", derived(spark, sf_dir, PEOPLE))
+    sql = "SELECT c_custkey, email AS contact, phone, ssn, c_mktsegment FROM people ORDER BY c_custkey"
+    lines = session.query(sql, reveal_types=["PHONE_NUMBER"]).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "place long, line string")
+
+
+QUERIES["rendered_with_header"] = rendered_with_header
+ORACLES["rendered_with_header"] = f"""
+WITH people AS ({PEOPLE}), shown AS (
+  SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_custkey, email, phone, ssn, c_mktsegment FROM people),
+heads(place, line) AS (SELECT 0, 'PII masked: contact (MASKED: EMAIL_ADDRESS), ssn (MASKED: US_SSN)'
+  UNION ALL SELECT 1, 'Revealed: phone'
+  UNION ALL SELECT 2, concat(least(count(*), 200), ' rows', CASE WHEN count(*) > 200 THEN ' (truncated)' ELSE '' END) FROM people
+  UNION ALL SELECT 3, '' UNION ALL SELECT 4, '| c_custkey | contact | phone | ssn | c_mktsegment |'
+  UNION ALL SELECT 5, '| --- | --- | --- | --- | --- |')
+SELECT place::bigint AS place, line FROM heads
+UNION ALL SELECT n + 5, concat('| ', c_custkey, ' | ', {duck.email('email')}, ' | ', phone, ' | ', {duck.ssn('ssn')}, ' | ', c_mktsegment, ' |')
+FROM shown WHERE n <= 200
+"""
