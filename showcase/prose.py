@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe import MaskedSession, Policy, Recognizer, find_pii, redact_text, rows_with_pii
 from veilframe.functions.prose import DEFAULT_RECOGNIZERS, EXTENDED_RECOGNIZERS
 from veilframe.operators.gazetteer import redact_names
+from veilframe.operators.recognise import find_standing
 from veilframe.operators.reports import findings_by
 
 from . import duck
@@ -231,3 +232,35 @@ SELECT doc_id, array_to_string(list_transform(list_zip(gaps, words), lambda z: c
 FROM cut, listed
 """
 ORACLES["redact_listed_names_joined"] = ORACLES["redact_listed_names"]
+
+
+# Recognisers that look at the same characters: the best score stands, then the longest span, then the first kind.
+_OVERLAPPING = (
+    *DEFAULT_RECOGNIZERS,
+    Recognizer("ACCOUNT", r"\b[0-9]{4,20}\b", 0.7, requires="[0-9]"),
+    Recognizer("HOST", r"[a-z0-9]+\.example\.com", 0.5, requires="[.]"),
+    Recognizer("NUMBERED", r"[a-z]+ [0-9(+][0-9() +.-]{2,}", 0.65, requires="[0-9]"),
+)
+_OVERLAPPING_SQL = (*duck.RECOGNIZERS, *((r.entity, r.pattern, r.score) for r in _OVERLAPPING[-3:]))
+
+
+def find_overlaps(spark, sf_dir):
+    found = find_standing(table(spark, sf_dir, "documents"), "text", ["doc_id"], _OVERLAPPING)
+    return found.withColumnRenamed("start", "first").withColumnRenamed("end", "past")
+
+
+QUERIES["find_overlaps"] = find_overlaps
+ORACLES["find_overlaps"] = """
+WITH cut AS (""" + " UNION ALL ".join(
+    f"""SELECT doc_id, {i} AS place, '{e}' AS entity_type, {s}::double AS score,
+      regexp_split_to_array(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS hits FROM documents WHERE regexp_matches(text, '{p}')"""
+    for i, (e, p, s) in enumerate(_OVERLAPPING_SQL)
+) + """),
+one AS (SELECT doc_id, place, entity_type, score, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM cut),
+placed AS (SELECT doc_id, place, entity_type, score, hits[i] AS value,
+  (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::int AS s FROM one),
+ranked AS (SELECT doc_id, list({'entity_type': entity_type, 'value': value, 'score': score, 'first': s, 'past': (s + length(value))::int}
+  ORDER BY score DESC, length(value) DESC, place, s) AS spans FROM placed GROUP BY doc_id),
+taken AS (SELECT doc_id, unnest(list_reduce(list_transform(spans, lambda x: [x]), lambda kept, x:
+  CASE WHEN len(list_filter(kept, lambda k: k.first < x[1].past AND x[1].first < k.past)) > 0 THEN kept ELSE list_concat(kept, x) END)) AS t FROM ranked)
+SELECT doc_id, t.entity_type AS entity_type, t.value AS value, t.score AS score, t.first AS first, t.past AS past FROM taken"""
