@@ -172,5 +172,35 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
     "op2_embeddings": _NEAR,
+    "op12_variants": f"""
+        WITH RECURSIVE table_of AS (
+            SELECT list(c ORDER BY i) AS crcs FROM (
+                SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+                FROM range(256) r(i))),
+        runs AS (
+            SELECT coalesce(doc_id::VARCHAR, '') || ':' AS id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS times
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (
+            SELECT run, times, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(id || run, ''),
+                lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6)::BIGINT, 128 + (unicode(c) & 63)::BIGINT] END))),
+                lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))) AS h FROM runs, table_of),
+        words AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, sum(times)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(times) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        without AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+        near AS (
+            SELECT x.word, y.word AS other, y.n AS other_n FROM without x JOIN without y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION SELECT x.word, y.word, y.n FROM without x JOIN words y ON x.a || x.b = y.word
+            UNION SELECT y.word, x.word, x.n FROM without x JOIN words y ON x.a || x.b = y.word),
+        best AS (
+            SELECT word, count(*) AS n_near, max(other_n) AS most, min({{'n': -other_n, 'word': encode(other)}}) AS first FROM near GROUP BY word),
+        formed AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN decode(first.word) END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n
+            FROM words w LEFT JOIN best b ON w.word = b.word),
+        ways AS (
+            SELECT word, word AS at, form AS next FROM formed
+            UNION ALL SELECT w.word, f.word, f.form FROM ways w JOIN formed f ON w.next = f.word)
+        SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n FROM formed f JOIN ways w ON f.word = w.word AND w.next IS NULL""",
     "near_vectors_of_twins": _NEAR.replace("embeddings", "twins").replace("WITH RECURSIVE", f"WITH RECURSIVE twins AS ({_TWINS_SQL}),"),
 }
