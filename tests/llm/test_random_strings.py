@@ -44,3 +44,29 @@ def test_what_a_pattern_leaves_of_a_run(scanner):
     secret = "Zx9kQ2vLm8RtY7wBn4Jc6Hd3"
     assert scanner.spans(f"{secret}/{'0123456789abcdef' * 2}") == [(0, 3, 25), (25, 2, 57)]
     assert scanner.spans(f"{'0123456789abcdef' * 2}_{secret}") == [(0, 2, 32), (32, 3, 57)]
+
+
+@pytest.mark.parametrize("length, least", [(16, 0.8), (24, 0.95), (32, 0.98)])
+def test_strings_with_symbols(scanner, length, least):
+    r = random.Random(length)
+    alphabet = string.ascii_letters + string.digits + "!@#%^&*"
+    found = []
+    for _ in range(500):
+        secret = "".join(r.choices(alphabet, k=length))
+        spans = [(a, b) for a, kind, b in scanner.spans(f"see {secret} end") if kind == 3]
+        found.append(sum(b - a for a, b in spans) >= 0.8 * length)
+    assert sum(found) > least * len(found)
+
+
+def test_identifiers_are_left(scanner):
+    for word in ("ISBN-978-3-16-148410-0", "978-3-16-148410-0", "isbn-0-306-40615-2", "covid19-vaccine-2021-uk", "jane.doe22@mail2.Example.com", "user@Host1#section-3-of-Page", "C#-and-F#-in-2021-Release"):
+        assert scanner.spans(f"see {word} now") == [], word
+    assert not secretscan.is_isbn("978-3-16-148410-1") and not secretscan.is_isbn("9283-4471-0021-9930")
+
+
+def test_clean_documents_hold_hardly_any(spark, scanner):
+    """Precision on the documents labelled good: one word in some thousand documents at most."""
+    folder = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id").collect() if r.text]
+    assert len(texts) > 200 and sum(kind == 3 for t in texts for _, kind, _ in scanner.spans(t)) <= 1

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -28,6 +29,8 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 UUID = r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 #: How a text is split before the merges of the rank files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Symbols that passwords hold between letters and digits.
+SYMBOLS = "!@#$%^&*~"
 #: What parts of a run lie between, step by step: names and values, paths, words.
 MARKS = ("=", "=/", "=/+_-")
 
@@ -40,14 +43,30 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+def is_isbn(string: str) -> bool:
+    """Whether a string is a book number with its check digit, its name before it or not."""
+    digits = re.sub("(?i)^isbn(-1[03])?[-_=/]?", "", string).replace("-", "")
+    if re.fullmatch("97[89][0-9]{10}", digits):
+        return sum(int(d) * (1 + 2 * (i % 2)) for i, d in enumerate(digits)) % 10 == 0
+    if re.fullmatch("[0-9]{9}[0-9Xx]", digits):
+        return sum((10 if d in "Xx" else int(d)) * (10 - i) for i, d in enumerate(digits)) % 11 == 0
+    return False
+
+
 class Scanner:
     """Finds spans in one text."""
 
     def __init__(self, vocabulary: dict[bytes, int], min_chars: int, max_ratio: float):
         self.assign, self.access = re.compile(ASSIGN, re.A), re.compile(ACCESS)
         self.hex = re.compile(HEX[:-1] + "{%d,}" % HEX_CHARS)  # runs are maximal, so shorter ones may be passed over
-        self.candidate = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % min_chars)
-        self.plain = re.compile(r"([A-Z]?[a-z]*|[A-Z]+|[0-9]*)([+/_=-]+([A-Z]?[a-z]*|[A-Z]+|[0-9]*))*")
+        self.candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % min_chars)
+        run = "A-Za-z0-9+/_=" + SYMBOLS + "-"
+        self.symbolic = re.compile(r"(?<![%s])[%s]{%d,}" % (run, run, min_chars))
+        self.symbol = re.compile("(?<=[A-Za-z0-9])[%s]+(?=[A-Za-z0-9])" % SYMBOLS)
+        self.kinds = tuple(map(re.compile, ("[a-z]", "[A-Z]", "[0-9]")))
+        # words, numbers, and words with a short number behind them, such as a year
+        part = "([A-Z]?[a-z]*|[A-Z]+|[0-9]*|[A-Z]?[a-z]{3,}[0-9]{1,4})"
+        self.plain = re.compile(part + "([+/_=-]+" + part + ")*")
         self.between = re.compile("[+/_=-]+")
         self.uuid, self.hexadecimal = re.compile(UUID), re.compile("[0-9a-f]+|[0-9A-F]+")
         self.encoding = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
@@ -68,7 +87,7 @@ class Scanner:
         """Whether a string takes so many tokens that it must be random; digests and identifiers are not."""
         if self.uuid.fullmatch(string):
             return False
-        if len(string) in DIGESTS and self.hexadecimal.fullmatch(string):
+        if len(string) in DIGESTS and self.hexadecimal.fullmatch(string) or is_isbn(string):
             return False
         parts = [string]
         if self.plain.fullmatch(string):  # names, dates and paths of short words: what joins them does not count
@@ -78,6 +97,9 @@ class Scanner:
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = self.base(text)
         taken = sorted((a, b) for a, _, b in found)
+        mixed = [(a, 3, b) for a, b in self.with_symbols(text, taken)]
+        found += mixed
+        taken = sorted(taken + [(a, b) for a, _, b in mixed])
         first = 0
         for m in self.candidate.finditer(text):
             while first < len(taken) and taken[first][1] <= m.start():
@@ -86,6 +108,17 @@ class Scanner:
                 found += [(x, 3, y) for x, y in self.randoms(text, a, b)]
         return sorted(found)
 
+    def with_symbols(self, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Random runs that hold small letters, capitals, digits and, between them, symbols, apart from fixed patterns."""
+        for m in self.symbolic.finditer(text):
+            string = m[0]
+            if not (self.symbol.search(string) and all(kind.search(string) for kind in self.kinds)):
+                continue
+            at = bisect_left(taken, (m.start(), m.start()))
+            clear = (at == len(taken) or taken[at][0] >= m.end()) and all(b <= m.start() for _, b in taken[max(0, at - 3) : at])
+            if clear and self.random(string):
+                yield m.span()
+
     def uncovered(self, start: int, end: int, taken: list[tuple[int, int]], first: int) -> Iterator[tuple[int, int]]:
         """The stretches of a run between the spans of the fixed patterns, which are sorted; those before ``first`` end earlier."""
         for k in range(first, len(taken)):
