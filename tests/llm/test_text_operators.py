@@ -180,3 +180,13 @@ def test_secrets_of_documents(spark):
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert set(filter(None, line.split(","))) <= set(r.spans.split(","))
+
+
+def test_a_hot_line_is_split_by_its_count(spark, make, monkeypatch):
+    """As many copies of a shard as its lines ask for, with the same result."""
+    texts = [f"this very line is in all of them\nown line number {k} of some length\nsecond {k % 5} of the lines that repeat" for k in range(300)]
+    whole = sorted(linededup.dedup_lines(make(texts)).select("doc_id", "text", "n_dropped").collect())
+    monkeypatch.setattr(linededup, "PROBES", 20)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 2)
+    assert sorted(linededup.dedup_lines(make(texts)).select("doc_id", "text", "n_dropped").collect()) == whole
+    assert sum(r.n_dropped for r in whole) == 299 + 295

@@ -21,8 +21,9 @@ from .common import cut, mixed, parts, slices, whole_groups
 
 #: Keys of one shard: some 1.5 MB of arrays.
 SHARD_KEYS = 1 << 16
-#: Copies of each shard, so that the probes of one very frequent line go to as many tasks.
-SALTS = 8
+#: Lines that probe one copy of a shard. A shard has as many copies as its lines ask for, so a line
+#: that is in a third of all documents goes to more tasks the more there are.
+PROBES = 1 << 18
 _LEVELS = 40
 
 
@@ -126,7 +127,7 @@ def probe_index(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             shard, salt = (batch.column(c).to_numpy() for c in ("shard", "salt"))
             kind = batch.column("kind").to_numpy()
-            for a, b in parts(shard * SALTS + salt):
+            for a, b in parts((shard << 32) + salt):
                 part, first = batch.slice(a, b - a), int(np.count_nonzero(kind[a:b] == 0))
                 if first:
                     row = part.column("arrays")[0].as_py()
@@ -147,9 +148,14 @@ def probe_index(lines: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.filter(drop) for x in (ids, pa.array(h1), pa.array(h2), found)], ["id", "h1", "h2", "n"])
 
     arrays = F.struct("sizes", "bits", "prints", "counts", "lasts").alias("arrays")
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(0).alias("kind"), arrays)
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
-    probes = lines.select(F.pmod("h1", F.lit(shards)).alias("shard"), salt, F.lit(1).alias("kind"), "id", "h1", "h2")
+    sharded = lines.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    many = F.ceil(F.count(F.lit(1)) / PROBES).cast("int").alias("salts")
+    # a row of two numbers for each shard of SHARD_KEYS keys
+    salts = cut(sharded.groupBy("shard").agg(many))
+    each = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+    copies = index.join(F.broadcast(salts), "shard").select("shard", each, F.lit(0).alias("kind"), arrays)
+    salt = F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")
+    probes = sharded.join(F.broadcast(salts), "shard").select("shard", salt, F.lit(1).alias("kind"), "id", "h1", "h2")
     both = copies.unionByName(probes, allowMissingColumns=True)
     together = both.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     return together.mapInArrow(run, "id long, h1 long, h2 long, n long")
