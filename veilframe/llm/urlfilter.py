@@ -8,7 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +60,26 @@ paypal-verify.example.com/en/19   malware-download.example.com/exe   keygen-crac
 """
 
 
+#: What is made into further labelled hosts, by one rule for all: words of each kind to block, the words beside
+#: them, and words of sites to allow. Words of ALLOW_BESIDE stand beside words to block on sites to allow.
+BLOCK_WORDS = """
+casino poker betting jackpot roulette slots lottery wager bingo viagra cialis pills pharma tramadol steroids weightloss
+loans payday forex bitcoin-profit rolex replica miracle xxx porn sex nude escort webcam-girls milf hentai adserver adclick
+advert banner tracker pixel popunder malvert spam backlink linkfarm clickfarm seo-links doorway phish verify-account
+login-update bank-alert malware trojan keygen crack warez botnet ransom
+"""
+BESIDE = "24 best online mega hub free club bargain now zone load shop"
+ALLOW_WORDS = """
+brook manor valley winter window winner-stories chester cathedral pillar pilgrim village adverb adventure banneret pixel-art
+track-and-field athletics railway tracks sexagesimal essex sussex middlesex loan-words bank-holiday holiday garden theatre
+library history science maths physics biology museum recipe soup bread weather travel music poetry grammar teacher
+lecture health clinic hospital nurse vaccine market harvest farmer dairy orchard bookshop novel reader journal archive
+council parish charity volunteer mountain glacier ocean harbour lighthouse ferry engine bicycle football cricket backgammon
+"""
+ALLOW_BESIDE = "filter history film prevention awareness law research museum museums news-report addiction-help studies novel"
+HOSTS = ("{w}-{b}.example.com/en/0", "www.{b}{w}.example.org/fr/0", "{w}{b}.example.com/{b}", "m.{b}-{w}.example.org/es/0", "{w}.example.com/")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -95,34 +115,80 @@ def hashed(items: Column) -> Column:
     return F.array_distinct(F.transform(items, lambda g: F.pmod(F.xxhash64(g), F.lit(FEATURES)) + 1))
 
 
+def made() -> list[tuple[str, str, float]]:
+    """(group, url, label) of the table: the listed URLs, and those that words make; a group is never split.
+
+    Each word meets three of the words beside it and three of the forms in turn, so the two sides share
+    forms, paths and, by ``ALLOW_BESIDE``, words.
+    """
+    rows = [(u, u, label) for label, text in ((0.0, ALLOW), (1.0, BLOCK)) for u in text.split()]
+    for label, words, beside in ((1.0, BLOCK_WORDS, BESIDE), (0.0, ALLOW_WORDS, BESIDE), (0.0, BLOCK_WORDS, ALLOW_BESIDE)):
+        near = beside.split()
+        for i, w in enumerate(words.split()):
+            times = 3 if beside == BESIDE else 1
+            for k in range(times):
+                form = HOSTS[(i + k) % (len(HOSTS) if beside == BESIDE else 4)]
+                rows.append((w, form.format(w=w, b=near[(i * 3 + k * 5) % len(near)]), label))
+    return rows
+
+
 def labelled(spark: SparkSession) -> DataFrame:
-    """The small table: host, path and label (1: block)."""
-    rows = [(u, label) for label, text in ((0.0, ALLOW), (1.0, BLOCK)) for u in text.split()]
-    table = ", ".join(f"('{u}', {label}D)" for u, label in rows)
-    urls = spark.sql(f"SELECT * FROM VALUES {table} AS t(url, label)").withColumn("url", F.concat(F.lit("https://"), "url"))
-    return urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
+    """The table: group, host, path and label (1: block)."""
+    table = ", ".join(f"('{g}', '{u}', {label}D)" for g, u, label in made())
+    urls = spark.sql(f"SELECT * FROM VALUES {table} AS t(part, url, label)").withColumn("url", F.concat(F.lit("https://"), "url"))
+    return urls.select("part", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
 
 
 def train(examples: DataFrame, regularisation: float = 0.01, rounds: int = 50) -> tuple[list[float], float]:
     """Weights of the hashed n-grams and the bias, by logistic regression over ``host``, ``path``, ``label``."""
-    buckets = examples.select(hashed(grams(F.col("host"), F.col("path"))).alias("buckets"), "label")
-    places = F.sequence(F.lit(1), F.lit(FEATURES))
-    values = F.transform(places, lambda b: F.array_contains("buckets", b.cast("long")).cast("double"))
+    buckets = F.transform(hashed(grams(F.col("host"), F.col("path"))), lambda b: b.cast("string"))
+    # a vocabulary of all buckets makes sparse vectors of the buckets themselves
+    counter = CountVectorizerModel.from_vocabulary([str(b) for b in range(1, FEATURES + 1)], "buckets", "features")
+    rows = counter.setBinary(True).transform(examples.select(buckets.alias("buckets"), "label"))
     regression = LogisticRegression(regParam=regularisation, maxIter=rounds, standardization=False)
-    model = regression.fit(buckets.select(array_to_vector(values).alias("features"), "label"))
+    model = regression.fit(rows.select("features", "label"))
     return model.coefficients.toArray().tolist(), float(model.intercept)
 
 
-def judge_urls(df: DataFrame, url_col: str = "url", examples: DataFrame | None = None, rules=RULES, threshold: float = 0.7) -> DataFrame:
+def score_of(host: Column, path: Column, weights: list[float], bias: float) -> Column:
+    """The logistic score of a URL."""
+    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one literal
+    total = F.aggregate(hashed(grams(host, path)), F.lit(bias), lambda sum_, b: sum_ + F.element_at(table, b.cast("int")))
+    return 1 / (1 + F.exp(-total))
+
+
+def best_threshold(examples: DataFrame, folds: int = 3) -> float:
+    """The score from which to block that errs least on groups (``part``) that a fit has not seen.
+
+    To block a site that is to be allowed counts half as much again as the other error, whatever their numbers. Of
+    thresholds as good the one in the middle is taken.
+    """
+    fold = F.pmod(F.xxhash64("part"), F.lit(folds))
+    scored = []
+    for k in range(folds):
+        weights, bias = train(examples.where(fold != k))
+        held = examples.where(fold == k).select("label", score_of(F.col("host"), F.col("path"), weights, bias).alias("score"))
+        scored += [(r["score"], r["label"]) for r in held.collect()]  # a row of the small table each
+    good, bad = (sorted(s for s, label in scored if label == side) for side in (0.0, 1.0))
+    steps = [i / 100 for i in range(5, 96)]
+    cost = [1.5 * sum(s >= t for s in good) / max(1, len(good)) + sum(s < t for s in bad) / max(1, len(bad)) for t in steps]
+    best = [t for t, c in zip(steps, cost, strict=True) if c == min(cost)]
+    return best[len(best) // 2]
+
+
+def judge_urls(df: DataFrame, url_col: str = "url", examples: DataFrame | None = None, rules=RULES, threshold: float | None = None) -> DataFrame:
     """``df`` with ``host``, ``path``, ``rule``, ``score`` and ``verdict`` (allow or block).
 
     ``rule`` is the longest rule that fits, as host and path, else null; ties go to the earlier one.
-    Where none fits the regression decides: block from a score of ``threshold``. A null url, or one without
+    Where none fits the regression decides: block from a score of ``threshold``, by default the one that
+    errs least on rows of the table (``examples``: part, host, path, label) it was not fitted on. A null url, or one without
     ``://``, has an empty host and path and is scored like any other. Columns of ``df`` with these
     names are replaced.
     """
     names = ("host", "path", "rule", "score", "verdict")
-    weights, bias = train(examples if examples is not None else labelled(prepare(df.sparkSession)))
+    examples = (examples if examples is not None else labelled(prepare(df.sparkSession))).coalesce(1)
+    weights, bias = train(examples)
+    threshold = best_threshold(examples) if threshold is None else threshold
     others = [c for c in df.columns if c not in names or c == url_col]
     rest = F.struct(*(df[c] for c in others)).alias("rest")
     split = df.select(rest, host_of(df[url_col]).alias("host"), path_of(df[url_col]).alias("path"))
@@ -130,8 +196,6 @@ def judge_urls(df: DataFrame, url_col: str = "url", examples: DataFrame | None =
     by_length = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule = reduce(lambda tail, r: F.when(fits(host, path, r[1], r[2]), F.lit(r[1] + r[2])).otherwise(tail), reversed(by_length), F.lit(None).cast("string"))
     of_rule = F.create_map(*(F.lit(x) for verdict, h, p in rules for x in (h + p, verdict)))
-    table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")  # folded into one literal
-    total = F.aggregate(hashed(grams(host, path)), F.lit(bias), lambda sum_, b: sum_ + F.element_at(table, b.cast("int")))
-    judged = split.select("rest", "host", "path", rule.alias("rule"), (1 / (1 + F.exp(-total))).alias("score"))
+    judged = split.select("rest", "host", "path", rule.alias("rule"), score_of(host, path, weights, bias).alias("score"))
     verdict = F.coalesce(F.try_element_at(of_rule, F.col("rule")), F.when(F.col("score") >= threshold, "block").otherwise("allow"))
     return judged.select(*(F.col("rest")[c].alias(c) for c in others), *names[:4], verdict.alias("verdict"))
