@@ -330,5 +330,8 @@ def _repeats(docs: DataFrame) -> bool:
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each class of near duplicates, the one of the smallest id; rows that share an id stay together."""
-    judged = near_duplicates(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return df.join(judged, df[id_col].eqNullSafe(F.col("__kept")), "left_semi")
+    name = "kept"
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    judged = near_duplicates(df, id_col, text_col).where("kept").select(F.col(id_col).alias(name)).distinct()
+    return df.join(judged, df[id_col].eqNullSafe(F.col(name)), "left_semi")
