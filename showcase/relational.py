@@ -169,7 +169,8 @@ _add(
 _add(
     "redact_explode",
     "SELECT c_custkey, part AS email FROM people LATERAL VIEW explode(split(email, '@')) v AS part",
-    f"SELECT c_custkey, {duck.email('part')} AS email FROM (SELECT c_custkey, unnest(string_split(email, '@')) AS part FROM people)",
+    # of pieces a partial mask could show all, so they are labelled
+    "SELECT c_custkey, '[EMAIL ADDRESS]' AS email FROM (SELECT c_custkey, unnest(string_split(email, '@')) FROM people)",
 )
 
 _add(
@@ -303,6 +304,16 @@ _add(
       SELECT c_nationkey, count(*) AS n, string_agg(upper(ssn), ',' ORDER BY upper(ssn)) AS l FROM people GROUP BY c_nationkey)""",
 )
 
+# Pieces of a value are labelled, whole values among others keep their mask.
+_add(
+    "redact_pieces",
+    """SELECT c_custkey, substr(ssn, 1, 4) AS a, split(email, '@')[1] AS b, reverse(phone) AS c, concat(c_mktsegment, ' ', ssn) AS d,
+      least(ssn, '5') AS e, lag(ssn) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS f FROM people""",
+    f"""SELECT c_custkey, '[US SSN]' AS a, '[EMAIL ADDRESS]' AS b, '[PHONE NUMBER]' AS c, {duck.ssn('ssn')} AS d, {duck.ssn("least(ssn, '5')")} AS e,
+      {duck.keep('before', duck.ssn('before'))} AS f
+      FROM (SELECT *, lag(ssn) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS before FROM people)""",
+)
+
 # The owner's decision holds for what is computed from it.
 _add(
     "redact_computed_by_table",

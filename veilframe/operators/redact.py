@@ -126,7 +126,7 @@ def plan_columns(
     A column's lineage tag names its owner, whose decision holds under any name but a secret one.
     ``made_of`` gives the base columns that a computed column is made of (``column_owners``). It is
     as strict as the strictest of them, of its own rule and of what its name tells, in type and in
-    style; of several types it is a label. It is shown only if all of them may be shown. Without either,
+    style; of several types it is a label, as it is where it may be a piece of a value. It is shown only if all of them may be shown. Without either,
     the tables given are asked in order. Secrets are never revealed.
     """
     shown = {name.lower() for name in reveal_columns}
@@ -140,6 +140,10 @@ def plan_columns(
             parts, excluded = _parts(field.name, sources, policy, tables)
             whole = _joined(parts)
             info, style = (whole.info, whole.style) if whole else (None, policy.default_style)
+            cut = any(policy.resolve(s[1], [s])[0] for s in getattr(made_of[position], "pieces", ()))
+            if info is not None and style == "partial" and cut and not info.is_free_text:
+                style = "full"  # a piece may be so short that a partial mask shows it
+                info = replace(info, source="mixed", is_json=False)
             types = {p.info.entity_type for p in parts}
         else:
             info, owner = policy.resolve(field.name, [tagged] if tagged else [(t, field.name) for t in tables])

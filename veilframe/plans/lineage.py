@@ -90,7 +90,31 @@ _EMPTY = {
 # Nodes whose expressions make up, with what their children put out, every column they put out.
 _EXPLAINED = {"Generate", "Expand", "Project", "Aggregate", "Window"}
 
-Owners = frozenset[tuple[str, str]]
+# What these give back holds whole values, as they were or among others. All else cuts, turns or counts
+# them, and may leave a piece of which a partial mask would show all.
+_WHOLE = {
+    "Alias", "AttributeReference", "OuterReference", "Cast", "AggregateExpression", "WindowExpression", "Max", "Min", "First", "Last",
+    "AnyValue", "Mode", "NthValue", "Lag", "Lead", "MaxBy", "MinBy", "CollectList", "CollectSet", "ListAgg", "Coalesce", "If",
+    "CaseWhen", "NullIf", "Nvl", "Nvl2", "IfNull", "Least", "Greatest", "Upper", "Lower", "InitCap", "StringTrim", "StringTrimBoth",
+    "StringTrimLeft", "StringTrimRight", "StringLPad", "StringRPad", "Concat", "ConcatWs", "CreateArray", "CreateNamedStruct",
+    "CreateMap", "MapFromArrays", "MapFromEntries", "StructsToJson", "GetStructField", "GetArrayItem", "GetArrayStructFields",
+    "GetMapValue", "ElementAt", "Get", "ArrayJoin", "SortArray", "ArraySort", "ArrayDistinct", "ArrayUnion", "ArraysZip", "Flatten",
+    "Slice", "ArrayMax", "ArrayMin", "ArrayFilter", "ArrayTransform", "LambdaFunction", "MapKeys", "MapValues", "Explode",
+    "PosExplode", "Inline", "Stack", "Literal", "NamedLambdaVariable", "ScalarSubquery", "LateralSubquery", "ToPrettyString",
+    "KnownNotNull", "KnownNullable",
+}
+
+
+class Owners(frozenset[tuple[str, str]]):
+    """Base columns ``(table, column)``; ``pieces`` are those of which a part of a value may be left."""
+
+    pieces: frozenset[tuple[str, str]] = frozenset()
+
+
+def _owners(found: frozenset[tuple[str, str, bool]]) -> Owners:
+    owners = Owners((table, column) for table, column, _ in found)
+    owners.pieces = frozenset((table, column) for table, column, whole in found if not whole)
+    return owners
 
 
 def column_owners(df: DataFrame) -> list[Owners]:
@@ -105,17 +129,20 @@ def column_owners(df: DataFrame) -> list[Owners]:
     walk = _Walk()
     plan = df._jdf.queryExecution().analyzed()
     walk.visit(plan)
-    return walk.of_output(plan)
+    return [_owners(found) for found in walk.of_output(plan)]
+
+
+_Found = frozenset[tuple[str, str, bool]]
 
 
 class _Walk:
     """Owners by the id of an attribute, collected from the leaves of a plan upwards."""
 
     def __init__(self) -> None:
-        self.known: dict[int, Owners] = {}
-        self.shared: dict[int, list[Owners]] = {}  # of common table expressions
+        self.known: dict[int, _Found] = {}
+        self.shared: dict[int, list[_Found]] = {}  # of common table expressions
 
-    def of_output(self, plan) -> list[Owners]:
+    def of_output(self, plan) -> list[_Found]:
         return [self.known.get(a.exprId().id(), frozenset()) for a in _each(plan.output())]
 
     def visit(self, plan) -> None:
@@ -160,7 +187,7 @@ class _Walk:
                 break
         self._learn_sides(plan, [self.shared[plan.id()]])
 
-    def _learn_sides(self, plan, sides: list[list[Owners]]) -> None:
+    def _learn_sides(self, plan, sides: list[list[_Found]]) -> None:
         for i, attribute in enumerate(_each(plan.output())):
             both = frozenset().union(*(side[i] for side in sides if i < len(side)))
             self.known[attribute.exprId().id()] = both | _tag_of(attribute)
@@ -172,11 +199,11 @@ class _Walk:
         for child in _each(expression.children()):
             self._visit_subqueries(child)
 
-    def _learn(self, named, made_of: Owners) -> None:
+    def _learn(self, named, made_of: _Found) -> None:
         """A tag says where a column was read; without one, it is what it is made of."""
         self.known[named.exprId().id()] = _tag_of(named) or made_of
 
-    def _inside(self, expression) -> Owners:
+    def _inside(self, expression) -> _Found:
         kind = expression.getClass().getSimpleName()
         if kind in _TELLING_NOTHING or kind in _EMPTY:
             return frozenset()
@@ -190,7 +217,10 @@ class _Walk:
         children = list(_each(expression.children()))
         if not children:
             return frozenset().union(*self.known.values())
-        return frozenset().union(*map(self._inside, children))
+        if kind in ("WindowExpression", "AggregateExpression"):
+            children = children[:1]  # what orders or filters rows is not in the value
+        found = frozenset().union(*map(self._inside, children))
+        return found if kind in _WHOLE else frozenset((table, column, False) for table, column, _ in found)
 
 
 def _is_subquery(expression) -> bool:
@@ -201,6 +231,6 @@ def _each(items):
     return (items.apply(i) for i in range(items.size()))
 
 
-def _tag_of(named) -> Owners:
+def _tag_of(named) -> _Found:
     tag = json.loads(named.metadata().json()).get(TAG)
-    return frozenset([(tag["table"], tag["column"])]) if tag else frozenset()
+    return frozenset([(tag["table"], tag["column"], True)]) if tag else frozenset()
