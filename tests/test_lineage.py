@@ -93,3 +93,20 @@ def test_pieces_of_json_are_labelled(spark):
 def test_whole_values_keep_their_mask(spark, users):
     for what in ("max(ssn)", "coalesce(max(ssn), '')", "first(trim(ssn))", "array_join(collect_list(upper(ssn)), ',')", "max(CASE WHEN id = 1 THEN ssn END)"):
         assert shown(spark, users, f"SELECT {what} AS x FROM users") == [("***-**-6789",)], what
+
+
+def test_a_recursive_table_has_as_many_rows_as_it_needs(spark):
+    """Spark ends one at a million rows, if the session does not say otherwise."""
+    own = spark.newSession()
+    many = own.range(0, 200_000, 1, 4).selectExpr("id", "concat('user', id, '@x.org') AS email")
+    session = MaskedSession(own).register("many", many)
+    sql = """WITH RECURSIVE r(n, way) AS (SELECT 1, email FROM many UNION ALL SELECT n + 1, way FROM r WHERE n < 6)
+      SELECT way, count(*) AS n FROM r GROUP BY way"""
+    shown = session.sql(sql).groupBy("way", "n").count().collect()
+    assert [tuple(row) for row in shown] == [("u***@x***.org", 6, 200_000)]
+
+
+def test_a_limit_of_ones_own_stays(spark):
+    own = spark.newSession()
+    own.conf.set("spark.sql.cteRecursionRowLimit", "1000")
+    assert MaskedSession(own).spark.conf.get("spark.sql.cteRecursionRowLimit") == "1000"
