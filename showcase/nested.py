@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Rule, mask_json_text, redact, write_with_count
 from . import duck
-from .inputs import CONTACT_JSON, PEOPLE, SEED, derived, scratch, table
+from .inputs import CONTACT_JSON, PEOPLE, SEED, dealt, derived, scratch, table
 
 QUERIES = {}
 ORACLES = {}
@@ -280,7 +280,7 @@ FROM people
 
 def secret_json_values(spark, sf_dir):
     """Arrays, objects and numbers behind secret keys: in text, in a variant, in a typed struct."""
-    derived(spark, sf_dir, PEOPLE).createOrReplaceTempView("people")
+    dealt(spark, sf_dir, PEOPLE).createOrReplaceTempView("people")
     docs = spark.sql(_SECRET_JSON)
     typed = docs.select(
         "c_custkey",
