@@ -156,7 +156,7 @@ def json_text_pseudonymized(spark, sf_dir):
     masked = mask_json_text(
         F.col("data"), "pseudonymize", SEED, reveal_types=["PERSON"], mask_scalars=True
     )
-    data = derived(spark, sf_dir, CONTACT_JSON)
+    data = dealt(spark, sf_dir, CONTACT_JSON)
     return _leaves(data.select("c_custkey", masked.alias("data")), "data")
 
 
