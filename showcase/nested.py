@@ -185,7 +185,7 @@ ORACLES["json_column_by_rule"] = _duck_leaves(_MASKED)
 
 
 def mask_variant(spark, sf_dir):
-    data = derived(spark, sf_dir, CONTACT_JSON).select("c_custkey", F.parse_json("data").alias("v"))
+    data = dealt(spark, sf_dir, CONTACT_JSON).select("c_custkey", F.parse_json("data").alias("v"))
     out = redact(data, Policy())
     return out.select(
         "c_custkey",
