@@ -176,7 +176,7 @@ ORACLES["mask_json_text_pseudonymized"] = _duck_leaves(
 def json_column_by_rule(spark, sf_dir):
     """A JSON text column declared by rule, read through SQL."""
     session = MaskedSession(spark, Policy(rules=(Rule("profiles", "data", "JSON_CONTAINER"),)))
-    session.register("profiles", derived(spark, sf_dir, CONTACT_JSON))
+    session.register("profiles", dealt(spark, sf_dir, CONTACT_JSON))
     return _leaves(session.sql("SELECT c_custkey, data AS d FROM profiles"), "d")
 
 

@@ -8,7 +8,7 @@ from veilframe import mask_json_text
 from veilframe.functions import jsontext
 from veilframe.sources.readers import spread
 
-SPREAD = ["secret_json_values", "mask_variant", "mask_json_text_pseudonymized"]
+SPREAD = ["secret_json_values", "json_column_by_rule", "mask_variant", "mask_json_text_pseudonymized"]
 
 
 @pytest.fixture(scope="module")
