@@ -14,7 +14,7 @@ from veilframe.operators.reports import pii_report, rule_lines, schema_lines
 from veilframe.sources.catalog import catalog_columns, table_list
 
 from . import duck
-from .inputs import CONTACT_JSON, PEOPLE, VARIANTS, derived, table
+from .inputs import CONTACT_JSON, PEOPLE, VARIANTS, dealt, derived, table
 
 QUERIES = {}
 ORACLES = {}
@@ -103,7 +103,7 @@ ORACLES["vote_pages"] = _duck_votes(_duck_samples("pages", ["page_id", "url", "h
 
 def redact_found_json(spark, sf_dir):
     """JSON text found by its values is masked by its keys afterwards."""
-    tables = {"public.profiles": derived(spark, sf_dir, CONTACT_JSON).withColumnRenamed("data", "d")}
+    tables = {"public.profiles": dealt(spark, sf_dir, CONTACT_JSON).withColumnRenamed("data", "d")}
     policy = remember(Policy(), scan_tables(spark, tables, Policy(), json_share=0.9))
     session = MaskedSession(spark, policy).register("profiles", tables["public.profiles"])
     out = session.sql("SELECT c_custkey, d AS anything FROM profiles")
