@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe import MaskedSession, Policy, Rule, mask_json_text, redact, write_with_count
+from veilframe.sources.readers import spread
 from . import duck
 from .inputs import CONTACT_JSON, PEOPLE, SEED, dealt, derived, scratch, table
 
@@ -144,7 +145,7 @@ _MASKED = {
 
 
 def json_text(spark, sf_dir):
-    data = derived(spark, sf_dir, CONTACT_JSON)
+    data = dealt(spark, sf_dir, CONTACT_JSON)
     return _leaves(data.select("c_custkey", mask_json_text(F.col("data")).alias("data")), "data")
 
 
@@ -210,7 +211,7 @@ SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN data WHEN 1 THEN concat(data, '
 
 
 def json_or_prose(spark, sf_dir):
-    data = derived(spark, sf_dir, _MIXED).select("c_custkey", mask_json_text(F.col("data")).alias("d"))
+    data = dealt(spark, sf_dir, _MIXED).select("c_custkey", mask_json_text(F.col("data")).alias("d"))
     return data.select(
         "c_custkey",
         F.when(F.col("c_custkey") % 5 == 0, F.get_json_object("d", "$.email"))
@@ -229,7 +230,7 @@ FROM ({_MIXED})
 
 def json_events(spark, sf_dir):
     """Clean JSON passes untouched; keys come from the event type."""
-    events = table(spark, sf_dir, "events").select(
+    events = spread(table(spark, sf_dir, "events")).select(
         "event_id",
         "props",
         F.concat(

@@ -8,7 +8,7 @@ from veilframe import mask_json_text
 from veilframe.functions import jsontext
 from veilframe.sources.readers import spread
 
-SPREAD = ["secret_json_values", "redact_found_json", "json_column_by_rule", "mask_variant", "mask_json_text_pseudonymized"]
+SPREAD = ["secret_json_values", "mask_json_text", "json_or_prose", "redact_found_json", "json_column_by_rule", "mask_variant", "mask_json_text_pseudonymized"]
 
 
 @pytest.fixture(scope="module")
