@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.masks import label_by_entity, pseudonym_by_entity
 
 WORD = r"[\p{L}\p{M}]+"
+_GAP = r"[^\p{L}\p{M}]+"
 
 # Longest list that may be put into the expression: a few hundred kilobytes of text.
 INLINE_NAMES = 20_000
@@ -83,15 +84,16 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def _tokens(text: Column) -> Column:
-    """Gap, word, gap, word, ..., gap: word ``i`` is at ``2 * i + 1``."""
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    both = F.zip_with(
-        F.split(text, WORD, -1), words, lambda gap, word: F.array(gap, F.coalesce(word, F.lit("")))
-    )
-    return F.flatten(both)
+    """Gap, word, gap, word, ..., gap, nothing: word ``i`` is at ``2 * i + 1``. The text is read once."""
+    runs, nothing = F.regexp_extract_all(text, F.lit(f"{WORD}|{_GAP}"), F.lit(0)), F.lit("")
+    before = F.when(text.rlike(rf"\A{_GAP}"), F.array().cast("array<string>")).otherwise(F.array(nothing))
+    ends_in_word = F.substring(text, -1, 1).rlike(WORD)
+    return F.concat(before, runs, F.when(ends_in_word, F.array(nothing, nothing)).otherwise(F.array(nothing)))
 
 
 def _phrase(tokens: Column, place: Column, words: int) -> Column:
+    if words == 1:
+        return F.get(tokens, place * 2 + 1)
     return F.array_join(F.slice(tokens, place * 2 + 2, F.lit(2 * words - 1)), "")
 
 
@@ -103,9 +105,17 @@ def _places(tokens: Column, words: int) -> Column:
 
 
 def _rewritten(
-    text: Column, sizes: list[int], entity_of: Callable[[Column, int], Column], style: str, seed: str | None
+    text: Column,
+    sizes: list[int],
+    entity_of: Callable[[Column, int], Column],
+    style: str,
+    seed: str | None,
+    may_start: Callable[[Column], Column] | None = None,
 ) -> Column:
-    """The text with every listed phrase replaced: the leftmost first, of those the longest."""
+    """The text with every listed phrase replaced: the leftmost first, of those the longest.
+
+    ``may_start`` holds for every word that a listed phrase starts with; others are not looked up.
+    """
 
     def found(tokens: Column, words: int) -> Column:
         def judged(place: Column) -> Column:
@@ -119,7 +129,10 @@ def _rewritten(
                 ),
             )
 
-        return F.filter(F.transform(_places(tokens, words), judged), lambda hit: hit["entity"].isNotNull())
+        places = _places(tokens, words)
+        if may_start is not None:
+            places = F.filter(places, lambda place: may_start(F.get(tokens, place * 2 + 1)))
+        return F.filter(F.transform(places, judged), lambda hit: hit["entity"].isNotNull())
 
     def chosen(hits: Column) -> Column:
         """Hits that start before the end of the one chosen before are passed over."""
@@ -219,7 +232,8 @@ def _joined(df, column, names, style, seed) -> DataFrame:
     may_start = _filter(starts, count)
     may_be = may_start if sizes == [1] else _filter(names, count)
     text = F.col(column)
-    likely = F.exists(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), may_start)
+    each_word = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    likely = F.exists(each_word, may_start)
     # Both hashes of equal texts are equal, and no two texts share them by any chance that matters.
     key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
@@ -231,18 +245,21 @@ def _joined(df, column, names, style, seed) -> DataFrame:
 
         return F.array_distinct(F.concat(*map(of_size, sizes)))
 
+    # Single words need no tokens between them, and a text that is not likely holds no phrase that passes.
+    single = F.filter(F.array_distinct(each_word), may_start)
+    passing = single if sizes == [1] else _let(_tokens(text), phrases)
+
     # What a text holds depends on the text alone, so rows need no key; equal texts are one.
-    told = df.where(likely)
-    held = told.select(key.alias("key"), F.explode(_let(_tokens(text), phrases)).alias("name")).distinct()
+    held = df.select(key.alias("key"), F.explode(passing).alias("name")).distinct()
     pair = F.struct(F.col("name"), F.col("entity_type"))
     hits = held.join(names, "name").groupBy("key").agg(F.map_from_entries(F.collect_set(pair)).alias("hits"))
 
     def entity_of(phrase: Column, words: int) -> Column:
         return F.try_element_at(F.col("hits"), phrase)
 
-    marked = told.select(F.struct("*").alias("row"), key.alias("key")).join(hits, "key", "left")
+    marked = df.where(likely).select(F.struct("*").alias("row"), key.alias("key")).join(hits, "key", "left")
     text = F.col("row")[column]
-    new = F.when(F.col("hits").isNull(), text).otherwise(_rewritten(text, sizes, entity_of, style, seed))
+    new = F.when(F.col("hits").isNull(), text).otherwise(_rewritten(text, sizes, entity_of, style, seed, may_start))
     done = marked.select("row", new.alias("new"))
     done = done.select(*((F.col("new") if c == column else F.col("row")[c]).alias(c) for c in df.columns))
     return df.where(~F.coalesce(likely, F.lit(False))).unionAll(done)
